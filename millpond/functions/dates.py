@@ -16,7 +16,16 @@ FIRST_EPOCH_MS, LAST_EPOCH_MS = 946_684_800_000, 4_102_444_800_000
 
 # A cast alone would also accept a bare time of day and complete it with today's date.
 ISO_LIKE = r"^\d{4,6}(-\d{2}(-\d{2}([T ].*)?)?)?$"
-GENERAL_FORMATS = ("MMM d, yyyy HH:mm:ss", "MMM d, yyyy", "MMMM d, yyyy", "M/d/yyyy HH:mm:ss", "M/d/yyyy", "d MMM yyyy")
+# Other written forms: what the text looks like, and its format. The look is tested first, because a failed
+# parse costs far more than a test.
+GENERAL_FORMATS = (
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4} \d{2}:\d{2}:\d{2}$", "MMM d, yyyy HH:mm:ss"),
+    (r"^[A-Z][a-z]{2,8} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$", "M/d/yyyy HH:mm:ss"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+)
 
 # Label patterns of a time axis.
 TIME_ONLY = "h:mm a"
@@ -28,7 +37,9 @@ DATE_ONLY = "MMM d"
 def _parsed(text: Column, iso_type: str) -> Column:
     text = F.trim(text)
     iso = F.when(text.rlike(ISO_LIKE), text.try_cast(iso_type)).cast("timestamp_ntz")
-    general = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in GENERAL_FORMATS]
+    general = [
+        F.when(text.rlike(look), F.try_to_timestamp(text, F.lit(f))).cast("timestamp_ntz") for look, f in GENERAL_FORMATS
+    ]
     return F.coalesce(iso, *general)
 
 

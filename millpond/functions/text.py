@@ -66,10 +66,10 @@ def error_text(col, length: int = ERROR_LENGTH) -> Column:
     return F.when(F.length(text) > length, cut).otherwise(text)
 
 
-def tokens(col) -> Column:
-    """Lower-case words of letters and digits, in order."""
-    words = F.split(F.lower(F.coalesce(as_column(col), F.lit(""))), WORD_BREAK)
-    return F.filter(words, lambda w: w != "")
+def words(col) -> Column:
+    """Lower-case words of letters and digits, in order. The first and last may be empty; drop those after
+    exploding, where a filter is compiled code."""
+    return F.split(F.lower(F.coalesce(as_column(col), F.lit(""))), WORD_BREAK)
 
 
 def query_terms(query: str) -> list[str]:
@@ -77,10 +77,18 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(WORD_BREAK, query.lower()) if w))
 
 
-def word_count(col, term: str) -> Column:
-    """How often a word occurs. One regular expression pass; no array of words is built."""
-    pattern = rf"(?<![a-z0-9]){term}(?![a-z0-9])"
-    return F.regexp_count(F.lower(F.coalesce(as_column(col), F.lit(""))), F.lit(pattern))
+def any_word(terms: list[str]) -> str:
+    """Pattern of whole words in lower-case text. Terms are letters and digits only."""
+    return rf"(?<![a-z0-9])(?:{'|'.join(terms)})(?![a-z0-9])"
+
+
+def word_count(col, terms: list[str]) -> Column:
+    """How often any of the words occurs: one pass over the text for all of them, no array of words is built."""
+    return F.regexp_count(F.lower(F.coalesce(as_column(col), F.lit(""))), F.lit(any_word(terms)))
+
+
+def has_word(col, terms: list[str]) -> Column:
+    return F.lower(F.coalesce(as_column(col), F.lit(""))).rlike(any_word(terms))
 
 
 def contains_text(columns, needle: str) -> Column:

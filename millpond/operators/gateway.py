@@ -19,25 +19,13 @@ class ReadOnlyError(ValueError):
     pass
 
 
-def read_only(spark: SparkSession, text: str) -> str:
-    """The text itself when it is a query. As a subquery, commands, writes and several statements cannot be
-    parsed, whatever word they start with."""
-    try:
-        spark.sql(f"SELECT * FROM (\n{text}\n) AS checked").schema
-    except ParseException as e:
-        raise ReadOnlyError(f"only one SELECT statement is allowed: {text}") from e
-    return text
-
-
 def run_sql(spark: SparkSession, text: str, args: list | dict | None = None) -> DataFrame:
-    if args is None:
-        read_only(spark, text)
-        return spark.sql(text)
+    """Run one query. It runs as a subquery, where commands, writes and several statements cannot be parsed,
+    whatever word they start with."""
     try:
-        spark.sql(f"SELECT * FROM (\n{text}\n) AS checked", args=args).schema
+        return spark.sql(f"SELECT * FROM (\n{text}\n) AS asked", args=args)
     except ParseException as e:
         raise ReadOnlyError(f"only one SELECT statement is allowed: {text}") from e
-    return spark.sql(text, args=args)
 
 
 def preview(df: DataFrame, rows: int = SHOWN_ROWS) -> DataFrame:
@@ -57,7 +45,7 @@ def broken_queries(spark: SparkSession, specs: list[QuerySpec]) -> list[tuple[st
     errors = []
     for spec in specs:
         try:
-            read_only(spark, spec.query)
+            run_sql(spark, spec.query).schema
         except (AnalysisException, ReadOnlyError) as e:
             errors.append((spec.name, f'Query {spec.name} "{spec.query}" failed with error: {e}'))
     return errors

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millpond.functions.columns import as_column, bucket_of
-from millpond.functions.text import query_terms, tokens, word_count
+from millpond.functions.text import has_word, query_terms, word_count, words
 from millpond.functions.vectors import dot, norm
 from millpond.operators.keyed import first_per_key
 
@@ -33,20 +31,14 @@ def _filtered(docs: DataFrame, equals: dict) -> DataFrame:
 def matching(docs: DataFrame, query: str, name: str, description: str, **equals) -> DataFrame:
     """Documents that hold any word of the query, with their score.
 
-    A plain substring test runs first and drops most rows; words are counted only in what is left. Nothing
-    is shuffled.
+    The test stops at the first word found; words are counted only in documents that pass. Nothing is shuffled.
     """
     docs = _filtered(docs, equals)
     terms = query_terms(query)
     if not terms:
         return docs.withColumn("score", F.lit(0.0))
-    fields = [(F.lower(F.coalesce(as_column(c), F.lit(""))), c) for c in (name, description)]
-    maybe = reduce(lambda a, b: a | b, [f.contains(t) for f, _ in fields for t in terms])
-    total = reduce(
-        lambda a, b: a + b,
-        [word_count(name, t) * NAME_WEIGHT + word_count(description, t) * DESCRIPTION_WEIGHT for t in terms],
-    )
-    return docs.filter(maybe).withColumn("score", bounded(total)).filter("score > 0")
+    total = word_count(name, terms) * NAME_WEIGHT + word_count(description, terms) * DESCRIPTION_WEIGHT
+    return docs.filter(has_word(name, terms) | has_word(description, terms)).withColumn("score", bounded(total))
 
 
 def ranked_search(
@@ -76,14 +68,12 @@ def search_packages(
 def term_index(docs: DataFrame, id_col: str, name: str, description: str, buckets: int = 64) -> DataFrame:
     """One row per (term, document) with its weight; write it partitioned by ``term_bucket``.
 
-    All words of a document are exploded in one task, so its counts are complete before the shuffle.
+    All words of a document's field are exploded in one task, so they are counted there before the shuffle.
     """
-    weighted = F.concat(
-        F.transform(tokens(name), lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
-        F.transform(tokens(description), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))),
-    )
-    words = docs.select(F.col(id_col), F.explode(weighted).alias("w")).select(id_col, "w.*")
-    counts = words.groupBy("term", id_col).agg(F.sum("n").alias("name_count"), F.sum("d").alias("description_count"))
+    in_name = docs.select(id_col, F.explode(words(name)).alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))
+    in_text = docs.select(id_col, F.explode(words(description)).alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))
+    found = in_name.unionByName(in_text).filter("term <> ''")
+    counts = found.groupBy("term", id_col).agg(F.sum("n").alias("name_count"), F.sum("d").alias("description_count"))
     return counts.withColumn("term_bucket", bucket_of(["term"], buckets))
 
 

@@ -88,29 +88,48 @@ class KeyedTable:
         if not touched:
             return []
 
-        on = [BUCKET, *self.keys]
-        stored = self.spark.table(self.name).filter(F.col(BUCKET).isin(touched))
-        kept = stored.join(staged.select(*on), on, "left_anti").select(*stored.columns)
-        merged = kept.unionByName(staged.filter("NOT _removed").select(*stored.columns))
-        self._replace(merged, touched, f"{self.location}/data/{version}")
+        filled = self._filled_buckets()
+        if not op:
+            # Nothing is stored in these buckets yet: the written change set is their content.
+            self._point_at([b for b in touched if b not in filled], staged_path, filled)
+            to_merge = [b for b in touched if b in filled]
+        else:
+            to_merge = touched
+        if to_merge:
+            on = [BUCKET, *self.keys]
+            stored = self.spark.table(self.name).filter(F.col(BUCKET).isin(to_merge))
+            changed = staged.filter(F.col(BUCKET).isin(to_merge))
+            kept = stored.join(changed.select(*on), on, "left_anti").select(*stored.columns)
+            merged = kept.unionByName(changed.filter("NOT _removed").select(*stored.columns))
+            self._replace(merged, to_merge, f"{self.location}/data/{version}", filled)
+        self.spark.catalog.refreshTable(self.name)
         return touched
 
-    def _replace(self, rows: DataFrame, buckets: list[int], path: str) -> None:
+    def _filled_buckets(self) -> set[int]:
+        parts = self.spark.sql(f"SHOW PARTITIONS {_quoted(self.name)}").collect()
+        return {int(r[0].split("=")[1]) for r in parts}
+
+    def _point_at(self, buckets: list[int], path: str, filled: set[int]) -> None:
+        table = _quoted(self.name)
+        new = [b for b in buckets if b not in filled]
+        if new:
+            places = " ".join(f"PARTITION ({BUCKET} = {b}) LOCATION {_text(f'{path}/{BUCKET}={b}')}" for b in new)
+            self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {places}")
+        for b in buckets:
+            if b in filled:
+                place = _text(f"{path}/{BUCKET}={b}")
+                self.spark.sql(f"ALTER TABLE {table} PARTITION ({BUCKET} = {b}) SET LOCATION {place}")
+
+    def _replace(self, rows: DataFrame, buckets: list[int], path: str, filled: set[int]) -> None:
         # Keys are unique here, so buckets are even; rebalance splits or joins them into fit files.
         rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
         written = {
             r[0] for r in self.spark.read.schema(rows.schema).parquet(path).select(BUCKET).distinct().collect()
         }
-        table = _quoted(self.name)
+        self._point_at([b for b in buckets if b in written], path, filled)
         for b in buckets:
-            if b in written:
-                self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({BUCKET} = {b})")
-                self.spark.sql(
-                    f"ALTER TABLE {table} PARTITION ({BUCKET} = {b}) SET LOCATION {_text(f'{path}/{BUCKET}={b}')}"
-                )
-            else:
-                self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({BUCKET} = {b})")
-        self.spark.catalog.refreshTable(self.name)
+            if b not in written and b in filled:
+                self.spark.sql(f"ALTER TABLE {_quoted(self.name)} DROP IF EXISTS PARTITION ({BUCKET} = {b})")
 
     def evolve(self, wanted: T.StructType, allow_drop: bool = False) -> None:
         """Bring the table to the declared schema. Columns are dropped only when that is allowed.

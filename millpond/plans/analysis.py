@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millpond.functions.dates import in_range
 from millpond.functions.numbers import numeric_share
-from millpond.functions.text import tokens
+from millpond.functions.text import words
 from millpond.operators import catalogs, timelines
 from millpond.plans import plan, read_parquet
 
@@ -26,8 +26,8 @@ def distinct_packages(spark, sf):
        WHERE keyword <> '' ORDER BY 1""",
 )
 def all_keywords(spark, sf):
-    words = F.array_distinct(tokens("text"))
-    return read_parquet(spark, sf, "documents").select(F.explode(words).alias("keyword")).distinct().orderBy("keyword")
+    found = read_parquet(spark, sf, "documents").select(F.explode(words("text")).alias("keyword"))
+    return found.filter("keyword <> ''").distinct().orderBy("keyword")
 
 
 @plan(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +35,12 @@ def upsert_stream(
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(batch, seq=seq, op=op, label=f"batch-{batch_id}")
+        seen = Observation()
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("rows_written"))
+        table.upsert(counted, seq=seq, op=op, label=f"batch-{batch_id}")
         if log is not None:
-            log.upsert(
-                batch.agg(F.count("*").alias("rows_written")).select(
-                    F.lit(run).alias("run"), F.lit(batch_id).cast("long").alias("batch"), "rows_written"
-                )
-            )
+            rows = [(run, batch_id, seen.get["rows_written"])]
+            log.upsert(batch.sparkSession.createDataFrame(rows, LOG_SCHEMA))
 
     return (
         stream.writeStream.foreachBatch(merge)

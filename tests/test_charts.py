@@ -1,0 +1,75 @@
+import pytest
+from pyspark.sql import functions as F
+
+from millpond.model import ChartSpec
+from millpond.operators import charts
+
+
+def slices(spark, values, n=10):
+    df = spark.createDataFrame([(i, name, v) for i, (name, v) in enumerate(values)], "seq long, name string, value double")
+    return [tuple(r) for r in charts.pie_slices(df, "name", "value", "seq", n).orderBy(F.col("value").desc(), "name").collect()]
+
+
+def brute_force(values, n):
+    named = [(name or f"Item {i + 1}", v or 0.0) for i, (name, v) in enumerate(values)]
+    ordered = sorted(named, key=lambda x: -x[1])
+    if len(ordered) > n:
+        ordered = ordered[: n - 1] + [("Other", sum(v for _, v in ordered[n - 1 :]))]
+    return sorted(ordered, key=lambda x: (-x[1], x[0]))
+
+
+@pytest.mark.parametrize("size", [1, 9, 10, 11, 40])
+def test_pie_matches_brute_force(spark, size):
+    values = [(f"n{i % 13}" if i % 4 else None, float((i * 37) % 50)) for i in range(size)]
+    assert slices(spark, values) == brute_force(values, 10)
+
+
+def test_pie_defaults(spark):
+    assert slices(spark, [(None, 3.0), ("", 2.0), ("a", None)]) == [("Item 1", 3.0), ("Item 2", 2.0), ("a", 0.0)]
+
+
+def test_pie_of_nothing(spark):
+    assert slices(spark, []) == []
+
+
+def test_value_range(spark):
+    df = spark.createDataFrame([(1, "x", 10.0), (2, "y", 99.0)], "k long, t string, v double")
+    assert tuple(charts.y_range(df, ["v"]).first()) == (0, 109)
+    assert tuple(charts.y_range(df, ["v", "k"]).first()) == (0, 109)
+    assert tuple(charts.y_range(df, ["t"]).first()) == (0, 100)
+    assert tuple(charts.y_range(df.limit(0), ["v"]).first()) == (0, 100)
+
+
+def test_series_defaults_to_the_first_other_column():
+    assert charts.default_series(["day", "n", "m"], "day") == ["n"]
+    with pytest.raises(ValueError, match="no column besides"):
+        charts.default_series(["day"], "day")
+
+
+def keys_in_order(spark, keys):
+    df = spark.createDataFrame([(i, k, i) for i, k in enumerate(keys)], "seq long, k string, v long")
+    return [r.k for r in charts.chart_series(df, ChartSpec("line", "q", "k", ("v",)), seq="seq").collect()]
+
+
+def test_numeric_text_is_sorted_as_numbers(spark):
+    assert keys_in_order(spark, ["10", "9", "100", "1"]) == ["1", "9", "10", "100"]
+
+
+def test_eighty_percent_is_enough(spark):
+    assert keys_in_order(spark, ["10", "9", "x", "2", "1"]) == ["1", "2", "9", "10", "x"]
+
+
+def test_less_keeps_the_input_order(spark):
+    assert keys_in_order(spark, ["10", "9", "x", "y", "1"]) == ["10", "9", "x", "y", "1"]
+
+
+def test_declared_types_decide(spark):
+    df = spark.sql("SELECT * FROM VALUES (DATE'2024-03-01', 1), (DATE'2023-03-01', 2) AS t(d, v)")
+    assert [r.v for r in charts.chart_series(df, ChartSpec("area", "q", "d")).collect()] == [2, 1]
+
+
+def test_chart_types():
+    assert ChartSpec("LINE", "q", "k").kind() == "line"
+    assert [ChartSpec(t, "q", "k").kind() for t in ("donut", "radar", "scatter", "sparkline")] == ["bar"] * 4
+    with pytest.raises(ValueError, match="unknown chart type"):
+        ChartSpec("cube", "q", "k").kind()

@@ -1,0 +1,129 @@
+import pytest
+from pyspark.errors import AnalysisException
+
+from millpond.model import QuerySpec
+from millpond.operators import gateway, reports
+
+
+@pytest.fixture
+def shop(spark):
+    spark.createDataFrame(
+        [(1, "Alice", "alice@example.com"), (2, "Bob", "bob@example.com"), (3, "Charlie", "charlie@example.com")],
+        "id long, name string, email string").createOrReplaceTempView("users")
+    spark.createDataFrame(
+        [("Laptop", 999.99, "Electronics"), ("Phone", 599.99, "Electronics"), ("Book", 19.99, "Education")],
+        "name string, price double, category string").createOrReplaceTempView("products")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "DROP TABLE users", "  insert into users values (1)", "CREATE TABLE x (a int)", "SELECT 1; DROP TABLE users", "SELECT 1) q --",
+        "WITH a AS (SELECT 1) DELETE FROM users", "TRUNCATE TABLE users", "SET x = 1", "select 1) union (select 2",
+    ],
+)
+def test_writes_and_commands_are_rejected(spark, shop, text):
+    with pytest.raises(gateway.ReadOnlyError):
+        gateway.run_sql(spark, text)
+    assert spark.catalog.tableExists("users")
+
+
+def test_what_is_checked_is_what_runs(spark):
+    # As a subquery this reads a table named "show"; it never lists tables.
+    with pytest.raises(AnalysisException):
+        gateway.run_sql(spark, "SHOW TABLES")
+
+
+@pytest.mark.parametrize(
+    "text, count",
+    [
+        ("SELECT name FROM users ORDER BY name", 3), ("WITH a AS (SELECT * FROM users) SELECT * FROM a LIMIT 2", 2),
+        ("SELECT 'drop table' AS update_note -- a remark", 1), ("SELECT category FROM products UNION SELECT 'x'", 3),
+    ],
+)
+def test_queries_run(spark, shop, text, count):
+    assert gateway.run_sql(spark, text).count() == count
+
+
+def test_parameters(spark, shop):
+    assert [r.name for r in gateway.run_sql(spark, "SELECT name FROM products WHERE price > ? ORDER BY 1", [500]).collect()] == ["Laptop", "Phone"]
+    assert gateway.run_sql(spark, "SELECT * FROM users WHERE name = :n", {"n": "Bob"}).first().id == 2
+    with pytest.raises(gateway.ReadOnlyError):
+        gateway.run_sql(spark, "DELETE FROM users WHERE id = ?", [1])
+
+
+def test_preview_caps_rows_and_keeps_the_count(spark):
+    shown = gateway.preview(spark.range(120).toDF("id")).collect()
+    assert len(shown) == 50 and {r.total_rows for r in shown} == {120}
+    assert "50 of 120" in gateway.preview_note(50, 120) and gateway.preview_note(50, 50) is None
+    assert gateway.preview(spark.range(3).toDF("id")).count() == 3
+
+
+def test_registry(spark, shop):
+    queries = gateway.QueryRegistry(spark)
+    assert queries.register("p1", [QuerySpec("all users", "SELECT name FROM users ORDER BY name"), QuerySpec("user_count", "SELECT count(*) AS count FROM users")]) == "p1"
+    assert [r.name for r in queries.run("p1", "all users").collect()] == ["Alice", "Bob", "Charlie"]
+    assert queries.run("p1", "user_count").first()["count"] == 3
+    proxy = queries.proxy("p1")
+    assert proxy.userCount().first()["count"] == 3 and proxy.allUsers().count() == 3
+    assert proxy.fetch_data("user_count").count() == 1
+    with pytest.raises(AttributeError):
+        proxy.nothing
+    with pytest.raises(KeyError, match="Unknown query: nope"):
+        queries.run("p1", "nope")
+    with pytest.raises(KeyError, match="Unknown dataSpec for project: p2"):
+        queries.run("p2", "all users")
+    with pytest.raises(KeyError, match="Unknown dataSpec for project: p2"):
+        queries.proxy("p2")
+    queries.register("p1", [QuerySpec("other", "SELECT 1 AS one")])
+    assert [q.name for q in queries.get("p1")] == ["other"]
+    queries.unregister("p1")
+    assert queries.get("p1") is None
+
+
+def test_sample_rows(spark):
+    queries = gateway.QueryRegistry(spark)
+    spec = QuerySpec("s", "SELECT 1", columns=(("n", "number"), ("t", "string"), ("ok", "boolean")), sample=({"n": 1.0, "t": "a", "ok": True}, {"n": 2.0}))
+    queries.register("p", [spec, QuerySpec("empty", "SELECT 1", columns=(("n", "number"),))])
+    assert [tuple(r) for r in queries.sample("p", "s").collect()] == [(1.0, "a", True), (2.0, None, None)]
+    assert queries.sample("p", "empty").count() == 0
+
+
+def test_all_broken_queries_are_reported(spark, shop):
+    broken = gateway.broken_queries(spark, [
+        QuerySpec("good", "SELECT * FROM users"), QuerySpec("no table", "SELECT * FROM missing_table"),
+        QuerySpec("no column", "SELECT nope FROM users"), QuerySpec("write", "DROP TABLE users")])
+    assert [name for name, _ in broken] == ["no table", "no column", "write"]
+    assert all("failed with error" in message for _, message in broken)
+
+
+def test_result_cache(spark, shop):
+    cache = gateway.ResultCache(spark)
+    first = cache.run("SELECT * FROM users")
+    assert cache.run("SELECT * FROM users") is first and first.is_cached
+    cache.clear()
+    assert not first.is_cached and cache.run("SELECT * FROM users") is not first
+
+
+def test_report_bundle(spark, shop):
+    queries = gateway.QueryRegistry(spark)
+    queries.register("p", [QuerySpec("users", "SELECT id, name FROM users"), QuerySpec("prices", "SELECT price FROM products")])
+    text = '# R\n```chart\n{"type":"bar","dataQueryName":"users","keyColumnName":"name"}\n```\n```chart\n{"type":"pie","dataQueryName":"prices","keyColumnName":"name","seriesColumnNames":["price"]}\n```\n```chart\n{oops\n```'
+    charts = reports.report_charts(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text")
+    got = [tuple(r) for r in charts.orderBy("position").select("type", "query_name", "series_columns", "is_invalid").collect()]
+    assert got == [("bar", "users", None, False), ("pie", "prices", ["price"], False), (None, None, None, True)]
+    have = queries.bundle("p", ["users"])
+    assert [r.query_name for r in reports.missing_queries(charts, have).collect()] == ["prices"]
+    bundle = queries.bundle("p", ["users", "prices", "users"])
+    assert bundle.groupBy("query_name").count().filter("count <> 3").count() == 0
+    assert '{"id":1,"name":"Alice"}' in [r.record for r in bundle.collect()]
+    with pytest.raises(KeyError, match="Unknown query"):
+        queries.bundle("p", ["users", "unknown"])
+
+
+def test_statement_matching(spark):
+    statements = spark.createDataFrame(
+        [(1, "SELECT 1"), (2, "SELECT * FROM sales x"), (3, "SELECT * FROM sales_by_week"), (4, "SELECT 2")], "id long, statement string")
+    specs = spark.createDataFrame([("one", "SELECT 1"), ("sales", "SELECT 9")], "name string, query string")
+    got = {r.id: r.name for r in reports.match_statements(statements, specs, "id").collect()}
+    assert got == {1: "one", 2: "sales"}

@@ -1,0 +1,102 @@
+import pytest
+from pyspark.sql import functions as F
+
+from millpond.operators import search
+from millpond.sources.files import find_files
+
+
+@pytest.fixture(scope="module")
+def components(spark):
+    rows = [
+        (1, "Button", "A clickable button component for user interfaces", "@mantine/core"),
+        (2, "TextInput", "Input field for forms, with search support", "@mantine/core"),
+        (3, "SearchBox", "A search box with search suggestions", "@mantine/core"),
+        (4, "DataTable", "Sortable table of rows", "@material-ui/core"),
+        (5, "Card", "Container for ui content", "@material-ui/core"),
+        (6, "Search", "Finds things", "@material-ui/core"),
+    ]
+    return spark.createDataFrame(rows, "id long, name string, description string, package string").cache()
+
+
+def names(df):
+    return [r.name for r in df.collect()]
+
+
+def find(components, query, **kw):
+    return search.ranked_search(components, query, "id", "name", "description", **kw)
+
+
+def test_name_counts_more_than_description(components):
+    assert names(find(components, "search"))[0] == "Search"
+    assert set(names(find(components, "search"))) == {"Search", "SearchBox", "TextInput"}
+    assert names(find(components, "SEARCH")) == names(find(components, "search"))
+
+
+def test_words_are_ored_and_scores_bounded(components):
+    assert set(names(find(components, "button OR ui"))) == {"Button", "Card"}
+    assert find(components, "search").filter("score <= 0 OR score >= 1").count() == 0
+
+
+def test_blank_lists_all_by_name(components):
+    assert names(find(components, "   ")) == ["Button", "Card", "DataTable", "Search", "SearchBox", "TextInput"]
+
+
+def test_filters_offset_and_limit(components):
+    assert set(names(find(components, "search", package="@mantine/core"))) == {"SearchBox", "TextInput"}
+    assert find(components, "search", offset=1).count() == 2
+    assert find(components, "search", limit=1).count() == 1
+
+
+@pytest.mark.parametrize("query", ["'", "a' OR '1'='1", "& | !", "(search", "search:*", "\\", "%"])
+def test_symbols_do_no_harm(components, query):
+    find(components, query).collect()
+
+
+def test_index_gives_the_same_scores(spark, components, tmp_path):
+    path = str(tmp_path / "terms")
+    search.write_term_index(search.term_index(components, "id", "name", "description", buckets=4), path)
+    for query in ("search", "button ui input", "nothing", "search box"):
+        stored = search.search_index(search.read_term_index(spark, path, query, buckets=4), query, "id")
+        direct = search.matching(components, query, "name", "description")
+        as_set = lambda d: {(r.id, round(r.score, 9)) for r in d.select("id", "score").collect()}
+        assert as_set(stored) == as_set(direct)
+
+
+def test_several_packages(components):
+    doubled = components.unionByName(components.withColumn("id", F.col("id") + 10))
+    got = search.search_packages(doubled, "search ui", ["@mantine/core", "@material-ui/core"], "package", "name", "description", "id").collect()
+    assert [(r.package, r.name) for r in got] == [
+        ("@mantine/core", "SearchBox"), ("@mantine/core", "TextInput"), ("@material-ui/core", "Card"), ("@material-ui/core", "Search")]
+    assert {r.total_found for r in got} == {4}
+
+
+def test_line_search(spark):
+    df = spark.createDataFrame([(1, "one\ntwo Foo\nthree foo"), (2, "foo\n")], "id long, text string")
+    got = [tuple(r) for r in search.grep(df, "id", "text", "[Ff]oo$").collect()]
+    assert sorted(got) == [(1, 2, "two Foo"), (1, 3, "three foo"), (2, 1, "foo")]
+    assert search.grep(df, "id", "text", "foo", literal=True, limit=1).collect()[0].line_number == 3
+    assert search.grep(df, "id", "text", "o+", limit=2).count() == 2
+
+
+def test_files_by_glob(spark, tmp_path):
+    for name, size in [("a.txt", 3), ("sub/b.txt", 5), ("c.md", 1)]:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x" * size)
+    assert {(r.file, r.bytes) for r in find_files(spark, str(tmp_path), "*.txt").collect()} == {("a.txt", 3), ("b.txt", 5)}
+    assert find_files(spark, str(tmp_path), "*", limit=2).count() == 2
+
+
+def test_nearest_matches_numpy(spark, small):
+    import numpy as np
+
+    vectors = spark.read.parquet(f"{small}/embeddings.parquet")
+    data = {r.vec_id: np.array(r.embedding, dtype=float) for r in vectors.collect()}
+    q = next(iter(data.values()))
+    cos = {i: float(v @ q / np.linalg.norm(v) / np.linalg.norm(q)) for i, v in data.items()}
+    want = sorted(cos, key=lambda i: (-round(cos[i], 9), i))[:5]
+    got = search.nearest(vectors, "vec_id", "embedding", list(q), 5).collect()
+    assert [r.vec_id for r in got] == want
+    assert all(abs(r.similarity - cos[r.vec_id]) < 1e-9 for r in got)
+    by_hash = search.nearest_by_hash(vectors, "vec_id", "embedding", list(q), 5).collect()
+    assert all(abs(r.similarity - cos[r.vec_id]) < 1e-6 for r in by_hash)
+    assert max(by_hash, key=lambda r: r.similarity).vec_id == want[0]
