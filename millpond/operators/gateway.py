@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from millpond.functions.text import camel_case
 from millpond.model import QuerySpec
+from millpond.operators.keyed import REMOVED
 from millpond.operators.reports import result_records
+from millpond.operators.tables import KeyedTable
 
 # Fixed value: rows a caller is shown of a large result.
 SHOWN_ROWS = 50
@@ -51,30 +56,63 @@ def broken_queries(spark: SparkSession, specs: list[QuerySpec]) -> list[tuple[st
     return errors
 
 
+NAMED_QUERY = (
+    T.StructType().add("project", "string").add("name", "string").add("description", "string").add("query", "string")
+    .add("columns", T.ArrayType(T.StructType().add("name", "string").add("type", "string"))).add("sample", "string")
+)
+
+
 class QueryRegistry:
-    """Named queries per project. Registering a project replaces all of its queries."""
+    """Named queries per project. Registering a project replaces all of its queries.
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    With a keyed table on (project, name) they outlive the session; else they are kept in it.
+    """
+
+    def __init__(self, spark: SparkSession, store: KeyedTable | None = None):
+        self.spark, self.store = spark, store
         self._projects: dict[str, dict[str, QuerySpec]] = {}
 
     def register(self, project: str, specs: list[QuerySpec]) -> str:
+        if self.store is not None:
+            gone = set(self._find(project) or {}) - {s.name for s in specs}
+            self._write(project, specs, gone)
         self._projects[project] = {s.name: s for s in specs}
         return project
 
     def unregister(self, project: str) -> None:
+        if self.store is not None:
+            self._write(project, [], set(self._find(project) or {}))
         self._projects.pop(project, None)
 
     def get(self, project: str) -> list[QuerySpec] | None:
-        specs = self._projects.get(project)
+        specs = self._find(project)
         return None if specs is None else list(specs.values())
 
+    def _write(self, project: str, specs: list[QuerySpec], gone: set[str]) -> None:
+        rows = [(project, s.name, s.description, s.query, list(s.columns), json.dumps(s.sample), "added") for s in specs]
+        rows += [(project, name, None, None, None, None, REMOVED) for name in sorted(gone)]
+        self.store.upsert(self.spark.createDataFrame(rows, T.StructType([*NAMED_QUERY.fields, T.StructField("op", T.StringType())])), op="op")
+
+    def _find(self, project: str) -> dict[str, QuerySpec] | None:
+        if project not in self._projects and self.store is not None:
+            # The queries of one project, a handful of rows.
+            rows = self.store.read().filter(F.col("project") == project).orderBy("name").collect()
+            if rows:
+                self._projects[project] = {
+                    r.name: QuerySpec(
+                        r.name, r.query, r.description, tuple((c.name, c.type) for c in r["columns"]), tuple(json.loads(r["sample"]))
+                    )
+                    for r in rows
+                }
+        return self._projects.get(project)
+
     def _spec(self, project: str, name: str) -> QuerySpec:
-        if project not in self._projects:
+        specs = self._find(project)
+        if specs is None:
             raise KeyError(f"Unknown dataSpec for project: {project}")
-        if name not in self._projects[project]:
+        if name not in specs:
             raise KeyError(f"Unknown query: {name}")
-        return self._projects[project][name]
+        return specs[name]
 
     def run(self, project: str, name: str, args: list | dict | None = None) -> DataFrame:
         return run_sql(self.spark, self._spec(project, name).query, args)
@@ -87,7 +125,7 @@ class QueryRegistry:
         return self.spark.createDataFrame(rows, schema)
 
     def proxy(self, project: str) -> "QueryProxy":
-        if project not in self._projects:
+        if self._find(project) is None:
             raise KeyError(f"Unknown dataSpec for project: {project}")
         return QueryProxy(self, project)
 

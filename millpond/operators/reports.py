@@ -50,7 +50,7 @@ def match_statements(statements: DataFrame, specs: DataFrame, id_col: str) -> Da
         id_col, "name", F.lit(0).alias("_rank")
     )
     words = statements.select(
-        id_col, F.explode(F.array_distinct(F.regexp_extract_all("statement", F.lit(r"(\w+)"), F.lit(1)))).alias("name")
+        id_col, F.explode(F.regexp_extract_all("statement", F.lit(r"(\w+)"), F.lit(1))).alias("name")
     )
     named = words.join(specs.select("name"), "name").select(id_col, "name", F.lit(1).alias("_rank"))
     best = exact.unionByName(named).groupBy(id_col).agg(F.min(F.struct("_rank", "name")).alias("best"))

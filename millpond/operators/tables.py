@@ -8,6 +8,7 @@ reads are never touched, and a load that dies half-way is simply run again.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,15 @@ def _column_ddl(field: T.StructField) -> str:
     return f"`{field.name}` {field.dataType.simpleString()}" + (f" COMMENT {_text(comment)}" if comment else "")
 
 
+@dataclass(frozen=True)
+class Merged:
+    """What an upsert did: buckets rewritten, rows of the cleaned change set, and where that was written."""
+
+    buckets: list[int]
+    rows: int
+    staged: DataFrame
+
+
 class KeyedTable:
     """``name`` is ``database.table``; ``location`` is a folder all executors share."""
 
@@ -65,8 +75,8 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self.spark.table(self.name).drop(BUCKET)
 
-    def upsert(self, delta: DataFrame, seq: list[str] | None = None, op: str | None = None, label: str = "load") -> list[int]:
-        """Merge a change set; returns the buckets that were rewritten.
+    def upsert(self, delta: DataFrame, seq: list[str] | None = None, op: str | None = None, label: str = "load") -> Merged:
+        """Merge a change set.
 
         Running it again with the same change set leaves the table as it is.
         """
@@ -84,9 +94,11 @@ class KeyedTable:
         changes.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(staged_path)
         staged = self.spark.read.schema(changes.schema).parquet(staged_path)
         # At most one value per bucket; the number of buckets is fixed when the table is made.
-        touched = sorted(r[0] for r in staged.select(BUCKET).distinct().collect())
+        counts = {r[0]: r[1] for r in staged.groupBy(BUCKET).count().collect()}
+        touched = sorted(counts)
+        merged_rows = Merged(touched, sum(counts.values()), staged.drop(BUCKET, "_removed"))
         if not touched:
-            return []
+            return merged_rows
 
         filled = self._filled_buckets()
         if not op:
@@ -103,7 +115,7 @@ class KeyedTable:
             merged = kept.unionByName(changed.filter("NOT _removed").select(*stored.columns))
             self._replace(merged, to_merge, f"{self.location}/data/{version}", filled)
         self.spark.catalog.refreshTable(self.name)
-        return touched
+        return merged_rows
 
     def _filled_buckets(self) -> set[int]:
         parts = self.spark.sql(f"SHOW PARTITIONS {_quoted(self.name)}").collect()
@@ -157,6 +169,30 @@ class KeyedTable:
                 f"LOCATION {_text(f'{path}/{BUCKET}={r[0]}')}"
             )
 
+    def vacuum(self, keep_hours: float = 24.0) -> list[str]:
+        """Delete folders no partition points at any more, once they are older than any running query.
+
+        One load at a time may write a table; a folder of a load under way is protected by its age.
+        """
+        used = set()
+        for b in sorted(self._filled_buckets()):
+            rows = self.spark.sql(f"DESCRIBE FORMATTED {_quoted(self.name)} PARTITION ({BUCKET} = {b})").collect()
+            place = next(r.data_type for r in rows if r.col_name == "Location")
+            used.add("/".join(place.rstrip("/").rsplit("/", 3)[1:3]))
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        newest = jvm.java.lang.System.currentTimeMillis() - int(keep_hours * 3_600_000)
+        deleted = []
+        for part in ("data", "staged"):
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.location}/{part}")
+            fs = folder.getFileSystem(conf)
+            for status in fs.listStatus(folder) if fs.exists(folder) else []:
+                path = status.getPath()
+                name = f"{part}/{path.getName()}"
+                if name not in used and status.getModificationTime() <= newest:
+                    fs.delete(path, True)
+                    deleted.append(name)
+        return deleted
+
     def describe(self, comment: str, columns: dict[str, str] | None = None) -> None:
         """Set the comments of the table and of its columns."""
         self.spark.sql(f"COMMENT ON TABLE {_quoted(self.name)} IS {_text(comment)}")

@@ -18,7 +18,7 @@ IDLE_MS = 60_000
 
 def epoch_ms(ts: str) -> Column:
     """Zone-less time as epoch milliseconds, cut to the millisecond."""
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1000)).cast("long")
+    return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
 def idle_sessions(
@@ -27,40 +27,41 @@ def idle_sessions(
     """Sessions per key: a gap of at least ``idle_ms`` closes one.
 
     Rows are counted per millisecond first, which bounds a slice to ``slice_ms`` rows however hot its key is.
+    Rows without a key or a time belong to no session.
     """
     points = (
-        df.groupBy(*by, epoch_ms(ts).alias("_t"))
+        df.dropna(subset=[*by, ts])
+        .groupBy(*by, epoch_ms(ts).alias("_t"))
         .agg(F.count("*").alias("_n"))
-        .withColumn("_slice", F.floor(F.col("_t") / slice_ms).cast("long"))
+        .withColumn("_slice", F.col("_t") - F.pmod(F.col("_t"), F.lit(slice_ms)))
+        .filter(F.col("_slice").isNotNull())
     )
     in_slice = W.partitionBy(*by, "_slice").orderBy("_t")
     over_slices = W.partitionBy(*by).orderBy("_slice")
 
-    edges = points.groupBy(*by, "_slice").agg(F.max("_t").alias("_last")).select(
-        *by, "_slice", F.lag("_last").over(over_slices).alias("_before")
-    )
-    marked = (
-        points.withColumn("_prev", F.lag("_t").over(in_slice))
-        .join(edges, [*by, "_slice"])
-        .withColumn("_prev", F.coalesce("_prev", "_before"))
+    # Starts inside a slice need nothing from outside; only its first row does.
+    local = points.withColumn(
+        "_start", F.when(F.col("_t") - F.lag("_t").over(in_slice) >= idle_ms, F.col("_t"))
+    ).withColumn("_start", F.last("_start", ignorenulls=True).over(in_slice))
+    # The sum keeps the columns of both uses of `local` alike, so that they share one shuffle.
+    slices = (
+        local.groupBy(*by, "_slice")
+        .agg(
+            F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.max("_start").alias("_inner"),
+            F.sum("_n").alias("_rows"),
+        )
+        .withColumn("_gap", F.col("_first") - F.lag("_last").over(over_slices))
+        .withColumn("_opens", F.when(F.col("_gap").isNull() | (F.col("_gap") >= idle_ms), F.col("_first")))
         .withColumn(
-            "_start",
-            F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= idle_ms), F.col("_t")),
+            "_before",
+            F.last(F.coalesce("_inner", "_opens"), ignorenulls=True).over(
+                over_slices.rowsBetween(W.unboundedPreceding, -1)
+            ),
         )
+        .select(*by, "_slice", F.coalesce("_opens", "_before").alias("_open"), "_rows")
     )
-    carried = marked.groupBy(*by, "_slice").agg(F.max("_start").alias("_slice_start")).select(
-        *by,
-        "_slice",
-        F.last("_slice_start", ignorenulls=True)
-        .over(over_slices.rowsBetween(W.unboundedPreceding, -1))
-        .alias("_open"),
-    )
-    started = (
-        marked.withColumn("_start", F.last("_start", ignorenulls=True).over(in_slice))
-        .join(carried, [*by, "_slice"])
-        .withColumn("_start", F.coalesce("_start", "_open"))
-    )
-    return started.groupBy(*by, F.col("_start").alias("session_start_ms")).agg(
+    started = local.join(slices.filter("_rows > 0"), [*by, "_slice"])
+    return started.groupBy(*by, F.coalesce("_start", "_open").alias("session_start_ms")).agg(
         F.max("_t").alias("session_end_ms"), F.sum("_n").alias("rows")
     )
 
@@ -70,8 +71,10 @@ def as_of_join(
 ) -> DataFrame:
     """Each left row with the values of the latest right row of its key that is not later.
 
-    Both sides have ``by`` and ``ts``. Of right rows with one time the largest values win.
+    Both sides have ``by`` and ``ts``. Of right rows with one time the largest values win. Every left row stays;
+    one without a key or a time finds nothing.
     """
+    right = right.dropna(subset=[*by, ts])
     payload = F.struct(F.col(ts), *[F.col(v) for v in values])
     left_columns = left.columns
     rows = left.select(F.lit(1).alias("_side"), *left_columns, F.lit(None).alias("_right")).unionByName(
@@ -86,7 +89,7 @@ def as_of_join(
     found = (
         rows.withColumn("_local", F.last("_right", ignorenulls=True).over(in_slice))
         .filter("_side = 1")
-        .join(carried, [*by, "_slice"])
+        .join(carried, [*by, "_slice"], "left")
         .withColumn("_found", F.coalesce("_local", "_carried"))
     )
     return found.select(

@@ -190,19 +190,20 @@ def weekly_change_per_status(spark, sf):
 
 
 @plan(
-    "customer_ranks", "W8",
-    """SELECT c_nationkey, c_custkey, spent, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, ntile(4) OVER w AS quartile,
+    "ranked_months", "W8",
+    """SELECT o_orderpriority, month, spent, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, ntile(4) OVER w AS quartile,
          round(cume_dist() OVER w, 6) AS cume_dist FROM (
-         SELECT c_nationkey, c_custkey, round(sum(o_totalprice), 2) AS spent FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
-       WINDOW w AS (PARTITION BY c_nationkey ORDER BY spent DESC, c_custkey)""",
+         SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1, 2)
+       WINDOW w AS (PARTITION BY o_orderpriority ORDER BY spent DESC, month)""",
 )
-def customer_ranks(spark, sf):
-    spent = read_parquet(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+def ranked_months(spark, sf):
+    """Ranks over sums, so that a window sees one row per month however many orders there are."""
+    month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")
+    spent = read_parquet(spark, sf, "orders").groupBy("o_orderpriority", month).agg(
         F.round(F.sum("o_totalprice"), 2).alias("spent"))
-    by_nation = spent.join(read_parquet(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
-    w = W.partitionBy("c_nationkey").orderBy(F.col("spent").desc(), "c_custkey")
-    return by_nation.select(
-        "c_nationkey", "c_custkey", "spent", F.rank().over(w).cast("long").alias("rank"),
+    w = W.partitionBy("o_orderpriority").orderBy(F.col("spent").desc(), "month")
+    return spent.select(
+        "o_orderpriority", "month", "spent", F.rank().over(w).cast("long").alias("rank"),
         F.dense_rank().over(w).cast("long").alias("dense_rank"), F.ntile(4).over(w).cast("long").alias("quartile"),
         F.round(F.cume_dist().over(w), 6).alias("cume_dist"))
 

@@ -8,8 +8,10 @@ from millpond.functions.dates import period_bounds
 from millpond.model import ChartSpec, QuerySpec
 from millpond.operators import charts, gateway, keyed, timelines
 from millpond.operators.status import moment
+from millpond.operators.tables import KeyedTable
 from millpond.plans import plan, read_parquet
 from millpond.plans.analysis import TREND_SQL
+from millpond.session import new_folder
 
 AS_OF = datetime(2001, 8, 1)
 
@@ -68,6 +70,34 @@ def report_bundle_records(spark, sf):
     return queries.bundle("report", ["orders_by_status", "large orders", "orders_by_status"])
 
 
+@plan(
+    "report_store", "K18",
+    "SELECT doc_id AS id, source AS query_name, text FROM documents WHERE lang <> 'es'",
+)
+def report_store(spark, sf):
+    """Reports saved and fetched by id; those in one language are deleted again."""
+    reports = read_parquet(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("query_name"), "text", "lang")
+    folder = new_folder(spark, "reports")
+    store = KeyedTable(spark, f"demo_{folder.rsplit('-', 1)[1]}.report_bundle", folder, ["id"], buckets=4)
+    store.create(reports.drop("lang").schema)
+    store.upsert(reports)
+    store.upsert(reports.filter("lang = 'es'").withColumn("op", F.lit(keyed.REMOVED)), op="op")
+    return store.read()
+
+
+@plan(
+    "sql_function", "Y2",
+    "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY 1",
+)
+def sql_function(spark, sf):
+    """A function of the user, written in SQL: it is inlined into the plan, no Python runs."""
+    _views(spark, sf, "lineitem")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION net_price(price DOUBLE, discount DOUBLE) RETURNS DOUBLE RETURN price * (1 - discount)")
+    return gateway.run_sql(
+        spark, "SELECT l_returnflag, round(sum(net_price(l_extendedprice, l_discount)), 2) AS revenue FROM lineitem GROUP BY 1")
+
+
 _QUARTER = "o_orderdate >= TIMESTAMP '2001-04-01' AND o_orderdate < TIMESTAMP '2001-07-01'"
 
 

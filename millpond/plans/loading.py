@@ -4,10 +4,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from millpond.model import Resource
+from millpond.model import Connector, Resource
 from millpond.operators import profiles, status
 from millpond.plans import plan, read_parquet
+from millpond.session import new_folder
 from millpond.sources import feeds, tables
+from millpond.sources.connectors import ConnectorLoader
 
 SINCE = datetime(2001, 1, 1)
 AS_OF = datetime(2001, 8, 1)
@@ -76,6 +78,23 @@ def high_water_mark_per_type(spark, sf):
     )
 
 
+@plan(
+    "orders_loaded_in_two_steps", "S2 S14 S15 K1 K14 K20 Z1",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, o_orderdate, o_orderpriority FROM orders
+       WHERE o_orderdate >= TIMESTAMP '2000-07-01' - INTERVAL 365 DAY""",
+)
+def orders_loaded_in_two_steps(spark, sf):
+    """A first load with its look-back, then one from the position it left; together they equal a full load."""
+    orders = read_parquet(spark, sf, "orders")
+    folder = new_folder(spark, "shop")
+    shop = Connector(f"demo.{folder.rsplit('-', 1)[1]}", "Shop", "Orders of a shop", (ORDERS,))
+    loader = ConnectorLoader(spark, shop, folder, buckets=4)
+    until = datetime(2000, 7, 1)
+    loader.load(ORDERS, orders.filter(F.col("o_orderdate") <= status.moment(until)), until)
+    loaded = loader.load(ORDERS, orders, AS_OF)
+    return spark.table(loaded.table).drop("_bucket")
+
+
 _PROFILE_ROWS = {
     "region": ("r_regionkey, r_name", 2, ""),
     "nation": ("n_nationkey, n_name, n_regionkey", 3, ""),

@@ -16,7 +16,15 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Sessions of a busy key are joined inside each task before they are shuffled.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
+BYTES_PER_SHUFFLE_PARTITION = 256 * 1024 * 1024
+
+
+def shuffle_partitions(shuffled_bytes: int) -> int:
+    """Upper bound of shuffle partitions for a job that shuffles this much; adaptive execution joins small ones."""
+    return max(200, -(-shuffled_bytes // BYTES_PER_SHUFFLE_PARTITION))
 
 
 def build_session(app: str = "millpond", master: str | None = None, **conf: str) -> SparkSession:

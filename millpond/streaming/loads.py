@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from millpond.operators.tables import KeyedTable
@@ -35,12 +34,9 @@ def upsert_stream(
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        seen = Observation()
-        counted = batch.observe(seen, F.count(F.lit(1)).alias("rows_written"))
-        table.upsert(counted, seq=seq, op=op, label=f"batch-{batch_id}")
+        done = table.upsert(batch, seq=seq, op=op, label=f"batch-{batch_id}")
         if log is not None:
-            rows = [(run, batch_id, seen.get["rows_written"])]
-            log.upsert(batch.sparkSession.createDataFrame(rows, LOG_SCHEMA))
+            log.upsert(batch.sparkSession.createDataFrame([(run, batch_id, done.rows)], LOG_SCHEMA))
 
     return (
         stream.writeStream.foreachBatch(merge)

@@ -81,6 +81,19 @@ def test_registry(spark, shop):
     assert queries.get("p1") is None
 
 
+def test_stored_registry_outlives_the_object(spark, shop, keyed_table):
+    store = keyed_table(gateway.NAMED_QUERY, ["project", "name"], name="named_query")
+    first = gateway.QueryRegistry(spark, store)
+    spec = QuerySpec("n", "SELECT count(*) AS n FROM users", "how many", (("n", "number"),), ({"n": 3.0},))
+    first.register("p", [spec, QuerySpec("old", "SELECT 1 AS one")])
+    first.register("p", [spec])
+    second = gateway.QueryRegistry(spark, store)
+    assert second.get("p") == [spec] and second.run("p", "n").first().n == 3
+    assert second.sample("p", "n").first().n == 3.0
+    second.unregister("p")
+    assert gateway.QueryRegistry(spark, store).get("p") is None
+
+
 def test_sample_rows(spark):
     queries = gateway.QueryRegistry(spark)
     spec = QuerySpec("s", "SELECT 1", columns=(("n", "number"), ("t", "string"), ("ok", "boolean")), sample=({"n": 1.0, "t": "a", "ok": True}, {"n": 2.0}))

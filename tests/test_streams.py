@@ -33,11 +33,11 @@ def test_load_resumes_and_repeats_change_nothing(spark, keyed_table, tmp_path, a
     run()
     run()
     assert as_rows(table.read(), "id", "v") == [(1, "e"), (2, "c"), (3, "d")]
-    assert as_rows(log.read(), "rows_written") == [(1,), (2,), (3,)]
+    assert as_rows(log.read(), "rows_written") == [(1,), (2,), (2,)]
     # All batches once more, as after a lost checkpoint.
     loads.upsert_stream(stream(spark, folder, schema), table, str(tmp_path / "cp2"), seq=["seq"], log=log, run="r1").awaitTermination()
     assert as_rows(table.read(), "id", "v") == [(1, "e"), (2, "c"), (3, "d")]
-    assert log.read().agg(F.sum("rows_written")).first()[0] == 6
+    assert log.read().agg(F.sum("rows_written")).first()[0] == 5
 
 
 def test_stream_applies_deletes(spark, keyed_table, tmp_path, as_rows):

@@ -22,7 +22,7 @@ def test_only_touched_buckets_are_rewritten(spark, keyed_table):
     t = keyed_table("id long, v long", ["id"], buckets=16)
     t.upsert(spark.range(1000).select("id", F.lit(0).cast("long").alias("v")))
     before = {r.f for r in t.read().select(F.input_file_name().alias("f")).distinct().collect()}
-    touched = t.upsert(spark.createDataFrame([(5, 1)], "id long, v long"))
+    touched = t.upsert(spark.createDataFrame([(5, 1)], "id long, v long")).buckets
     after = {r.f for r in t.read().select(F.input_file_name().alias("f")).distinct().collect()}
     assert len(touched) == 1
     assert len(before - after) == 1 and len(after - before) == 1
@@ -39,6 +39,18 @@ def test_a_running_read_keeps_its_files(spark, keyed_table):
     assert t.read().agg(F.sum("v")).first()[0] == 100
 
 
+def test_vacuum_keeps_what_is_in_use(spark, keyed_table, as_rows):
+    t = keyed_table("id long, v long", ["id"])
+    for v in range(3):
+        t.upsert(spark.range(20).select("id", F.lit(v).cast("long").alias("v")))
+    want = as_rows(t.read())
+    assert t.vacuum(keep_hours=24) == []
+    deleted = t.vacuum(keep_hours=0)
+    assert len(deleted) == 4 and {d.split("/")[0] for d in deleted} == {"data", "staged"}
+    spark.catalog.refreshTable(t.name)
+    assert as_rows(t.read()) == want and t.vacuum(keep_hours=0) == []
+
+
 def test_removing_a_whole_bucket(spark, keyed_table):
     t = keyed_table("id long, v long", ["id"], buckets=1)
     rows = spark.createDataFrame([(1, 1, "added"), (2, 2, "added")], "id long, v long, op string")
@@ -52,7 +64,8 @@ def test_removing_a_whole_bucket(spark, keyed_table):
 
 def test_empty_change_set(spark, keyed_table):
     t = keyed_table("id long", ["id"])
-    assert t.upsert(spark.range(0)) == []
+    done = t.upsert(spark.range(0))
+    assert (done.buckets, done.rows) == ([], 0)
     assert t.read().count() == 0
 
 

@@ -54,6 +54,18 @@ def test_a_gap_of_exactly_the_limit_closes(spark):
     assert timelines.idle_sessions(frame(spark, at(0, 60_000)), ["k"], "ts").count() == 2
 
 
+def test_as_of_join_keeps_rows_without_key_or_time(spark):
+    left = spark.createDataFrame([(1, None, START), (2, 1, None), (3, 1, START)], "id long, k long, ts timestamp_ntz")
+    right = spark.createDataFrame([(None, START, 7), (1, None, 8), (1, START, 9)], "k long, ts timestamp_ntz, v long")
+    got = timelines.as_of_join(left, right, ["k"], "ts", ["v"])
+    assert {r.id: r.v for r in got.collect()} == {1: None, 2: None, 3: 9}
+
+
+def test_sessions_ignore_rows_without_key_or_time(spark):
+    df = frame(spark, [(1, None, START, "a"), (2, 1, None, "a"), (3, 1, START, "a")])
+    assert [tuple(r)[0] for r in timelines.idle_sessions(df, ["k"], "ts").collect()] == [1]
+
+
 @pytest.mark.parametrize("unit", ["hour", "day"])
 def test_as_of_join(spark, unit):
     rows = skewed_events(300, 7)
