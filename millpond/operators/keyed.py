@@ -53,6 +53,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A number that depends on the content of a row only."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*plain)
+
+
+def one_per_key(df: DataFrame, keys: list[str], seq: list[str] | None = None) -> DataFrame:
+    """The latest row per key; without a sequence the choice depends on the rows only, not on their order."""
+    return latest_per_key(df, keys, seq) if seq else first_per_key(df, keys, [row_hash(df)])
+
+
 def latest_per_key(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
     return first_per_key(df, keys, [F.col(c).desc_nulls_last() for c in seq])
 
@@ -69,9 +80,7 @@ def merge_by_key(
     ``base`` has one row per key already, so only the change set is made unique. The anti join ships
     nothing but keys of the change set; rows of ``base`` pass through unsorted.
     """
-    changes = with_key(delta, keys)
-    if seq:
-        changes = latest_per_key(changes, keys, seq)
+    changes = one_per_key(with_key(delta, keys), keys, seq)
     kept = base.join(changes.select(*keys), keys, "left_anti")
     if op:
         changes = changes.filter(F.coalesce(F.col(op), F.lit("")) != REMOVED)
@@ -83,7 +92,7 @@ def update_fields(base: DataFrame, delta: DataFrame, keys: list[str], seq: str,
 
     Several changes of one key fold into one row per key first: per column the last value that was set.
     """
-    folded = delta.groupBy(*keys).agg(
+    folded = with_key(delta, keys).groupBy(*keys).agg(
         *[F.max_by(F.struct(F.col(c)), F.when(m, F.col(seq))).alias(f"_new_{c}") for c, m in masks.items()]
     )
     joined = base.join(folded, keys, "full_outer")

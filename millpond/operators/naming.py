@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # Words that get the suffix by default, those a feed is likely to use as a field name.
@@ -29,6 +29,15 @@ RESERVED_WORDS = frozenset(
 SUFFIX = "_col"
 
 
+def reserved_words(spark: SparkSession, path: str | None = None) -> frozenset[str]:
+    """The default words with Spark's own keywords and, if given, those of a text file with one word per line."""
+    words = spark.sql("SELECT lower(keyword) AS value FROM sql_keywords()")
+    if path:
+        words = words.union(spark.read.text(path).selectExpr("lower(trim(value))"))
+    # A few hundred words, needed on the driver to name columns.
+    return RESERVED_WORDS | {r.value for r in words.distinct().collect() if r.value}
+
+
 def safe_name(name: str, reserved: frozenset[str] = RESERVED_WORDS) -> str:
     return f"{name}{SUFFIX}" if name.lower() in reserved else name
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millpond.functions.columns import bucket_of
-from millpond.operators.keyed import REMOVED, latest_per_key, project_declared, with_key
+from millpond.operators.keyed import REMOVED, one_per_key, project_declared, with_key
 from millpond.operators.naming import evolved_schema, schema_change
 
 BUCKET = "_bucket"
@@ -81,9 +81,7 @@ class KeyedTable:
         Running it again with the same change set leaves the table as it is.
         """
         version = f"{label}-{uuid.uuid4().hex}"
-        changes = with_key(delta, self.keys)
-        if seq:
-            changes = latest_per_key(changes, self.keys, seq)
+        changes = one_per_key(with_key(delta, self.keys), self.keys, seq)
         removed = F.coalesce(F.col(op) == REMOVED, F.lit(False)) if op else F.lit(False)
         changes = project_declared(changes.withColumn("_removed", removed), T.StructType(
             self.schema().fields + [T.StructField("_removed", T.BooleanType())]

@@ -67,7 +67,7 @@ def idle_sessions(
 
 
 def as_of_join(
-    left: DataFrame, right: DataFrame, by: list[str], ts: str, values: list[str], slice_unit: str = "day"
+    left: DataFrame, right: DataFrame, by: list[str], ts: str, values: list[str], slice_unit: str = "minute"
 ) -> DataFrame:
     """Each left row with the values of the latest right row of its key that is not later.
 
@@ -98,28 +98,43 @@ def as_of_join(
 
 
 def counts_before(
-    df: DataFrame, by: list[str], ts: str, is_counted: Column, is_asking: Column, within_seconds: int
+    df: DataFrame, by: list[str], ts: str, is_counted: Column, is_asking: Column, within_seconds: int,
+    slice_seconds: int = 60,
 ) -> DataFrame:
     """For each asking row, how many counted rows of its key lie within the seconds before it (inclusive).
 
-    A range join that never builds pairs: counted rows go to their own time bucket and the next one, and a
-    range frame counts inside (key, bucket).
+    A range join without pairs: the answer is the running count up to the row less the one up to the start of
+    its range. Both are read off one running count per key, kept per (key, time slice) and carried over.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    width = within_seconds * 1_000_000
-    rows = df.filter(is_counted | is_asking).withColumns({"_us": micros, "_counted": is_counted.cast("int"), "_asking": is_asking}).withColumn(
-        "_home", F.floor(F.col("_us") / width).cast("long")
+    width, slice_us = within_seconds * 1_000_000, slice_seconds * 1_000_000
+    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    keyed = rows.dropna(subset=[*by, "_us"])
+    counted = keyed.filter(is_counted).groupBy(*by, "_us").agg(F.count("*").alias("_n"))
+    asked = keyed.filter(is_asking).select(*by, "_us").distinct()
+    none = F.lit(0).cast("long")
+    points = (
+        asked.select(*by, F.explode(F.array(
+            F.struct((F.col("_us") - width).alias("_at"), F.lit(0).alias("_order"), none.alias("_n"), F.col("_us").alias("_ask"), F.lit(-1).alias("_sign")),
+            F.struct(F.col("_us").alias("_at"), F.lit(2).alias("_order"), none.alias("_n"), F.col("_us").alias("_ask"), F.lit(1).alias("_sign")),
+        )).alias("p")).select(*by, "p.*")
+        .unionByName(counted.select(
+            *by, F.col("_us").alias("_at"), F.lit(1).alias("_order"), "_n", F.lit(None).cast("long").alias("_ask"), F.lit(0).alias("_sign")))
+        .withColumn("_slice", F.col("_at") - F.pmod(F.col("_at"), F.lit(slice_us)))
+    )
+    in_slice = W.partitionBy(*by, "_slice").orderBy("_at", "_order").rowsBetween(W.unboundedPreceding, 0)
+    over_slices = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = points.groupBy(*by, "_slice").agg(F.sum("_n").alias("_n")).select(
+        *by, "_slice", F.coalesce(F.sum("_n").over(over_slices), none).alias("_before")
     )
-    spread = rows.withColumn(
-        "_cell",
-        F.explode(F.when(F.col("_counted") == 1, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))),
+    answers = (
+        points.withColumn("_sum", F.sum("_n").over(in_slice))
+        .filter("_order <> 1")
+        .join(carried, [*by, "_slice"])
+        .groupBy(*by, F.col("_ask").alias("_us"))
+        .agg(F.sum(F.col("_sign") * (F.col("_sum") + F.col("_before"))).alias("rows_before"))
     )
-    w = W.partitionBy(*by, "_cell").orderBy("_us").rangeBetween(-width, 0)
-    own = (F.col("_cell") == F.col("_home")) & F.col("_asking")
-    return (
-        spread.withColumn("rows_before", F.sum("_counted").over(w))
-        .filter(own)
-        .select(*df.columns, "rows_before")
+    return rows.filter(is_asking).join(answers, [*by, "_us"], "left").select(
+        *df.columns, F.coalesce("rows_before", none).alias("rows_before")
     )
 
 
@@ -144,8 +159,10 @@ def share_per_period(df: DataFrame, ts: str, category: str, value: Column, grain
     """Sum per period and category, and its percentage of the period."""
     period = F.date_trunc(grain, F.col(ts)).cast("timestamp_ntz").alias("period")
     totals = df.groupBy(period, category).agg(F.sum(value).alias("amount"))
-    whole = F.sum("amount").over(W.partitionBy("period"))
-    return totals.withColumn("percentage", F.try_divide(F.col("amount") * 100.0, whole))
+    # A join, not a window: a period may have any number of categories.
+    whole = totals.groupBy("period").agg(F.sum("amount").alias("_whole"))
+    shares = totals.join(whole, "period").withColumn("percentage", F.try_divide(F.col("amount") * 100.0, "_whole"))
+    return shares.drop("_whole")
 
 
 def windowed_counts(df: DataFrame, ts: str, by: list[str], size: str, slide: str | None = None) -> DataFrame:

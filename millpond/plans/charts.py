@@ -18,11 +18,12 @@ def _brand_values(spark, sf):
 @plan(
     "brand_pie", "C1 A8 L4",
     """WITH b AS (SELECT p_brand AS name, round(sum(l_extendedprice), 2) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-       r AS (SELECT *, row_number() OVER (ORDER BY value DESC, name) AS rn FROM b)
+       r AS (SELECT *, row_number() OVER (ORDER BY value DESC, CAST(split_part(name, '#', 2) AS BIGINT)) AS rn FROM b)
        SELECT CASE WHEN rn < 10 THEN name ELSE 'Other' END AS name, round(sum(value), 2) AS value FROM r GROUP BY 1""",
 )
 def brand_pie(spark, sf):
-    slices = charts.pie_slices(_brand_values(spark, sf), "p_brand", "value", "p_brand")
+    values = _brand_values(spark, sf).withColumn("seq", F.substring_index("p_brand", "#", -1).cast("long"))
+    slices = charts.pie_slices(values, "p_brand", "value", "seq")
     return slices.withColumn("value", F.round("value", 2))
 
 
@@ -30,7 +31,7 @@ def brand_pie(spark, sf):
 def type_pie(spark, sf):
     # Six types fit; none is folded into "Other".
     counts = read_parquet(spark, sf, "part").groupBy("p_type").agg(F.count("*").alias("n"))
-    return charts.pie_slices(counts, "p_type", "n", "p_type")
+    return charts.pie_slices(counts.withColumn("seq", F.xxhash64("p_type")), "p_type", "n", "seq")
 
 
 @plan(

@@ -90,7 +90,7 @@ def orders_loaded_in_two_steps(spark, sf):
     shop = Connector(f"demo.{folder.rsplit('-', 1)[1]}", "Shop", "Orders of a shop", (ORDERS,))
     loader = ConnectorLoader(spark, shop, folder, buckets=4)
     until = datetime(2000, 7, 1)
-    loader.load(ORDERS, orders.filter(F.col("o_orderdate") <= status.moment(until)), until)
+    loader.load(ORDERS, orders.filter(F.col("o_orderdate") <= status.moment(until)), until, look_back=status.LOOK_BACK)
     loaded = loader.load(ORDERS, orders, AS_OF)
     return spark.table(loaded.table).drop("_bucket")
 

@@ -250,8 +250,8 @@ def change_feed_applied(spark, sf):
     )
     # A page has at most 50 changes.
     pages = events.groupBy("page_no").agg(
-        *[F.collect_list(F.when(F.col("op") == o, F.col("item"))).alias(o) for o in ("added", "modified", "removed")]
+        *[F.array_sort(F.collect_list(F.when(F.col("op") == o, F.col("item")))).alias(o) for o in ("added", "modified", "removed")]
     ).select("page_no", F.to_json(F.struct("added", "modified", "removed")).alias("page"))
-    changes = feeds.change_rows(pages, "page", "page_no", item, "account_id")
+    changes = feeds.change_rows(pages, "page", "page_no", item)
     empty = changes.select("account_id", "transaction_id", "amount").limit(0)
-    return keyed.merge_by_key(empty, changes, ["account_id"], ["change_seq", "transaction_id"], op="op")
+    return keyed.merge_by_key(empty, changes, ["account_id"], ["change_seq", "change_pos"], op="op")

@@ -16,7 +16,7 @@ from millpond.functions.text import schema_name, table_name
 from millpond.model import Connector, Resource
 from millpond.operators.keyed import find_key
 from millpond.operators.naming import rename_reserved, safe_name
-from millpond.operators.status import LOOK_BACK, high_water_mark
+from millpond.operators.status import high_water_mark
 from millpond.operators.tables import KeyedTable, disconnect
 from millpond.sources.tables import first_load, incremental, sync_column
 
@@ -66,11 +66,12 @@ class ConnectorLoader:
 
     def load(
         self, resource: Resource, source: DataFrame, as_of: datetime, seq: list[str] | None = None,
-        op: str | None = None, overlap: timedelta = timedelta(0), look_back: timedelta | None = LOOK_BACK,
+        op: str | None = None, overlap: timedelta = timedelta(0), look_back: timedelta | None = None,
         allow_drop: bool = False,
     ) -> Loaded:
         """Bring one resource up to date.
 
+        A first load takes everything, or what lies within ``look_back`` for feeds that only go back so far.
         The data is committed first, then the position. A load that dies in between is done again and changes
         nothing. The position is the newest time seen in the data, so the clocks of source and cluster need
         not agree. Freshness of a table moves only when rows were written.

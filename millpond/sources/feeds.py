@@ -59,7 +59,7 @@ def page_completeness(pages: DataFrame, page: str, keep: list[str], full: int) -
 def calendar_events(items: DataFrame, as_of: datetime, since: datetime | None = None) -> DataFrame:
     """Events that overlap the look-back window and start before now; only updated ones after a first load.
 
-    Deleted events stay in the feed with their status; ``is_deleted`` marks them.
+    Deleted events stay in the feed with their status; ``is_deleted`` marks them. They may come without times.
     """
     start = F.coalesce(clean_timestamp("start.dateTime"), clean_timestamp("start.date"))
     end = F.coalesce(clean_timestamp("end.dateTime"), clean_timestamp("end.date"))
@@ -67,8 +67,11 @@ def calendar_events(items: DataFrame, as_of: datetime, since: datetime | None =
         "id", "status", "summary", clean_timestamp("created").alias("created"),
         clean_timestamp("updated").alias("updated"), start.alias("start_time"), end.alias("end_time"),
         F.coalesce(F.col("status") == CANCELLED, F.lit(False)).alias("is_deleted"),
-    ).filter((F.col("end_time") > moment(as_of - LOOK_BACK)) & (F.col("start_time") < moment(as_of)))
-    return events.filter(F.col("updated") >= moment(since)) if since else events
+    ).filter(
+        (F.col("end_time").isNull() | (F.col("end_time") > moment(as_of - LOOK_BACK)))
+        & (F.col("start_time").isNull() | (F.col("start_time") < moment(as_of)))
+    )
+    return events.filter(F.col("updated").isNull() | (F.col("updated") >= moment(since))) if since else events
 
 
 def mail_messages(ids: DataFrame, details: DataFrame, as_of: datetime, since: datetime | None = None) -> DataFrame:
@@ -88,8 +91,8 @@ def channel_activities(items: DataFrame, as_of: datetime, since: datetime | None
     ).filter(F.col("published") > moment(since or as_of - LOOK_BACK))
 
 
-def change_rows(pages: DataFrame, page: str, seq: str, item: str, key: str) -> DataFrame:
-    """A change feed page (added, modified, removed) as rows ``(op, seq, ...)`` for a keyed merge.
+def change_rows(pages: DataFrame, page: str, seq: str, item: str) -> DataFrame:
+    """A change feed page (added, modified, removed) as rows ``(change_seq, change_pos, op, ...)`` for a keyed merge.
 
     Within a page a modification comes after an addition of the same key, and a removal after both.
     """
@@ -98,15 +101,15 @@ def change_rows(pages: DataFrame, page: str, seq: str, item: str, key: str) -> D
     parsed = pages.select(F.col(seq), F.from_json(page, schema).alias("_page"))
     empty = F.array().cast(f"array<struct<{inner}>>")
 
-    def tagged(step: int, op: str):
+    def tagged(op: str):
         return F.transform(
             F.coalesce(F.col(f"_page.{op}"), empty),
-            lambda x: F.struct(F.lit(op).alias("op"), F.lit(step).alias("step"), x.alias("item")),
+            lambda x: F.struct(F.lit(op).alias("op"), x.alias("item")),
         )
 
-    changes = F.concat(tagged(0, "added"), tagged(1, "modified"), tagged(2, REMOVED))
-    rows = parsed.select(F.col(seq), F.explode(changes).alias("c"))
-    return rows.select((F.col(seq) * 3 + F.col("c.step")).alias("change_seq"), F.col("c.op").alias("op"), "c.item.*")
+    changes = F.concat(tagged("added"), tagged("modified"), tagged(REMOVED))
+    rows = parsed.select(F.col(seq), F.posexplode(changes).alias("change_pos", "c"))
+    return rows.select(F.col(seq).alias("change_seq"), "change_pos", F.col("c.op").alias("op"), "c.item.*")
 
 
 def split_by_resource(records: DataFrame, tag: str, resources: list[str]) -> dict[str, DataFrame]:

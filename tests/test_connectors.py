@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millpond.model import Connector, Resource
+from millpond.operators.status import LOOK_BACK
 from millpond.sources.connectors import ConnectorLoader
 
 USERS = Resource("User")
@@ -44,7 +45,12 @@ def test_loads_go_on_from_the_position(spark, loader, as_rows):
 
 def test_look_back_bounds_the_first_load(spark, loader):
     rows = [(1, "old", datetime(2020, 1, 1)), (2, "new", T1)]
-    assert loader.load(EVENTS, events(spark, rows), T2).rows == 1
+    assert loader.load(EVENTS, events(spark, rows), T2, look_back=LOOK_BACK).rows == 1
+
+
+def test_a_first_load_takes_everything(spark, loader):
+    rows = [(1, "old", datetime(2020, 1, 1)), (2, "new", T1), (3, "undated", None)]
+    assert loader.load(EVENTS, events(spark, rows), T2).rows == 3
 
 
 def test_schema_changes_with_the_source(spark, loader, as_rows):

@@ -51,6 +51,13 @@ def test_one_key_twice_in_a_batch(spark, as_rows):
     assert as_rows(keyed.merge_by_key(base, shuffled, ["id"], ["seq"])) == want
 
 
+def test_without_a_sequence_the_choice_does_not_depend_on_order(spark, as_rows):
+    base = spark.createDataFrame([(1, "old")], "id long, v string")
+    delta = spark.createDataFrame([(1, c) for c in "abcdefgh"] + [(2, "x"), (2, "x")], "id long, v string")
+    one = as_rows(keyed.merge_by_key(base, delta, ["id"]))
+    assert len(one) == 2 and one == as_rows(keyed.merge_by_key(base, delta.orderBy(F.col("v").desc()).coalesce(1), ["id"]))
+
+
 def test_removed_rows_are_deleted(spark, as_rows):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     delta = spark.createDataFrame(
@@ -100,13 +107,14 @@ def test_nested_values_as_json(spark):
     assert tuple(keyed.nested_to_json(df).first()) == (1, '{"a":1,"b":["x"]}', '{"k":2}', "[1,2]")
 
 
-def test_reserved_names():
+def test_reserved_names(spark):
     names = ["id", "select", "from", "where", "order", "group", "name"]
     assert list(naming.safe_names(names).values()) == ["id", "select_col", "from_col", "where_col", "order_col", "group_col", "name"]
     assert list(naming.safe_names(["SELECT", "From", "where"]).values()) == ["SELECT_col", "From_col", "where_col"]
     assert naming.safe_name("end") == "end_col" and naming.safe_name("sequence") == "sequence_col"
     assert naming.safe_name("location") == "location"
     assert naming.safe_name("koi8r", reserved=frozenset({"koi8r"})) == "koi8r_col"
+    assert naming.safe_name("lateral", naming.reserved_words(spark)) == "lateral_col"
     with pytest.raises(ValueError, match="both become"):
         naming.safe_names(["select", "select_col"])
 

@@ -8,12 +8,12 @@ from millpond.sources.files import find_files
 @pytest.fixture(scope="module")
 def components(spark):
     rows = [
-        (1, "Button", "A clickable button component for user interfaces", "@mantine/core"),
-        (2, "TextInput", "Input field for forms, with search support", "@mantine/core"),
-        (3, "SearchBox", "A search box with search suggestions", "@mantine/core"),
-        (4, "DataTable", "Sortable table of rows", "@material-ui/core"),
-        (5, "Card", "Container for ui content", "@material-ui/core"),
-        (6, "Search", "Finds things", "@material-ui/core"),
+        (1, "Button", "A clickable button component for user interfaces", "@ui/core"),
+        (2, "TextInput", "Input field for forms, with search support", "@ui/core"),
+        (3, "SearchBox", "A search box with search suggestions", "@ui/core"),
+        (4, "DataTable", "Sortable table of rows", "@ui/extra"),
+        (5, "Card", "Container for ui content", "@ui/extra"),
+        (6, "Search", "Finds things", "@ui/extra"),
     ]
     return spark.createDataFrame(rows, "id long, name string, description string, package string").cache()
 
@@ -42,7 +42,7 @@ def test_blank_lists_all_by_name(components):
 
 
 def test_filters_offset_and_limit(components):
-    assert set(names(find(components, "search", package="@mantine/core"))) == {"SearchBox", "TextInput"}
+    assert set(names(find(components, "search", package="@ui/core"))) == {"SearchBox", "TextInput"}
     assert find(components, "search", offset=1).count() == 2
     assert find(components, "search", limit=1).count() == 1
 
@@ -64,9 +64,9 @@ def test_index_gives_the_same_scores(spark, components, tmp_path):
 
 def test_several_packages(components):
     doubled = components.unionByName(components.withColumn("id", F.col("id") + 10))
-    got = search.search_packages(doubled, "search ui", ["@mantine/core", "@material-ui/core"], "package", "name", "description", "id").collect()
+    got = search.search_packages(doubled, "search ui", ["@ui/core", "@ui/extra"], "package", "name", "description", "id").collect()
     assert [(r.package, r.name) for r in got] == [
-        ("@mantine/core", "SearchBox"), ("@mantine/core", "TextInput"), ("@material-ui/core", "Card"), ("@material-ui/core", "Search")]
+        ("@ui/core", "SearchBox"), ("@ui/core", "TextInput"), ("@ui/extra", "Card"), ("@ui/extra", "Search")]
     assert {r.total_found for r in got} == {4}
 
 

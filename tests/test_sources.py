@@ -113,13 +113,14 @@ def test_calendar_window(spark):
     items = [
         event("old", "2022-01-01T10:00:00Z", "2024-01-19T00:00:00Z"), event("future", "2024-02-01T10:00:00Z", "2024-01-19T00:00:00Z"),
         event("now", "2024-01-10T10:00:00Z", "2024-01-19T00:00:00Z", "cancelled"), event("stale", "2024-01-10T10:00:00Z", "2024-01-01T00:00:00Z"),
+        {"id": "gone", "status": "cancelled"},
         {"id": "day", "status": "confirmed", "updated": "2024-01-19T00:00:00Z", "start": {"date": "2024-01-05"}, "end": {"date": "2024-01-06"}},
     ]
     pages = spark.createDataFrame([(json.dumps({"items": items}),)], "page string")
     events = feeds.page_items(pages, "page", feeds.CALENDAR_ITEM)
     got = {r.id: r.is_deleted for r in feeds.calendar_events(events, AS_OF, datetime(2024, 1, 15)).collect()}
-    assert got == {"now": True, "day": False}
-    assert {r.id for r in feeds.calendar_events(events, AS_OF).collect()} == {"now", "day", "stale"}
+    assert got == {"now": True, "day": False, "gone": True}
+    assert {r.id for r in feeds.calendar_events(events, AS_OF).collect()} == {"now", "day", "stale", "gone"}
 
 
 def test_mail_bound_and_failed_details(spark):
@@ -139,9 +140,9 @@ def test_change_feed_order_within_a_page(spark):
         (0, page(added=[{"id": "a", "amount": 1.0}, {"id": "b", "amount": 1.0}], modified=[{"id": "a", "amount": 2.0}], removed=[])),
         (1, page(added=[], modified=[], removed=[{"id": "b"}])),
     ], "seq long, page string")
-    changes = feeds.change_rows(pages, "page", "seq", item, "id")
+    changes = feeds.change_rows(pages, "page", "seq", item)
     base = spark.createDataFrame([("c", 9.0)], "id string, amount double")
-    got = merge_by_key(base, changes, ["id"], ["change_seq"], op="op")
+    got = merge_by_key(base, changes, ["id"], ["change_seq", "change_pos"], op="op")
     assert sorted(tuple(r) for r in got.collect()) == [("a", 2.0), ("c", 9.0)]
 
 

@@ -66,7 +66,7 @@ def test_sessions_ignore_rows_without_key_or_time(spark):
     assert [tuple(r)[0] for r in timelines.idle_sessions(df, ["k"], "ts").collect()] == [1]
 
 
-@pytest.mark.parametrize("unit", ["hour", "day"])
+@pytest.mark.parametrize("unit", ["minute", "hour", "day"])
 def test_as_of_join(spark, unit):
     rows = skewed_events(300, 7)
     left = [r for r in rows if r[3] != "a"]
@@ -81,15 +81,16 @@ def test_as_of_join(spark, unit):
     assert {r.id: (r.as_of_ts, r.right_id) for r in got.collect()} == want
 
 
-def test_counts_before(spark):
+@pytest.mark.parametrize("slice_seconds", [1, 60, 86_400])
+def test_counts_before(spark, slice_seconds):
     rows = skewed_events(300, 11)
     want = {
         r[0]: sum(1 for x in rows if x[3] == "b" and x[1] == r[1] and timedelta(0) <= r[2] - x[2] <= timedelta(seconds=120))
         for r in rows if r[3] == "a"
     }
     kind = F.col("kind")
-    got = timelines.counts_before(frame(spark, rows), ["k"], "ts", kind == "b", kind == "a", 120)
-    assert {r.id: r.rows_before or 0 for r in got.collect()} == want
+    got = timelines.counts_before(frame(spark, rows), ["k"], "ts", kind == "b", kind == "a", 120, slice_seconds)
+    assert {r.id: r.rows_before for r in got.collect()} == want
 
 
 def test_running_total_and_change(spark):
