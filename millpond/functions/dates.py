@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 
 from millpond.functions.columns import as_column
 
-# Stored dates must have a year in this range.
-FIRST_YEAR, LAST_YEAR = 1000, 9999
+# Stored dates must have a year from 1000 to 9999. The pattern of the year says so, which saves
+# parsing a value again just to look at its year.
+STORED_YEAR = r"[1-9]\d{3}"
+ANY_YEAR = r"\d{4,6}"
 # Plain numbers are epoch milliseconds only between 2000-01-01 and 2100-01-01.
 FIRST_EPOCH_MS, LAST_EPOCH_MS = 946_684_800_000, 4_102_444_800_000
 
-# A cast alone would also accept a bare time of day and complete it with today's date.
-ISO_LIKE = r"^\d{4,6}(-\d{2}(-\d{2}([T ].*)?)?)?$"
-# Other written forms: what the text looks like, and its format. The look is tested first, because a failed
-# parse costs far more than a test.
+# What a text looks like, and its format; `Y` stands for the year. The look is tested first: a cast alone would
+# complete a bare time of day with today's date, and a failed parse costs far more than a test.
+ISO_LOOK = r"^Y(-\d{2}(-\d{2}([T ].*)?)?)?$"
 GENERAL_FORMATS = (
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4} \d{2}:\d{2}:\d{2}$", "MMM d, yyyy HH:mm:ss"),
-    (r"^[A-Z][a-z]{2,8} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$", "M/d/yyyy HH:mm:ss"),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, Y$", "MMM d, yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, Y \d{2}:\d{2}:\d{2}$", "MMM d, yyyy HH:mm:ss"),
+    (r"^[A-Z][a-z]{2,8} \d{1,2}, Y$", "MMMM d, yyyy"),
+    (r"^\d{1,2}/\d{1,2}/Y$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/Y \d{2}:\d{2}:\d{2}$", "M/d/yyyy HH:mm:ss"),
+    (r"^\d{1,2} [A-Z][a-z]{2} Y$", "d MMM yyyy"),
 )
 
 # Label patterns of a time axis.
@@ -34,11 +35,12 @@ DATE_WITH_YEAR = "MMM d, yyyy"
 DATE_ONLY = "MMM d"
 
 
-def _parsed(text: Column, iso_type: str) -> Column:
+def _parsed(text: Column, iso_type: str, year: str) -> Column:
     text = F.trim(text)
-    iso = F.when(text.rlike(ISO_LIKE), text.try_cast(iso_type)).cast("timestamp_ntz")
+    looks = lambda pattern: text.rlike(pattern.replace("Y", year))
+    iso = F.when(looks(ISO_LOOK), text.try_cast(iso_type)).cast("timestamp_ntz")
     general = [
-        F.when(text.rlike(look), F.try_to_timestamp(text, F.lit(f))).cast("timestamp_ntz") for look, f in GENERAL_FORMATS
+        F.when(looks(look), F.try_to_timestamp(text, F.lit(f))).cast("timestamp_ntz") for look, f in GENERAL_FORMATS
     ]
     return F.coalesce(iso, *general)
 
@@ -48,7 +50,7 @@ def parse_datetime(col) -> Column:
 
     A zone offset is applied, so the result is the instant in the session's time zone.
     """
-    return _parsed(as_column(col), "timestamp")
+    return _parsed(as_column(col), "timestamp", ANY_YEAR)
 
 
 def epoch_ms_to_datetime(col) -> Column:
@@ -59,8 +61,7 @@ def epoch_ms_to_datetime(col) -> Column:
 
 def clean_timestamp(col) -> Column:
     """Text to a stored timestamp: zone offset dropped, junk and years outside 1000..9999 NULL."""
-    parsed = _parsed(as_column(col), "timestamp_ntz")
-    return F.when(F.year(parsed).between(FIRST_YEAR, LAST_YEAR), parsed)
+    return _parsed(as_column(col), "timestamp_ntz", STORED_YEAR)
 
 
 def clean_date(col) -> Column:

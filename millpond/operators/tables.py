@@ -8,8 +8,10 @@ reads are never touched, and a load that dies half-way is simply run again.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ from millpond.operators.keyed import REMOVED, one_per_key, project_declared, wit
 from millpond.operators.naming import evolved_schema, schema_change
 
 BUCKET = "_bucket"
+CATALOG_THREADS = 16
 
 
 def _quoted(name: str) -> str:
@@ -111,7 +114,7 @@ class KeyedTable:
             changed = staged.filter(F.col(BUCKET).isin(to_merge))
             kept = stored.join(changed.select(*on), on, "left_anti").select(*stored.columns)
             merged = kept.unionByName(changed.filter("NOT _removed").select(*stored.columns))
-            self._replace(merged, to_merge, f"{self.location}/data/{version}", filled)
+            self._replace(merged, to_merge, f"{self.location}/data/{version}", filled, may_empty=bool(op))
         self.spark.catalog.refreshTable(self.name)
         return merged_rows
 
@@ -125,17 +128,22 @@ class KeyedTable:
         if new:
             places = " ".join(f"PARTITION ({BUCKET} = {b}) LOCATION {_text(f'{path}/{BUCKET}={b}')}" for b in new)
             self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {places}")
-        for b in buckets:
-            if b in filled:
-                place = _text(f"{path}/{BUCKET}={b}")
-                self.spark.sql(f"ALTER TABLE {table} PARTITION ({BUCKET} = {b}) SET LOCATION {place}")
 
-    def _replace(self, rows: DataFrame, buckets: list[int], path: str, filled: set[int]) -> None:
+        def move(b: int) -> None:
+            place = _text(f"{path}/{BUCKET}={b}")
+            self.spark.sql(f"ALTER TABLE {table} PARTITION ({BUCKET} = {b}) SET LOCATION {place}")
+
+        # Catalog calls only; a wide change set has one per bucket.
+        with ThreadPoolExecutor(max_workers=CATALOG_THREADS) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(move), [b for b in buckets if b in filled]))
+
+    def _replace(self, rows: DataFrame, buckets: list[int], path: str, filled: set[int], may_empty: bool) -> None:
         # Keys are unique here, so buckets are even; rebalance splits or joins them into fit files.
         rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
-        written = {
-            r[0] for r in self.spark.read.schema(rows.schema).parquet(path).select(BUCKET).distinct().collect()
-        }
+        written = set(buckets)
+        if may_empty:
+            content = self.spark.read.schema(rows.schema).parquet(path)
+            written = {r[0] for r in content.select(BUCKET).distinct().collect()}
         self._point_at([b for b in buckets if b in written], path, filled)
         for b in buckets:
             if b not in written and b in filled:
