@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
+from millpond.functions.dates import parse_datetime
 from millpond.functions.text import camel_case
-from millpond.model import QuerySpec
+from millpond.model import RESULT_TYPES, QuerySpec
 from millpond.operators.keyed import REMOVED
 from millpond.operators.reports import result_records
 from millpond.operators.tables import KeyedTable
@@ -62,6 +63,21 @@ NAMED_QUERY = (
 )
 
 
+def _as_text(value) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    return value.isoformat() if hasattr(value, "isoformat") else json.dumps(value)
+
+
+def _typed(column: str, declared: str):
+    """A column of text as its declared result type."""
+    if declared == "date":
+        return parse_datetime(column)
+    if declared == "json":
+        return F.try_parse_json(column)
+    return F.col(column).try_cast(RESULT_TYPES[declared])
+
+
 class QueryRegistry:
     """Named queries per project. Registering a project replaces all of its queries.
 
@@ -89,7 +105,7 @@ class QueryRegistry:
         return None if specs is None else list(specs.values())
 
     def _write(self, project: str, specs: list[QuerySpec], gone: set[str]) -> None:
-        rows = [(project, s.name, s.description, s.query, list(s.columns), json.dumps(s.sample), "added") for s in specs]
+        rows = [(project, s.name, s.description, s.query, list(s.columns), json.dumps(s.sample, default=_as_text), "added") for s in specs]
         rows += [(project, name, None, None, None, None, REMOVED) for name in sorted(gone)]
         self.store.upsert(self.spark.createDataFrame(rows, T.StructType([*NAMED_QUERY.fields, T.StructField("op", T.StringType())])), op="op")
 
@@ -120,9 +136,10 @@ class QueryRegistry:
     def sample(self, project: str, name: str) -> DataFrame:
         """The declared example rows; empty when there are none."""
         spec = self._spec(project, name)
-        schema = spec.result_schema()
-        rows = [tuple(row.get(f.name) for f in schema.fields) for row in spec.sample]
-        return self.spark.createDataFrame(rows, schema)
+        names = [c for c, _ in spec.columns]
+        rows = [tuple(_as_text(row.get(c)) for c in names) for row in spec.sample]
+        texts = self.spark.createDataFrame(rows, T.StructType([T.StructField(c, T.StringType()) for c in names]))
+        return texts.select(*[_typed(c, t).alias(c) for c, t in spec.columns])
 
     def proxy(self, project: str) -> "QueryProxy":
         if self._find(project) is None:

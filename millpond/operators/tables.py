@@ -214,7 +214,7 @@ def disconnect(spark: SparkSession, database: str) -> None:
     spark.sql(f"DROP DATABASE IF EXISTS {_quoted(database)} CASCADE")
 
 
-def table_listing(spark: SparkSession, hidden: tuple[str, ...] = ("information_schema", "default")) -> DataFrame:
+def table_listing(spark: SparkSession, hidden: tuple[str, ...] = ("information_schema", "global_temp")) -> DataFrame:
     """One row per table: database, name, DDL text. Databases of the system are left out."""
     rows = []
     for db in sorted(d.name for d in spark.catalog.listDatabases()):

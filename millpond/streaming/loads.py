@@ -49,6 +49,15 @@ def upsert_stream(
 LOG_SCHEMA = T.StructType().add("run", "string").add("batch", "long").add("rows_written", "long")
 
 
+def run_within(query, seconds: float) -> bool:
+    """Let a load run for a time budget. True when it is done; else it stops after its current batch and the next
+    run goes on from the checkpoint."""
+    if query.awaitTermination(seconds):
+        return True
+    query.stop()
+    return False
+
+
 def progress_rows(query) -> list[tuple[str, int, int]]:
     """Run id, batch and input rows of the batches a query reports."""
     return [(str(p["runId"]), int(p["batchId"]), int(p["numInputRows"])) for p in query.recentProgress]

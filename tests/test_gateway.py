@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.errors import AnalysisException
 
@@ -97,6 +99,12 @@ def test_stored_registry_outlives_the_object(spark, shop, keyed_table):
 def test_sample_rows(spark):
     queries = gateway.QueryRegistry(spark)
     spec = QuerySpec("s", "SELECT 1", columns=(("n", "number"), ("t", "string"), ("ok", "boolean")), sample=({"n": 1.0, "t": "a", "ok": True}, {"n": 2.0}))
+    typed = QuerySpec(
+        "typed", "SELECT 1", columns=(("d", "date"), ("j", "json"), ("b", "boolean")),
+        sample=({"d": "2024-01-02", "j": {"a": [1]}, "b": False}, {"d": datetime(2024, 1, 2, 3), "j": [1, 2], "b": "x"}))
+    queries.register("t", [typed])
+    got = queries.sample("t", "typed").selectExpr("d", "to_json(j) AS j", "b").collect()
+    assert [tuple(r) for r in got] == [(datetime(2024, 1, 2), '{"a":[1]}', False), (datetime(2024, 1, 2, 3), "[1,2]", None)]
     queries.register("p", [spec, QuerySpec("empty", "SELECT 1", columns=(("n", "number"),))])
     assert [tuple(r) for r in queries.sample("p", "s").collect()] == [(1.0, "a", True), (2.0, None, None)]
     assert queries.sample("p", "empty").count() == 0

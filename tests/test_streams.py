@@ -40,6 +40,17 @@ def test_load_resumes_and_repeats_change_nothing(spark, keyed_table, tmp_path, a
     assert log.read().agg(F.sum("rows_written")).first()[0] == 5
 
 
+def test_a_load_cut_off_by_its_budget_goes_on_later(spark, keyed_table, tmp_path, as_rows):
+    schema = "id long, v string"
+    table = keyed_table("id long, v string", ["id"])
+    for n in range(4):
+        land(spark, str(tmp_path / "in"), n, [(n, "x")], schema)
+    start = lambda: loads.upsert_stream(stream(spark, str(tmp_path / "in"), schema), table, str(tmp_path / "cp"))
+    assert loads.run_within(start(), 0.01) is False
+    assert loads.run_within(start(), 120) is True
+    assert as_rows(table.read(), "id") == [(0,), (1,), (2,), (3,)]
+
+
 def test_stream_applies_deletes(spark, keyed_table, tmp_path, as_rows):
     schema = "id long, v string, op string, seq int"
     table = keyed_table("id long, v string", ["id"])
