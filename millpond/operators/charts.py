@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millpond.functions.dates import axis_pattern
+from millpond.functions.dates import axis_pattern, epoch_ms_to_datetime, parse_datetime
 from millpond.functions.numbers import label_or_item, number_or_zero, numeric_share, parse_number, y_range_top
 from millpond.model import ChartSpec
 
@@ -46,14 +46,16 @@ def default_series(columns: list[str], key: str) -> list[str]:
 
 
 def sort_key(df: DataFrame, key: str):
-    """How a chart orders its keys: dates and numbers by value, text by number when at least 80 % of it is
-    numeric, else NULL, which leaves the order of the rows. The test on text is a subquery of the same plan,
-    nothing is collected."""
+    """How a chart orders its keys: dates and numbers by value; text by number when at least 80 % of it is
+    numeric, by time when at least 80 % of it are dates, else NULL, which leaves the order of the rows. The test
+    on text is a subquery of the same plan, nothing is collected."""
     data_type = df.schema[key].dataType
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType, T.NumericType)):
         return F.col(key)
-    share = df.agg(numeric_share(key)).scalar()
-    return F.when(share >= NUMERIC_SHARE, parse_number(key))
+    numbers = df.agg(numeric_share(key)).scalar()
+    dates = df.agg(F.avg(F.when(parse_datetime(key).isNotNull(), 1.0).otherwise(0.0))).scalar()
+    as_time = F.unix_micros(parse_datetime(key).cast("timestamp")).cast("double")
+    return F.when(numbers >= NUMERIC_SHARE, parse_number(key)).when(dates >= NUMERIC_SHARE, as_time)
 
 
 def chart_series(df: DataFrame, spec: ChartSpec, seq: str | None = None) -> DataFrame:
@@ -66,13 +68,24 @@ def chart_series(df: DataFrame, spec: ChartSpec, seq: str | None = None) -> Data
 
 
 def axis_labels(df: DataFrame, key: str) -> DataFrame:
-    """The rows with a label for each time value, in the one pattern that fits the whole axis."""
-    pattern = df.agg(axis_pattern(key)).scalar()
-    ts = F.col(key)
+    """The rows with a label for each key: times in the one pattern that fits the whole axis, all else as text.
+
+    Text and whole numbers count as times where they can be read as such.
+    """
+    data_type = df.schema[key].dataType
+    if isinstance(data_type, T.StringType):
+        ts = parse_datetime(key)
+    elif isinstance(data_type, T.LongType):
+        ts = epoch_ms_to_datetime(key)
+    elif isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        ts = F.col(key)
+    else:
+        return df.withColumn("label", F.col(key).cast("string"))
+    pattern = df.agg(axis_pattern(ts)).scalar()
     label = (
         F.when(pattern == "h:mm a", F.date_format(ts, "h:mm a"))
         .when(pattern == "MMM d, h:mm a", F.date_format(ts, "MMM d, h:mm a"))
         .when(pattern == "MMM d, yyyy", F.date_format(ts, "MMM d, yyyy"))
         .otherwise(F.date_format(ts, "MMM d"))
     )
-    return df.withColumn("label", label)
+    return df.withColumn("label", F.coalesce(label, F.col(key).cast("string")))

@@ -59,6 +59,24 @@ def test_eighty_percent_is_enough(spark):
     assert keys_in_order(spark, ["10", "9", "x", "2", "1"]) == ["1", "2", "9", "10", "x"]
 
 
+def test_text_dates_are_sorted_by_time(spark):
+    assert keys_in_order(spark, ["2024-03", "Oct 9, 2023", "2023-12-01", "2024-01-05T10:00:00"]) == [
+        "Oct 9, 2023", "2023-12-01", "2024-01-05T10:00:00", "2024-03"]
+
+
+def labels(spark, values, data_type):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"seq long, k {data_type}")
+    return [r.label for r in charts.axis_labels(df, "k").orderBy("seq").collect()]
+
+
+def test_axis_labels(spark):
+    assert labels(spark, ["2024-03-01", "2024-03-15", "later"], "string") == ["Mar 1", "Mar 15", "later"]
+    assert labels(spark, ["2023-03-01", "2024-03-15"], "string") == ["Mar 1, 2023", "Mar 15, 2024"]
+    assert labels(spark, ["red", "blue"], "string") == ["red", "blue"]
+    assert labels(spark, [1640000000000, 5], "long") == ["11:33 AM", "5"]
+    assert labels(spark, [1.5, None], "double") == ["1.5", None]
+
+
 def test_less_keeps_the_input_order(spark):
     assert keys_in_order(spark, ["10", "9", "x", "y", "1"]) == ["10", "9", "x", "y", "1"]
 

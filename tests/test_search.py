@@ -84,6 +84,9 @@ def test_files_by_glob(spark, tmp_path):
         (tmp_path / name).write_text("x" * size)
     assert {(r.file, r.bytes) for r in find_files(spark, str(tmp_path), "*.txt").collect()} == {("a.txt", 3), ("b.txt", 5)}
     assert find_files(spark, str(tmp_path), "*", limit=2).count() == 2
+    assert find_files(spark, str(tmp_path), "*.TXT").count() == 2
+    assert find_files(spark, str(tmp_path), "*.TXT", ignore_case=False).count() == 0
+    assert find_files(spark, str(tmp_path), "[a].Txt").count() == 1
 
 
 def test_nearest_matches_numpy(spark, small):
