@@ -75,13 +75,13 @@ def meetings_per_week(spark, sf):
 
 @plan(
     "spend_per_month", "A11",
-    """SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS month, round(sum(l_extendedprice * (1 - l_discount)), 2) AS spent,
+    """SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS month, round(sum(l_extendedprice * (1 - l_discount)), 4) AS spent,
          count(*) AS items FROM lineitem GROUP BY 1""",
 )
 def spend_per_month(spark, sf):
     month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("month")
     return read_parquet(spark, sf, "lineitem").groupBy(month).agg(
-        F.round(F.sum(F.expr(REVENUE)), 2).alias("spent"), F.count("*").alias("items"))
+        F.round(F.sum(F.expr(REVENUE)), 4).alias("spent"), F.count("*").alias("items"))
 
 
 @plan(

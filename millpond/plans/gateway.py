@@ -88,14 +88,14 @@ def report_store(spark, sf):
 
 @plan(
     "sql_function", "Y2",
-    "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY 1",
+    "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem GROUP BY 1",
 )
 def sql_function(spark, sf):
     """A function of the user, written in SQL: it is inlined into the plan, no Python runs."""
     _views(spark, sf, "lineitem")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION net_price(price DOUBLE, discount DOUBLE) RETURNS DOUBLE RETURN price * (1 - discount)")
     return gateway.run_sql(
-        spark, "SELECT l_returnflag, round(sum(net_price(l_extendedprice, l_discount)), 2) AS revenue FROM lineitem GROUP BY 1")
+        spark, "SELECT l_returnflag, round(sum(net_price(l_extendedprice, l_discount)), 4) AS revenue FROM lineitem GROUP BY 1")
 
 
 _QUARTER = "o_orderdate >= TIMESTAMP '2001-04-01' AND o_orderdate < TIMESTAMP '2001-07-01'"

@@ -105,7 +105,7 @@ def orders_of_chosen_customers(spark, sf):
 
 @plan(
     "revenue_by_nation", "J11",
-    """SELECT n_name, r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS items
+    """SELECT n_name, r_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(*) AS items
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
        WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1, 2""",
@@ -123,7 +123,7 @@ def revenue_by_nation(spark, sf):
         .join(read_parquet(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
     return joined.groupBy("n_name", "r_name").agg(
-        F.round(F.sum("revenue"), 2).alias("revenue"), F.sum("items").alias("items"))
+        F.round(F.sum("revenue"), 4).alias("revenue"), F.sum("items").alias("items"))
 
 
 @plan(
