@@ -8,16 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millpond.llm.common import table
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
     from millpond.llm.bpe import digests
 
-    return digests(table(spark, folder, "documents"), TOKENIZER)
+    return digests(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.warc import archive_and_read
+
+    return archive_and_read(spark, table(spark, folder, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
+}
+SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+          SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+          FROM pages),
+        g AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+        FROM p LEFT JOIN g USING (payload_digest)""",
 }
-SQL: dict[str, str] = {}
