@@ -25,11 +25,53 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_and_read(spark, table(spark, folder, "pages"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.quality import judge
+
+    return judge(table(spark, folder, "documents")).drop("_hash")
+
+
+def op5_hilbert(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.sharding import hilbert_shards
+
+    return hilbert_shards(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
+    "op4_quality": op4_quality,
+    "op5_hilbert": op5_hilbert,
 }
 SQL: dict[str, str] = {
+    "op4_quality": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+        w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+              FROM d),
+        g AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+              FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+        again AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+        covered AS (SELECT r, count(DISTINCT i + j) AS n FROM again, (SELECT unnest([0, 1, 2]) AS j) GROUP BY r),
+        l AS (SELECT r, host, sig, len_line, line FROM (
+                SELECT r, host, sig, length(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS len_line,
+                       lower(regexp_replace(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+                FROM (SELECT r, host, list_min(list_transform(words, lambda x: md5(x))) AS sig, unnest(lines) AS x FROM w))),
+        hosts AS (SELECT host, count(DISTINCT list_min(list_transform(words, lambda x: md5(x)))) AS docs FROM w GROUP BY host),
+        often AS (SELECT host, line FROM l JOIN hosts USING (host) GROUP BY host, line, docs
+                  HAVING count(DISTINCT sig) > 20 AND 100 * count(DISTINCT sig) > 2 * docs),
+        lost AS (SELECT r, sum(len_line) AS total, sum(CASE WHEN o.line IS NOT NULL THEN len_line ELSE 0 END) AS gone
+                 FROM l LEFT JOIN often o ON o.host = l.host AND o.line = l.line GROUP BY r),
+        m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                     coalesce(n, 0) AS n_repeat_words, coalesce(100 * gone > 70 * total, false) AS depleted
+              FROM w LEFT JOIN covered USING (r) LEFT JOIN lost USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT depleted AS kept
+        FROM m""",
     "op2_warc": """
         WITH p AS (
           SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
