@@ -37,11 +37,25 @@ def op5_hilbert(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert_shards(table(spark, folder, "documents"))
 
 
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.urls import judge
+
+    return judge(table(spark, folder, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.toxicity import score
+
+    return score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
     "op4_quality": op4_quality,
     "op5_hilbert": op5_hilbert,
+    "op10_urls": op10_urls,
+    "op6_toxicity": op6_toxicity,
 }
 SQL: dict[str, str] = {
     "op4_quality": r"""
