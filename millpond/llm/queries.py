@@ -49,6 +49,12 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.language import identify
+
+    return identify(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hilbert": op5_hilbert,
     "op10_urls": op10_urls,
     "op6_toxicity": op6_toxicity,
+    "op9_language": op9_language,
 }
 SQL: dict[str, str] = {
     "op4_quality": r"""

@@ -17,7 +17,7 @@ from millpond.llm.common import held_out, slices, text_or_empty
 BITS = 18
 SIZES = (4, 5, 6)
 TRAIN_ROWS = 2500  # labelled rows of each class that the model is fitted on, on average
-TRAIN_CHARS = 20_000  # of these, rows with longer texts are left out of fitting; all rows are scored
+TRAIN_CHARS = 60_000  # of these, rows with longer texts are left out of fitting; all rows are scored
 SMOOTH = 1.0
 L2 = 1e-5
 THRESHOLD = 0.7
