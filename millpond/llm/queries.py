@@ -55,6 +55,12 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents"))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.pii import report
+
+    return report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urls": op10_urls,
     "op6_toxicity": op6_toxicity,
     "op9_language": op9_language,
+    "op7_pii": op7_pii,
 }
 SQL: dict[str, str] = {
     "op4_quality": r"""
