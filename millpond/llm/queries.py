@@ -61,6 +61,12 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return report(table(spark, folder, "documents"))
 
 
+def op8_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.neardup import report
+
+    return report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op9_language": op9_language,
     "op7_pii": op7_pii,
+    "op8_neardup": op8_neardup,
 }
 SQL: dict[str, str] = {
     "op4_quality": r"""
