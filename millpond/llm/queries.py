@@ -67,6 +67,12 @@ def op8_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return report(table(spark, folder, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.decontaminate import leaks
+
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op7_pii": op7_pii,
     "op8_neardup": op8_neardup,
+    "op3_decontaminate": op3_decontaminate,
 }
 SQL: dict[str, str] = {
     "op4_quality": r"""
