@@ -19,14 +19,17 @@ FIRST_EPOCH_MS, LAST_EPOCH_MS = 946_684_800_000, 4_102_444_800_000
 # What a text looks like, and its format; `Y` stands for the year. The look is tested first: a cast alone would
 # complete a bare time of day with today's date, and a failed parse costs far more than a test.
 ISO_LOOK = r"^Y(-\d{2}(-\d{2}([T ].*)?)?)?$"
+# Parts in brackets may be missing; the longer form of two comes first.
 GENERAL_FORMATS = (
-    (r"^[A-Z][a-z]{2} \d{1,2}, Y$", "MMM d, yyyy"),
-    (r"^[A-Z][a-z]{2} \d{1,2}, Y \d{2}:\d{2}:\d{2}$", "MMM d, yyyy HH:mm:ss"),
-    (r"^[A-Z][a-z]{2,8} \d{1,2}, Y$", "MMMM d, yyyy"),
-    (r"^\d{1,2}/\d{1,2}/Y$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/Y \d{2}:\d{2}:\d{2}$", "M/d/yyyy HH:mm:ss"),
-    (r"^\d{1,2} [A-Z][a-z]{2} Y$", "d MMM yyyy"),
+    (r"^[A-Z][a-z]{2,8} \d{1,2}, Y( \d{1,2}:\d{2}(:\d{2})?( [AP]M)?)?$", "[MMMM][MMM] d, yyyy[ h:mm:ss a][ h:mm a][ HH:mm:ss]"),
+    (r"^\d{1,2}/\d{1,2}/Y(,? \d{1,2}:\d{2}(:\d{2})?( [AP]M)?)?$", "M/d/yyyy[,][ h:mm:ss a][ h:mm a][ HH:mm:ss][ H:mm]"),
+    (r"^\d{1,2} [A-Z][a-z]{2,8} Y( \d{2}:\d{2}:\d{2})?$", "d [MMMM][MMM] yyyy[ HH:mm:ss]"),
+    (r"^Y/\d{1,2}/\d{1,2}( \d{2}:\d{2}:\d{2})?$", "yyyy/M/d[ HH:mm:ss]"),
 )
+# The date of a mail header: a day of the week that says nothing new, and a zone at the end.
+MAIL_LOOK = r"^[A-Z][a-z]{2}, \d{1,2} [A-Z][a-z]{2} Y \d{2}:\d{2}:\d{2} (GMT|UTC|UT|Z|[+-]\d{4})( \([A-Z]+\))?$"
+MAIL_FORMAT = "d MMM yyyy HH:mm:ss"
+BASIC_LOOK, BASIC_FORMAT = r"^Y\d{2}\d{2}$", "yyyyMMdd"
 
 # Label patterns of a time axis.
 TIME_ONLY = "h:mm a"
@@ -42,7 +45,15 @@ def _parsed(text: Column, iso_type: str, year: str) -> Column:
     general = [
         F.when(looks(look), F.try_to_timestamp(text, F.lit(f))).cast("timestamp_ntz") for look, f in GENERAL_FORMATS
     ]
-    return F.coalesce(iso, *general)
+    # Without a zone the written time of day is kept; with one it becomes the instant.
+    written = F.regexp_extract(text, r"^[A-Za-z]+, (.*?) (?:[A-Z]+|[+-]\d{4})(?: \([A-Z]+\))?$", 1)
+    if iso_type == "timestamp":
+        zone = F.regexp_replace(F.regexp_extract(text, r":\d{2} ([A-Z]+|[+-]\d{4})", 1), "^[A-Z]+$", "+0000")
+        mail = F.try_to_timestamp(F.concat_ws(" ", written, zone), F.lit(MAIL_FORMAT + " Z"))
+        general.append(F.when(looks(BASIC_LOOK.replace("Y", r"\d{4}")), F.try_to_timestamp(text, F.lit(BASIC_FORMAT))).cast("timestamp_ntz"))
+    else:
+        mail = F.try_to_timestamp(written, F.lit(MAIL_FORMAT))
+    return F.coalesce(iso, *general, F.when(looks(MAIL_LOOK), mail).cast("timestamp_ntz"))
 
 
 def parse_datetime(col) -> Column:

@@ -28,14 +28,23 @@ def first_message(df: DataFrame, conversation: str, turn: str, role: str, text:
     )
 
 
-def assemble(df: DataFrame, session: str, seq: str, text: str, span: int = 4096, separator: str = "") -> DataFrame:
-    """Ordered pieces joined to text. A session longer than ``span`` sequence numbers gives several parts, so
-    that no group outgrows a task; ``part`` orders them."""
+def assemble(df: DataFrame, session: str, seq: str, text: str, span: int = 4096, separator: str = "", parts: bool = False) -> DataFrame:
+    """Ordered pieces joined to one text per session.
+
+    Pieces are joined in parts of ``span`` sequence numbers and the parts then to the whole, so a long session's pieces
+    are sorted in several tasks. With ``parts`` the parts themselves are returned, ordered by ``part``.
+    """
     part = F.floor(F.col(seq) / span).cast("long").alias("part")
     pieces = F.array_sort(F.collect_list(F.struct(F.col(seq), F.col(text))))
-    return df.groupBy(session, part).agg(
+    joined = df.groupBy(session, part).agg(
         F.array_join(F.transform(pieces, lambda p: p[text]), separator).alias("text"), F.count("*").alias("pieces")
     )
+    if parts:
+        return joined
+    whole = F.array_sort(F.collect_list(F.struct("part", "text")))
+    return joined.groupBy(session).agg(
+        F.array_join(F.transform(whole, lambda p: p["text"]), separator).alias("text"), F.sum("pieces").alias("pieces")
+    )
 
 
 def until_end(df: DataFrame, session: str, seq: str, kind: str) -> DataFrame:
@@ -50,5 +59,5 @@ def until_end(df: DataFrame, session: str, seq: str, kind: str) -> DataFrame:
 
 
 def after_position(seq: Column, position) -> Column:
-    """Entries after a saved position; "0" stands for all."""
-    return F.lit(True) if str(position) == "0" else seq > F.lit(position)
+    """Entries after a saved position; the text "0" stands for all, the number 0 is a position."""
+    return F.lit(True) if isinstance(position, str) and position == "0" else seq > F.lit(position)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections import OrderedDict
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +27,29 @@ class ReadOnlyError(ValueError):
     pass
 
 
+_TOKEN = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|.""", re.S)
+_QUOTED_NAMES = "spark.sql.ansi.doubleQuotedIdentifiers"
+
+
+def bare_statement(text: str) -> str:
+    """The statement without the semicolons, comments and space that follow it; quoted text is left alone."""
+    tokens = _TOKEN.findall(text)
+    while tokens and (tokens[-1].isspace() or tokens[-1] == ";" or tokens[-1].startswith(("--", "/*"))):
+        tokens.pop()
+    return "".join(tokens)
+
+
 def run_sql(spark: SparkSession, text: str, args: list | dict | None = None) -> DataFrame:
     """Run one query. It runs as a subquery, where commands, writes and several statements cannot be parsed,
-    whatever word they start with."""
+    whatever word they start with. Names may stand in double quotes."""
+    before = spark.conf.get(_QUOTED_NAMES)
+    spark.conf.set(_QUOTED_NAMES, "true")
     try:
-        return spark.sql(f"SELECT * FROM (\n{text}\n) AS asked", args=args)
+        return spark.sql(f"SELECT * FROM (\n{bare_statement(text)}\n) AS asked", args=args)
     except ParseException as e:
         raise ReadOnlyError(f"only one SELECT statement is allowed: {text}") from e
+    finally:
+        spark.conf.set(_QUOTED_NAMES, before)
 
 
 def preview(df: DataFrame, rows: int = SHOWN_ROWS) -> DataFrame:
@@ -172,15 +190,21 @@ class QueryProxy:
 
 
 class ResultCache:
-    """Results kept by statement text. Blocks that do not fit in memory go to disk, lost ones are recomputed."""
+    """The first rows of results, kept by statement text: at most ``size`` of them, the longest unused goes first.
+
+    Only what a caller is shown is kept, never a whole result. Call ``clear`` after a load.
+    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self._kept: dict[str, DataFrame] = {}
+    def __init__(self, spark: SparkSession, size: int = 100, rows: int = SHOWN_ROWS):
+        self.spark, self.size, self.rows = spark, size, rows
+        self._kept: OrderedDict[str, DataFrame] = OrderedDict()
 
     def run(self, text: str) -> DataFrame:
         if text not in self._kept:
-            self._kept[text] = run_sql(self.spark, text).persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept[text] = preview(run_sql(self.spark, text), self.rows).persist(StorageLevel.MEMORY_AND_DISK)
+            while len(self._kept) > self.size:
+                self._kept.popitem(last=False)[1].unpersist()
+        self._kept.move_to_end(text)
         return self._kept[text]
 
     def clear(self) -> None:

@@ -53,10 +53,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def row_hash(df: DataFrame) -> Column:
-    """A number that depends on the content of a row only."""
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return F.xxhash64(*plain)
+    """A number that depends on the content of a row only; types that hold a map or variant are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
 
 
 def one_per_key(df: DataFrame, keys: list[str], seq: list[str] | None = None) -> DataFrame:
@@ -65,7 +72,8 @@ def one_per_key(df: DataFrame, keys: list[str], seq: list[str] | None = None) ->
 
 
 def latest_per_key(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
-    return first_per_key(df, keys, [F.col(c).desc_nulls_last() for c in seq])
+    """Rows equal in the sequence are decided by their content, so a repeat of a load takes the same one."""
+    return first_per_key(df, keys, [*[F.col(c).desc_nulls_last() for c in seq], row_hash(df)])
 
 
 def merge_by_key(
@@ -90,20 +98,23 @@ def merge_by_key(
 def update_fields(base: DataFrame, delta: DataFrame, keys: list[str], seq: str, masks: dict[str, Column]) -> DataFrame:
     """Change only the given fields of each key; ``masks`` says per column when a row sets it.
 
-    Several changes of one key fold into one row per key first: per column the last value that was set.
+    Several changes of one key fold into one row per key first: per column the last value that was set. The base is
+    only looked up, not sorted into a full join; keys it lacks are added.
     """
     folded = with_key(delta, keys).groupBy(*keys).agg(
         *[F.max_by(F.struct(F.col(c)), F.when(m, F.col(seq))).alias(f"_new_{c}") for c, m in masks.items()]
     )
-    joined = base.join(folded, keys, "full_outer")
-    out = []
+    changed = []
     for name in base.columns:
-        if name in masks:
-            new = F.col(f"_new_{name}")
-            out.append(F.when(new.isNotNull(), new[name]).otherwise(F.col(name)).alias(name))
-        else:
-            out.append(F.col(name))
-    return joined.select(*out)
+        new = F.col(f"_new_{name}")
+        changed.append(F.when(new.isNotNull(), new[name]).otherwise(F.col(name)).alias(name) if name in masks else F.col(name))
+    added = [
+        F.col(f"_new_{f.name}")[f.name].alias(f.name) if f.name in masks
+        else F.col(f.name) if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in base.schema.fields
+    ]
+    fresh = folded.join(base.select(*keys), keys, "left_anti")
+    return base.join(folded, keys, "left").select(*changed).unionByName(fresh.select(*added))
 
 
 def project_declared(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -23,7 +23,8 @@ RESERVED_WORDS = frozenset(
     money datetime xml type function procedure trigger event package body library source class method
     field property attribute interface exception error warning info log permission login password hash
     signature public private internal external local session connection transaction level read timeout
-    wait share access lock plan statistics merge loop sort stream variable
+    wait share access lock plan statistics merge loop sort stream variable temp cast enum global extract sql
+    security lookup convert
     """.split()
 )
 SUFFIX = "_col"

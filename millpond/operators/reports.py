@@ -43,16 +43,25 @@ def bind_charts(charts: DataFrame, results: DataFrame) -> DataFrame:
 def match_statements(statements: DataFrame, specs: DataFrame, id_col: str) -> DataFrame:
     """The named query each executed statement belongs to.
 
-    Equal text wins; else the first query whose name occurs as a word of the statement. Both are equi-joins,
-    words being taken from the statement.
+    Equal text wins; else the first query whose name occurs in the statement, word by word. Both are equi-joins: runs
+    of words are taken from the statement, as long as the longest name.
     """
     exact = statements.join(specs.select(F.col("query").alias("statement"), "name"), "statement").select(
         id_col, "name", F.lit(0).alias("_rank")
     )
-    words = statements.select(
-        id_col, F.explode(F.regexp_extract_all("statement", F.lit(r"(\w+)"), F.lit(1))).alias("name")
-    )
-    named = words.join(specs.select("name"), "name").select(id_col, "name", F.lit(1).alias("_rank"))
+    words = lambda text: F.regexp_extract_all(text, F.lit(r"(\w+)"), F.lit(1))
+    names = specs.select("name", F.array_join(words("name"), " ").alias("phrase"), F.size(words("name")).alias("n")).filter("n > 0")
+    # The different lengths of names, each one pass over the words of a statement.
+    lengths = sorted(r.n for r in names.select("n").distinct().collect())
+    said = statements.select(id_col, words("statement").alias("w"))
+
+    def runs_of(n: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    runs = [runs_of(n) for n in lengths]
+    phrases = said.select(id_col, F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))).alias("phrase"))
+    named = phrases.join(names, "phrase").select(id_col, "name", F.lit(1).alias("_rank"))
     best = exact.unionByName(named).groupBy(id_col).agg(F.min(F.struct("_rank", "name")).alias("best"))
     return best.select(id_col, F.col("best.name").alias("name"))
 

@@ -70,16 +70,24 @@ def term_index(docs: DataFrame, id_col: str, name: str, description: str, bucket
 
     All words of a document's field are exploded in one task, so they are counted there before the shuffle.
     """
-    in_name = docs.select(id_col, F.explode(words(name)).alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))
-    in_text = docs.select(id_col, F.explode(words(description)).alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))
-    found = in_name.unionByName(in_text).filter("term <> ''")
+    tagged = lambda column, n: F.transform(words(column), lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(1 - n).alias("d")))
+    both = F.concat(*[F.coalesce(tagged(c, n), F.array().cast("array<struct<term:string,n:int,d:int>>")) for c, n in ((name, 1), (description, 0))])
+    found = docs.select(id_col, F.explode(both).alias("w")).select(id_col, "w.*").filter("term <> ''")
     counts = found.groupBy("term", id_col).agg(F.sum("n").alias("name_count"), F.sum("d").alias("description_count"))
-    return counts.withColumn("term_bucket", bucket_of(["term"], buckets))
+    return counts.withColumn("term_bucket", bucket_of(["term"], buckets)).withColumn("buckets", F.lit(buckets))
 
 
 def write_term_index(index: DataFrame, path: str) -> None:
-    """A frequent word fills its bucket with many documents; rebalance splits such a bucket into more files."""
-    index.hint("rebalance", "term_bucket").write.mode("overwrite").partitionBy("term_bucket").parquet(path)
+    """A frequent word fills its bucket with many documents; rebalance splits such a bucket into more files.
+
+    Files are sorted by word, so a lookup skips row groups. The number of buckets stands beside the index.
+    """
+    count = index.agg((F.max("buckets")).alias("buckets")) if "buckets" in index.columns else None
+    if count is None:
+        raise ValueError("the index does not say how many buckets it has")
+    count.write.mode("overwrite").parquet(f"{path.rstrip('/')}_buckets")
+    index = index.drop("buckets")
+    index.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(path)
 
 
 def search_index(index: DataFrame, query: str, id_col: str) -> DataFrame:
@@ -92,10 +100,11 @@ def search_index(index: DataFrame, query: str, id_col: str) -> DataFrame:
     return hits.groupBy(id_col).agg(bounded(weight).alias("score"))
 
 
-def read_term_index(spark, path: str, query: str, buckets: int = 64) -> DataFrame:
+def read_term_index(spark, path: str, query: str) -> DataFrame:
     index = spark.read.parquet(path)
     terms = query_terms(query)
-    if not terms:
+    buckets = spark.read.parquet(f"{path.rstrip('/')}_buckets").first().buckets
+    if not terms or buckets is None:
         return index
     # Bucket numbers of a few literal words, worked out by the same hash the index was written with.
     words = spark.createDataFrame([(t,) for t in terms], "term string")
@@ -143,5 +152,8 @@ def nearest_by_hash(vectors: DataFrame, id_col: str, vector: str, query: list[fl
     length = sum(float(x) ** 2 for x in query) ** 0.5
     unit = Vectors.dense([float(x) / length for x in query])
     found = model.approxNearestNeighbors(data, unit, k, distCol="_distance")
+    if found.count() < k:
+        # Too few share a bucket with the query: the exact form finds the rest.
+        return nearest(vectors, id_col, vector, query, k)
     # For unit vectors the cosine follows from the distance.
     return found.select(id_col, (1 - F.col("_distance") * F.col("_distance") / 2).alias("similarity"))

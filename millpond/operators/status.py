@@ -60,3 +60,8 @@ def table_status(loaded: DataFrame, resource: str, ts: str) -> DataFrame:
 def run_totals(load_log: DataFrame, run: str, rows: str) -> DataFrame:
     """Rows per run as the sum of its batches."""
     return load_log.groupBy(run).agg(F.count("*").alias("batches"), F.sum(rows).alias("rows_written"))
+
+
+def listing_with_status(listing: DataFrame, status: DataFrame) -> DataFrame:
+    """Listed tables with the columns of their status row, NULL for a table that no load has written."""
+    return listing.join(status, ["schema_name", "table_name"], "left")

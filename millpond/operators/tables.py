@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millpond.functions.columns import bucket_of
-from millpond.operators.keyed import REMOVED, one_per_key, project_declared, with_key
+from millpond.operators.keyed import REMOVED, one_per_key, project_declared, row_hash, with_key
 from millpond.operators.naming import evolved_schema, schema_change
 
 BUCKET = "_bucket"
+SEQUENCE_COMMENT = "sequence of the change this row comes from"
 CATALOG_THREADS = 16
 
 
@@ -72,23 +73,35 @@ class KeyedTable:
         )
         return self
 
-    def schema(self) -> T.StructType:
+    def _stored_schema(self) -> T.StructType:
         return T.StructType([f for f in self.spark.table(self.name).schema.fields if f.name != BUCKET])
 
+    def schema(self) -> T.StructType:
+        """The declared columns; the bucket and kept sequence columns are not among them."""
+        return T.StructType([f for f in self._stored_schema().fields if (f.metadata or {}).get("comment") != SEQUENCE_COMMENT])
+
     def read(self) -> DataFrame:
-        return self.spark.table(self.name).drop(BUCKET)
+        return self.spark.table(self.name).select(*[F.col(f"`{c}`") for c in self.schema().fieldNames()])
 
     def upsert(self, delta: DataFrame, seq: list[str] | None = None, op: str | None = None, label: str = "load") -> Merged:
         """Merge a change set.
 
-        Running it again with the same change set leaves the table as it is.
+        Running it again with the same change set leaves the table as it is. With ``seq`` the newer of the stored and
+        the changed row wins, whatever order change sets come in: sequence columns that are not columns of the table
+        are kept in it, hidden, and so are removals, as marks beside it.
         """
         version = f"{label}-{uuid.uuid4().hex}"
+        self._keep_sequence(delta, seq)
         changes = one_per_key(with_key(delta, self.keys), self.keys, seq)
         removed = F.coalesce(F.col(op) == REMOVED, F.lit(False)) if op else F.lit(False)
         changes = project_declared(changes.withColumn("_removed", removed), T.StructType(
-            self.schema().fields + [T.StructField("_removed", T.BooleanType())]
+            self._stored_schema().fields + [T.StructField("_removed", T.BooleanType())]
         )).withColumn(BUCKET, bucket_of(self.keys, self.buckets))
+        marks = self._removals(seq) if seq else None
+        if marks is not None:
+            # What was removed later than it was changed stays removed.
+            later = marks.groupBy(*self.keys).agg(F.max("_seq").alias("_gone"))
+            changes = changes.join(later, self.keys, "left").where(F.col("_gone").isNull() | (self._sequence(changes, seq) > F.col("_gone")) | F.col("_removed")).drop("_gone")
 
         # Written once, so that the merge reads fixed rows even if the source moves on.
         staged_path = f"{self.location}/staged/{version}"
@@ -97,9 +110,12 @@ class KeyedTable:
         # At most one value per bucket; the number of buckets is fixed when the table is made.
         counts = {r[0]: r[1] for r in staged.groupBy(BUCKET).count().collect()}
         touched = sorted(counts)
-        merged_rows = Merged(touched, sum(counts.values()), staged.drop(BUCKET, "_removed"))
+        merged_rows = Merged(touched, sum(counts.values()), staged.select(*self.schema().fieldNames()))
         if not touched:
             return merged_rows
+        if op and seq:
+            gone = staged.where("_removed").select(*self.keys, self._sequence(staged, seq).alias("_seq"))
+            gone.write.mode("append").parquet(f"{self.location}/removals/{version}")
 
         filled = self._filled_buckets()
         if not op:
@@ -112,12 +128,44 @@ class KeyedTable:
             on = [BUCKET, *self.keys]
             stored = self.spark.table(self.name).filter(F.col(BUCKET).isin(to_merge))
             changed = staged.filter(F.col(BUCKET).isin(to_merge))
+            if seq:
+                changed = self._newer(changed, stored, seq, on)
             kept = stored.join(changed.select(*on), on, "left_anti").select(*stored.columns)
             merged = kept.unionByName(changed.filter("NOT _removed").select(*stored.columns))
             self._replace(merged, to_merge, f"{self.location}/data/{version}", filled, may_empty=bool(op))
         self.spark.catalog.refreshTable(self.name)
         return merged_rows
 
+    def _newer(self, changed: DataFrame, stored: DataFrame, seq: list[str], on: list[str]) -> DataFrame:
+        """Changes whose sequence, and on a tie whose content, is not behind that of the stored row."""
+        order = lambda df: F.struct(*[F.col(c) for c in seq], F.bitwise_not(row_hash(df.drop("_removed"))).alias("_tie"))
+        old = stored.select(*on, order(stored).alias("_old"))
+        new = changed.withColumn("_new", order(changed)).join(old, on, "left")
+        return new.where(F.col("_old").isNull() | (F.col("_new") >= F.col("_old")) | (F.col("_removed") & (self._sequence(changed, seq) >= F.struct(*[F.col(f"_old.{c}").alias(c) for c in seq])))).drop("_new", "_old")
+
+    @staticmethod
+    def _sequence(df: DataFrame, seq: list[str]):
+        return F.struct(*[F.col(c) for c in seq])
+
+    def _keep_sequence(self, delta: DataFrame, seq: list[str] | None) -> None:
+        """Add sequence columns that the table lacks, so that later change sets can be compared with stored rows."""
+        have = self._stored_schema().fieldNames()
+        extra = [delta.schema[c] for c in seq or [] if c not in have]
+        if not extra:
+            return
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()} COMMENT {_text(SEQUENCE_COMMENT)}" for f in extra)
+        self.spark.sql(f"ALTER TABLE {_quoted(self.name)} ADD COLUMNS ({columns})")
+
+    def _removals(self, seq: list[str]) -> DataFrame | None:
+        """Keys that were removed, with the sequence of the removal; None where nothing was."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.location}/removals")
+        if not folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+            return None
+        stored = self._stored_schema()
+        order = T.StructField("_seq", T.StructType([stored[c] for c in seq]))
+        return self.spark.read.schema(T.StructType([*[stored[k] for k in self.keys], order])).parquet(f"{self.location}/removals/*")
+
     def _filled_buckets(self) -> set[int]:
         parts = self.spark.sql(f"SHOW PARTITIONS {_quoted(self.name)}").collect()
         return {int(r[0].split("=")[1]) for r in parts}
@@ -155,6 +203,9 @@ class KeyedTable:
         New columns are a catalog change. A new type or a drop rewrites the data once.
         """
         stored = self.schema()
+        kept = [f for f in self._stored_schema().fields if f.name not in stored.fieldNames()]
+        described = {f.name: f.metadata for f in stored.fields if f.metadata}
+        wanted = T.StructType([T.StructField(f.name, f.dataType, f.nullable, f.metadata or described.get(f.name)) for f in wanted.fields])
         change = schema_change(stored, wanted)
         if change.is_empty() or (not allow_drop and not change.added and not change.retyped):
             return
@@ -162,12 +213,13 @@ class KeyedTable:
             added = ", ".join(_column_ddl(f) for f in wanted.fields if f.name in change.added)
             self.spark.sql(f"ALTER TABLE {_quoted(self.name)} ADD COLUMNS ({added})")
             return
-        target = evolved_schema(stored, wanted, allow_drop)
-        rows = project_declared(self.read(), target).withColumn(BUCKET, bucket_of(self.keys, self.buckets))
+        target = T.StructType(evolved_schema(stored, wanted, allow_drop).fields + kept)
+        comment = self.spark.catalog.getTable(self.name).description or ""
+        rows = project_declared(self.spark.table(self.name).drop(BUCKET), target).withColumn(BUCKET, bucket_of(self.keys, self.buckets))
         path = f"{self.location}/data/evolve-{uuid.uuid4().hex}"
         rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
         self.spark.sql(f"DROP TABLE {_quoted(self.name)}")  # external: files stay
-        self.create(target)
+        self.create(target, comment)
         written = self.spark.read.schema(rows.schema).parquet(path).select(BUCKET).distinct().collect()
         for r in written:
             self.spark.sql(

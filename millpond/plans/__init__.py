@@ -39,7 +39,7 @@ def plan(name: str, covers: str, sql: str | None = None):
 
 def load_all() -> None:
     from millpond.plans import (  # noqa: F401
-        analysis, charts, conversations, filters, gateway, joins, loading, scalars, searching, streams, upserts,
+        analysis, charts, conversations, filters, forms, gateway, joins, loading, scalars, searching, streams, upserts,
     )
 
 

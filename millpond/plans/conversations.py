@@ -80,8 +80,7 @@ def message_artifacts(spark, sf):
 
 @plan(
     "assembled_messages", "Z4",
-    """SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS pieces
-       FROM conversations GROUP BY conv_id""",
+    """SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS pieces FROM conversations GROUP BY conv_id""",
 )
 def assembled_messages(spark, sf):
     return conversations.assemble(_said(spark, sf), "conv_id", "turn", "text", separator=" ")
@@ -93,7 +92,18 @@ def assembled_messages(spark, sf):
        FROM conversations GROUP BY 1, 2""",
 )
 def assembled_in_parts(spark, sf):
-    return conversations.assemble(_said(spark, sf), "conv_id", "turn", "text", span=2)
+    return conversations.assemble(_said(spark, sf), "conv_id", "turn", "text", span=2, parts=True)
+
+
+@plan(
+    "long_session_message", "Z4",
+    """SELECT conv_id % 3 AS session, string_agg(text, '' ORDER BY conv_id * 1000 + turn) AS text, count(*) AS pieces
+       FROM conversations GROUP BY 1""",
+)
+def long_session_message(spark, sf):
+    """Three sessions with as many sequence numbers as the table has conversations, joined in many parts."""
+    said = _said(spark, sf).select((F.col("conv_id") % 3).alias("session"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text")
+    return conversations.assemble(said, "session", "seq", "text")
 
 
 def chunk_log(df):

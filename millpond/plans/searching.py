@@ -86,7 +86,7 @@ def document_by_name(spark, sf):
          UNION ALL SELECT doc_id, unnest([source, lang]), 1, 0 FROM documents) WHERE term <> '' GROUP BY 1, 2""",
 )
 def term_index(spark, sf):
-    return search.term_index(_docs(spark, sf), "doc_id", "name", "text").drop("term_bucket")
+    return search.term_index(_docs(spark, sf), "doc_id", "name", "text").drop("term_bucket", "buckets")
 
 
 @plan("indexed_search", "X4 X1", f"SELECT doc_id, round(score, 6) AS score FROM ({_scored(TERMS)})")
@@ -94,7 +94,7 @@ def indexed_search(spark, sf):
     """Scores from a stored index equal those of a search over the texts."""
     path = new_folder(spark, "terms")
     search.write_term_index(search.term_index(_docs(spark, sf), "doc_id", "name", "text", buckets=8), path)
-    found = search.search_index(search.read_term_index(spark, path, QUERY, buckets=8), QUERY, "doc_id")
+    found = search.search_index(search.read_term_index(spark, path, QUERY), QUERY, "doc_id")
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 

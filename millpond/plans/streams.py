@@ -59,10 +59,15 @@ def streamed_hourly_counts(spark, sf):
          ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem) WHERE rn = 1""",
 )
 def streamed_upsert(spark, sf):
-    """A resumable load of files into a keyed table, batch by batch."""
-    stream = _stream(spark, sf, "lineitem")
-    table, folder = _table(spark, "lineitem", ["l_orderkey", "l_linenumber"], stream.schema)
-    _finish(loads.upsert_stream(stream, table, f"{folder}/checkpoint", seq=["l_shipdate", "l_partkey", "l_suppkey"]))
+    """A resumable load of files into a keyed table, batch by batch; the file with the newest rows comes first."""
+    lines = read_parquet(spark, sf, "lineitem")
+    table, folder = _table(spark, "lineitem", ["l_orderkey", "l_linenumber"], lines.schema)
+    for n, years in enumerate(("l_shipdate >= '1997-01-01'", "l_shipdate < '1995-01-01'", "l_shipdate >= '1995-01-01' AND l_shipdate < '1997-01-01'")):
+        lines.where(years).write.mode("append").parquet(f"{folder}/in/{n}")
+    for n in range(3):
+        # One run for each folder, so that later rows are stored before earlier ones arrive.
+        stream = loads.file_stream(spark, f"{folder}/in/{n}", lines.schema)
+        _finish(loads.upsert_stream(stream, table, f"{folder}/checkpoint-{n}", seq=["l_shipdate", "l_partkey", "l_suppkey"]))
     return table.read()
 
 

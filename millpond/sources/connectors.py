@@ -72,6 +72,7 @@ class ConnectorLoader:
         """Bring one resource up to date.
 
         A first load takes everything, or what lies within ``look_back`` for feeds that only go back so far.
+        Of several versions of a key the one with the newest time stays, unless ``seq`` names another order.
         The data is committed first, then the position. A load that dies in between is done again and changes
         nothing. The position is the newest time seen in the data, so the clocks of source and cluster need
         not agree. Freshness of a table moves only when rows were written.
@@ -95,7 +96,7 @@ class ConnectorLoader:
 
         renamed = {c: safe_name(c) for c in source.columns if c != op and safe_name(c) != c}
         done = table.upsert(
-            delta.withColumnsRenamed(renamed), seq=[safe_name(c) for c in seq] if seq else None, op=op
+            delta.withColumnsRenamed(renamed), seq=[safe_name(c) for c in seq or ([time_column] if time_column else [])] or None, op=op
         )
         mark = since
         if time_column and done.rows:

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millpond.functions.dates import clean_timestamp, epoch_ms_to_datetime
+from millpond.functions.dates import clean_timestamp, epoch_ms_to_datetime, parse_datetime
 from millpond.operators.keyed import REMOVED
 from millpond.operators.status import LOOK_BACK, moment
 
@@ -67,11 +67,17 @@ def calendar_events(items: DataFrame, as_of: datetime, since: datetime | None =
         "id", "status", "summary", clean_timestamp("created").alias("created"),
         clean_timestamp("updated").alias("updated"), start.alias("start_time"), end.alias("end_time"),
         F.coalesce(F.col("status") == CANCELLED, F.lit(False)).alias("is_deleted"),
+        # The window is about instants, whatever zone a time is written in; whole days are days in UTC.
+        F.coalesce(parse_datetime("start.dateTime"), parse_datetime("start.date")).alias("_start"),
+        F.coalesce(parse_datetime("end.dateTime"), parse_datetime("end.date")).alias("_end"),
+        parse_datetime("updated").alias("_updated"),
     ).filter(
-        (F.col("end_time").isNull() | (F.col("end_time") > moment(as_of - LOOK_BACK)))
-        & (F.col("start_time").isNull() | (F.col("start_time") < moment(as_of)))
+        (F.col("_end").isNull() | (F.col("_end") > moment(as_of - LOOK_BACK)))
+        & (F.col("_start").isNull() | (F.col("_start") < moment(as_of)))
     )
-    return events.filter(F.col("updated").isNull() | (F.col("updated") >= moment(since))) if since else events
+    if since:
+        events = events.filter(F.col("_updated").isNull() | (F.col("_updated") >= moment(since)))
+    return events.drop("_start", "_end", "_updated")
 
 
 def mail_messages(ids: DataFrame, details: DataFrame, as_of: datetime, since: datetime | None = None) -> DataFrame:
@@ -85,10 +91,11 @@ def mail_messages(ids: DataFrame, details: DataFrame, as_of: datetime, since: da
 
 def channel_activities(items: DataFrame, as_of: datetime, since: datetime | None = None) -> DataFrame:
     published = clean_timestamp("snippet.publishedAt")
+    instant = parse_datetime("snippet.publishedAt")
     return items.select(
         "id", "kind", F.col("snippet.title").alias("title"), F.col("snippet.type").alias("activity_type"),
-        published.alias("published"),
-    ).filter(F.col("published") > moment(since or as_of - LOOK_BACK))
+        published.alias("published"), instant.alias("_published"),
+    ).filter(F.col("_published") > moment(since or as_of - LOOK_BACK)).drop("_published")
 
 
 def change_rows(pages: DataFrame, page: str, seq: str, item: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import types as T
 
 STRING_FORMATS = {"date-time": T.TimestampNTZType(), "date": T.DateType()}
 SCALARS = {"integer": T.LongType(), "number": T.DecimalType(38, 10), "boolean": T.BooleanType()}
-_DEPTH = 6
 
 
 def resource_names(spec: dict) -> list[str]:
@@ -55,10 +54,26 @@ def find_schema(spec: dict, name: str) -> dict | None:
     return None
 
 
-def spark_type(spec: dict, node: dict, depth: int = 0) -> T.DataType:
-    """Declared type to Spark type. What nests too deep, or refers to itself, is kept as JSON text."""
-    if depth > _DEPTH:
+def _refs(spec: dict, node: dict) -> set[str]:
+    """All references that are followed to get at a node."""
+    found = set()
+    while "$ref" in node and node["$ref"] not in found:
+        found.add(node["$ref"])
+        target = spec
+        for step in node["$ref"].lstrip("#/").split("/"):
+            target = target.get(step, {})
+        node = target
+    for member in node.get("allOf", []):
+        found |= {m["$ref"] for m in [member] if "$ref" in m}
+    return found
+
+
+def spark_type(spec: dict, node: dict, above: frozenset[str] = frozenset()) -> T.DataType:
+    """Declared type to Spark type, however deep it nests. What refers to itself is kept as JSON text."""
+    own = _refs(spec, node)
+    if own & above:
         return T.StringType()
+    above |= own
     node = merged(spec, node)
     kind = node.get("type")
     if kind == "string":
@@ -67,14 +82,14 @@ def spark_type(spec: dict, node: dict, depth: int = 0) -> T.DataType:
         return SCALARS[kind]
     if kind == "array":
         items = node.get("items")
-        return T.ArrayType(spark_type(spec, items, depth + 1)) if items else T.VariantType()
+        return T.ArrayType(spark_type(spec, items, above)) if items else T.VariantType()
     if kind == "object" or "properties" in node:
         properties = node.get("properties")
         if properties:
-            return T.StructType([T.StructField(n, spark_type(spec, p, depth + 1)) for n, p in properties.items()])
+            return T.StructType([T.StructField(n, spark_type(spec, p, above)) for n, p in properties.items()])
         extra = node.get("additionalProperties")
         if isinstance(extra, dict):
-            return T.MapType(T.StringType(), spark_type(spec, extra, depth + 1))
+            return T.MapType(T.StringType(), spark_type(spec, extra, above))
         return T.VariantType()
     return T.StringType()
 

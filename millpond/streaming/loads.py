@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from millpond.operators.tables import KeyedTable
 
@@ -54,13 +57,46 @@ def run_within(query, seconds: float) -> bool:
     run goes on from the checkpoint."""
     if query.awaitTermination(seconds):
         return True
+    # The batch under way is waited for, so that every run gets on by one batch at least.
+    before = _last_batch(query)
+    while query.isActive and _last_batch(query) == before:
+        time.sleep(0.05)
+    if not query.isActive:
+        query.awaitTermination()
+        return True
     query.stop()
     return False
 
 
-def progress_rows(query) -> list[tuple[str, int, int]]:
-    """Run id, batch and input rows of the batches a query reports."""
-    return [(str(p["runId"]), int(p["batchId"]), int(p["numInputRows"])) for p in query.recentProgress]
+def _last_batch(query) -> int:
+    return query.lastProgress["batchId"] if query.lastProgress else -1
+
+
+class ProgressLog(StreamingQueryListener):
+    """Run id, batch and input rows of every batch of the queries of a session, from the start on.
+
+    A query itself only remembers its last hundred batches.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.rows: list[tuple[str, int, int]] = []
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.append((str(p.runId), int(p.batchId), int(p.numInputRows)))
+
+    def of(self, query) -> list[tuple[str, int, int]]:
+        return sorted(r for r in self.rows if r[0] == str(query.runId))
 
 
 def without_repeats(stream: DataFrame, key: list[str], ts: str, late_by: str) -> DataFrame:

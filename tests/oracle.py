@@ -61,13 +61,14 @@ def compare(spark, con, folder: str, build, sql: str) -> str | None:
 
 
 def main(args: list[str]) -> int:
-    from millpond.plans import PLANS, SQL, load_all
+    import __spark_entry__
     from millpond.session import build_session
 
+    PLANS, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+
     folder = "/root/testdata/sf0.01"
     if args[:1] == ["--sf"]:
         folder, args = args[1], args[2:]
-    load_all()
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         master=f"local[{cpus}]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}

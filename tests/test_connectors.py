@@ -80,3 +80,17 @@ def test_all_resources_and_disconnect(spark, loader):
 def test_a_resource_needs_a_key(spark, loader):
     with pytest.raises(ValueError, match="No ID field found"):
         loader.load(USERS, spark.createDataFrame([("x",)], "name string"), T1)
+
+
+def test_a_loader_keeps_the_newest_version_of_a_key(spark, tmp_path):
+    from datetime import datetime
+
+    from millpond import Connector, Resource
+    from millpond.sources.connectors import ConnectorLoader
+
+    items = Resource("items", ("id",), updated_at="changed")
+    loader = ConnectorLoader(spark, Connector("newest.test", "N", "", (items,)), str(tmp_path / "lake"), buckets=2)
+    rows = [(i, f"v{n}", datetime(2024, 1, 1 + n)) for i in range(20) for n in (2, 0, 1)]
+    loader.load(items, spark.createDataFrame(rows, "id long, v string, changed timestamp_ntz"), datetime(2024, 2, 1))
+    assert {r.v for r in spark.table("newest_test.items").collect()} == {"v2"}
+    loader.disconnect()

@@ -148,3 +148,26 @@ def test_statement_matching(spark):
     specs = spark.createDataFrame([("one", "SELECT 1"), ("sales", "SELECT 9")], "name string, query string")
     got = {r.id: r.name for r in reports.match_statements(statements, specs, "id").collect()}
     assert got == {1: "one", 2: "sales"}
+
+
+def test_statements_may_end_and_names_may_be_quoted(spark, shop):
+    assert gateway.run_sql(spark, "SELECT id FROM users; -- done\n/* really; */").count() == gateway.run_sql(spark, "SELECT id FROM users").count()
+    assert gateway.run_sql(spark, "SELECT 'a;--' AS v -- end").first().v == "a;--"
+    assert {r[0] for r in gateway.run_sql(spark, 'SELECT "name" FROM users').collect()} == {r[0] for r in gateway.run_sql(spark, "SELECT name FROM users").collect()}
+    assert spark.sql('SELECT "text" AS v').first().v == "text"
+    for text in ("SELECT 1; SELECT 2", "SELECT 1; DROP TABLE users", "DROP TABLE users;", "SELECT 1) AS x; DROP TABLE users; --"):
+        with pytest.raises(gateway.ReadOnlyError):
+            gateway.run_sql(spark, text)
+
+
+def test_result_cache_is_bounded(spark, shop):
+    cache = gateway.ResultCache(spark, size=2, rows=1)
+    first = cache.run("SELECT 1 AS a")
+    cache.run("SELECT 2 AS a"), cache.run("SELECT 3 AS a")
+    assert not first.is_cached and cache.run("SELECT * FROM users").count() == 1
+
+
+def test_names_of_several_words_are_matched(spark):
+    statements = spark.createDataFrame([(1, "-- customers by segment\nSELECT 1"), (2, "SELECT large FROM orders"), (3, "-- large orders")], "id long, statement string")
+    specs = spark.createDataFrame([("customers by segment", "q1"), ("large orders", "q2")], "name string, query string")
+    assert {r.id: r.name for r in reports.match_statements(statements, specs, "id").collect()} == {1: "customers by segment", 3: "large orders"}

@@ -133,3 +133,31 @@ def test_schema_difference():
     assert naming.schema_change(old, old).is_empty()
     assert naming.evolved_schema(old, new).fieldNames() == ["a", "c", "b"]
     assert naming.evolved_schema(old, new, allow_drop=True).fieldNames() == ["a", "c"]
+
+
+def test_written_forms_of_dates(spark):
+    from millpond.functions.dates import parse_datetime
+
+    evening = datetime(2026, 12, 1, 20, 45)
+    forms = [
+        ("Tue, 01 Dec 2026 20:45:00 GMT", evening, evening), ("Tue, 1 Dec 2026 20:45:00 +0900", evening, datetime(2026, 12, 1, 11, 45)),
+        ("Jan 5, 2024 3:04 PM", datetime(2024, 1, 5, 15, 4), datetime(2024, 1, 5, 15, 4)), ("1/5/2024 3:04 PM", datetime(2024, 1, 5, 15, 4), datetime(2024, 1, 5, 15, 4)),
+        ("1/5/2024, 3:04:05 AM", datetime(2024, 1, 5, 3, 4, 5), datetime(2024, 1, 5, 3, 4, 5)), ("2024/01/05", datetime(2024, 1, 5), datetime(2024, 1, 5)),
+        ("January 5, 2024 13:04:05", datetime(2024, 1, 5, 13, 4, 5), datetime(2024, 1, 5, 13, 4, 5)), ("5 May 2024", datetime(2024, 5, 5), datetime(2024, 5, 5)),
+        ("20240105", None, datetime(2024, 1, 5)), ("Foo 5, 2024", None, None), ("13/45/2024", None, None), ("12345678901", None, None),
+    ]
+    df = spark.createDataFrame([(f,) for f, _, _ in forms], "v string")
+    assert [tuple(r) for r in df.select(clean_timestamp("v"), parse_datetime("v")).collect()] == [(a, b) for _, a, b in forms]
+
+
+def test_ties_of_a_sequence_do_not_depend_on_arrival(spark, as_rows):
+    rows = spark.createDataFrame([(1, v, 1) for v in "abcdef"], "id long, v string, u int")
+    assert as_rows(keyed.latest_per_key(rows, ["id"], ["u"])) == as_rows(keyed.latest_per_key(rows.orderBy(F.col("v").desc()).coalesce(1), ["id"], ["u"]))
+
+
+def test_field_updates_add_new_keys(spark, as_rows):
+    base = spark.createDataFrame([(1, "a", "x")], "id long, v string, w string")
+    delta = spark.createDataFrame([(1, "b", 1), (2, "c", 1)], "id long, v string, s int")
+    got = keyed.update_fields(base, delta, ["id"], "s", {"v": F.col("v").isNotNull()})
+    assert as_rows(got) == [(1, "b", "x"), (2, "c", None)]
+    assert "FullOuter" not in got._jdf.queryExecution().toString()

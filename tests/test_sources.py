@@ -82,7 +82,7 @@ def test_spec_schema():
     assert types["createdAt"] == "timestamp_ntz" and types["day"] == "date" and types["size"] == "bigint"
     assert types["price"] == "decimal(38,10)" and types["tags"] == "array<string>" and types["extra"] == "map<string,bigint>"
     assert types["any"] == "variant" and types["start"] == "struct<date:date,zone:string>"
-    assert types["loop"].startswith("struct<next:struct<next:")
+    assert types["loop"] == "struct<next:string>"  # what refers to itself is text
     assert schema["id"].metadata["comment"] == "Identifier"
     assert specs.time_columns(SPEC, "Event") == ["createdAt", "day", "sentDate"]
     assert specs.resource_schema(SPEC, "Nothing").fieldNames() == []

@@ -87,10 +87,12 @@ def test_sessions_over_several_batches(spark, tmp_path, as_rows):
     for n in range(3):
         land(spark, str(tmp_path / "in"), n, rows[n * 17 : (n + 1) * 17])
     df = sessions.closed_sessions(stream(spark, str(tmp_path / "in")), ["k"], "ts", "10 minutes")
+    progress = loads.ProgressLog(spark)
     out, query = run_to_files(spark, df, tmp_path)
+    spark.streams.removeListener(progress)
     batch = timelines.idle_sessions(spark.createDataFrame(rows, EVENTS), ["k"], "ts")
     assert as_rows(out) == as_rows(batch.filter("rows > 1"))
-    assert sum(r[2] for r in loads.progress_rows(query)) == len(rows)
+    assert sum(r[2] for r in progress.of(query)) == len(rows)
 
 
 def test_repeats_are_dropped(spark, tmp_path):
@@ -135,3 +137,11 @@ def test_last_and_first_messages(spark):
     assert last("assistant") == {1: "b", 2: None} and last("user") == {1: "c", 2: None}
     assert {r.c: r.prompt for r in conversations.last_prompt(df, "c", "turn", "role", "text").collect()} == {1: "c", 2: ""}
     assert {r[0]: r[1] for r in conversations.first_message(df, "c", "turn", "role", "text", "user").collect()} == {1: "a", 2: None}
+
+
+def test_a_long_session_is_one_text(spark):
+    rows = [("a", n, str(n % 10)) for n in range(5000)] + [("b", 0, "x")]
+    df = spark.createDataFrame(rows, "s string, seq int, text string").repartition(7)
+    got = {r.s: (r.text, r.pieces) for r in conversations.assemble(df, "s", "seq", "text").collect()}
+    assert got == {"a": ("".join(str(n % 10) for n in range(5000)), 5000), "b": ("x", 1)}
+    assert df.filter(conversations.after_position(F.col("seq"), 0)).count() == 4999
