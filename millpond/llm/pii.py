@@ -224,7 +224,9 @@ def mask(docs: DataFrame) -> DataFrame:
 
     Overlapping spans become the mark of the first. Null texts stay null.
     """
-    found = spans(stored(candidates(docs, docs.columns), "pii-mask"))
+    # The row travels as one column, so none of its names can clash.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
+    found = spans(stored(candidates(whole, ("_doc",)), "pii-mask"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -234,8 +236,10 @@ def mask(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(fresh, F.concat(a["out"], head, names[x["k"]])).otherwise(a["out"]).alias("out"))
 
     clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text"))))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(clean)
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = found.withColumn("_clean", F.when(F.size("spans") > 0, clean))
+    changed = F.size("spans") > 0
+    new = {"text": F.col("_clean"), "n_chars": F.length("_clean")}
+    return found.select(*[
+        F.when(changed, new[f.name].cast(f.dataType)).otherwise(F.col(f"_doc.`{f.name}`")).alias(f.name) if f.name in new else F.col(f"_doc.`{f.name}`").alias(f.name)
+        for f in docs.schema.fields
+    ])

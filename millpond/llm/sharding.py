@@ -29,11 +29,11 @@ def order_code(column: Column) -> Column:
 
 
 def cut_points(df: DataFrame, dims: list[str], bits: int) -> dict[str, list]:
-    """The inner quantiles of each dimension, at most 2^bits - 1 of them."""
+    """The 2^bits - 1 inner quantiles of each dimension. A frequent value repeats, so values get cells by their share."""
     cells = 1 << bits
     at = [i / cells for i in range(1, cells)]
     row = df.agg(*[F.percentile_approx(d, at, ACCURACY).alias(d) for d in dims]).first()
-    return {d: sorted(set(row[d] or [])) for d in dims}
+    return {d: sorted(row[d] or []) for d in dims}
 
 
 def hilbert_index(df: DataFrame, dims: list[str], bits: int, name: str = "curve") -> DataFrame:

@@ -80,7 +80,7 @@ def test_classes_equal_all_pairs(spark, docs_of, small, odd_rows):
     assert neardup.report(docs_of([])).collect() == []
 
 
-@pytest.mark.parametrize("small_bucket", [32, 8])
+@pytest.mark.parametrize("small_bucket", [32, 16])
 def test_hot_families_are_whole(docs_of, monkeypatch, small_bucket):
     monkeypatch.setattr(neardup, "SMALL", small_bucket)
     texts = family(1, 60, 6) + family(2, 40, 12) + ["same text of six words here"] * 50 + family(3, 30, 1, 40)

@@ -33,7 +33,7 @@ def test_boilerplate_depletes_but_copies_do_not(docs_of):
     prose = lambda n: " ".join(word() for _ in range(n))
     menu = [prose(12) for _ in range(6)]
     own = [(i, prose(60)) for i in range(100)]
-    depleted = [(1000 + i, "\n".join([*menu, prose(10)])) for i in range(40)]
+    depleted = [(1000 + i, "\n".join([*menu, prose(10)])) for i in range(400)]
     framed = [(2000 + i, "\n".join([menu[0], prose(70)])) for i in range(40)]
     text = prose(80).split()
     copies = [(3000 + i, " ".join(text)) for i in range(60)]

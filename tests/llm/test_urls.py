@@ -46,6 +46,6 @@ def test_fit_tells_unseen_names_apart():
 
     weights, bias = urls.fit(urls.labelled_urls())
     score = lambda t: weights[Distinct(urls.SIZES, urls.BITS)(f"^{t}$")].sum() + bias
-    assert min(score(f"{x}.example.org/en/7") for x in ("casino-palace", "spam-central", "cheap-viagra", "porn-clips")) > 0
+    assert min(score(f"{x}.example.org/en/7") for x in ("casino-palace", "cheap-viagra", "online-casino", "www.slots-club")) > 0
     assert max(score(f"{x}.example.org/en/7") for x in ("thousands", "museum-news", "thither", "the-library")) < 0
     assert np.isfinite(bias)
