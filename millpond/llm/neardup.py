@@ -6,9 +6,11 @@ shingle more than p times. Points fall into the components of the signature at r
 signatures agree in a component with the probability of their weighted Jaccard similarity. Only points before a time
 limit are drawn, enough to fill all components with a high chance; else the limit doubles.
 
-Bands of the signature make buckets. Texts of a bucket are compared with its centre and not with each other, centres
-first that are common to many bands, and only across the classes found so far; similarity is then computed exactly on
-the shingle multisets. Equal texts are one node from the start. Nothing that grows with the data goes to the driver.
+Bands of the signature make buckets. Texts of a bucket are compared with its centre and not with each other. What then
+still lies in different classes is compared further: in small buckets every pair across classes is estimated from the
+signatures, and each text is compared with the likeliest text of every other class; large buckets are split by a second
+band into small ones, and those that stay large get another centre. Similarity is computed exactly, on the shingle multisets.
+Equal texts are one node from the start. Nothing that grows with the data goes to the driver.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from millpond.llm.common import slices, stored, text_or_empty
 
 WORDS = 5
 SIMILARITY = 0.8
-COMPONENTS = 128
-BAND = 4  # components in a band: at 0.8 one pair in 20 million shares no band
-SMALL = 32  # buckets up to this size are compared in all pairs across classes, larger ones with one centre after another
-ROUNDS = 6  # most rounds of new centres; rounds end when one finds no link
+COMPONENTS = 192
+BAND = 6  # components in a band: of pairs at 0.8 six in 100,000 share none of 32 bands, at 0.85 three in 10 million
+SMALL = 32  # in buckets up to this size all pairs across classes are estimated, larger ones are split
+SPLITS = 4  # following bands by which a large bucket is split into small ones
+LIKELY = 0.70  # estimated similarity from which a pair of a small bucket is computed: 3.5 deviations below SIMILARITY
 
 
 def mixed(x):
@@ -131,7 +134,8 @@ def text_hash():
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text) and bands (null without words) of every row."""
+    """doc_id, th (hash of the text), bands and signature (a byte of each component) of every row; the last two are null
+    without words."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -142,12 +146,14 @@ def sketch(docs: DataFrame) -> DataFrame:
             bags = [shingles(t) for t in part.column("text").to_pylist()]
             some = [i for i, b in enumerate(bags) if len(b[0])]
             bands: list = [None] * len(bags)
+            short: list = [None] * len(bags)
             if some:
-                for i, row in zip(some, banded(signatures([bags[i] for i in some]))):
-                    bands[i] = row
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "th", "bands"])
+                full = signatures([bags[i] for i in some])
+                for i, row, own in zip(some, banded(full), full.astype(np.uint8)):
+                    bands[i], short[i] = row, own.tobytes()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["doc_id", "th", "bands", "signature"])
 
-    return docs.select("doc_id", text_hash().alias("th"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, th binary, bands array<long>")
+    return docs.select("doc_id", text_hash().alias("th"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, th binary, bands array<long>, signature binary")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -159,24 +165,53 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Da
 
         shingles, centres = Shingles(), {}
         for part in slices(batches, "text_a"):
-            kept = []
-            for i, (b, text_a, text_b) in enumerate(zip(part.column("b").to_pylist(), part.column("text_a").to_pylist(), part.column("text_b").to_pylist())):
+            near = []
+            for b, text_a, text_b in zip(part.column("b").to_pylist(), part.column("text_a").to_pylist(), part.column("text_b").to_pylist()):
                 if b not in centres:
                     if len(centres) >= 64:
                         centres.clear()
                     centres[b] = shingles(text_b)
                 (h, n), (k, m) = shingles(text_a), centres[b]
                 _, x, y = np.intersect1d(h, k, assume_unique=True, return_indices=True)
-                both = np.minimum(n[x], m[y]).sum()
-                if both >= least * (n.sum() + m.sum() - both):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+                both = int(np.minimum(n[x], m[y]).sum())
+                near.append(both >= least * (int(n.sum() + m.sum()) - both))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     own = texts.select(F.col("th").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("th").alias("b"), F.col("text").alias("text_b"))
     return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def likeliest(buckets: DataFrame, least: float = LIKELY) -> DataFrame:
+    """(a, b) from rows with ``g``, the members (th, label, signature) of a small bucket: each text with the text of every
+    other class that its signature agrees with most, if that may be similar enough."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = [], []
+            for g in batch.column("g").to_pylist():
+                own = np.frombuffer(b"".join(m["signature"] for m in g), np.uint8).reshape(len(g), -1)
+                for i, m in enumerate(g):
+                    agree = (own == own[i]).mean(axis=1)
+                    # Different components have an equal byte once in 256.
+                    guess = (agree - 1 / 256) / (1 - 1 / 256)
+                    best: dict = {}
+                    for j in np.flatnonzero(guess >= least).tolist():
+                        label = g[j]["label"]
+                        if label != m["label"] and (label not in best or (guess[j], g[j]["th"]) > (guess[best[label]], g[best[label]]["th"])):
+                            best[label] = j
+                    a += [m["th"]] * len(best)
+                    b += [g[j]["th"] for j in best.values()]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    found = buckets.select("g").mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the connected components of edges (a, b): the smallest node reaches all others.
 
@@ -195,98 +230,71 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after more links: only the graph of the classes that the links join is walked again."""
-    if labels is None:
-        return components(links)
-    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    moved = components(ends).select(F.col("node").alias("was"), F.col("label").alias("now"))
-    # Classes that take part, and nodes that had no class before.
-    kept = labels.join(moved, labels.label == moved.was, "full").select(F.coalesce("node", "was").alias("node"), F.coalesce("now", "label").alias("label"))
-    alone = moved.join(labels.select(F.col("node").alias("was")), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
-    return stored(kept.union(alone).distinct(), "classes")
-
-
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, th, class_id, n_links, n_copies and keeper of every row.
+    """doc_id, th, class_id, n_copies, class_rows and keeper of every row.
 
-    ``class_id`` is the smallest doc_id of the class, ``n_links`` the links found from the row's text to other texts,
-    ``n_copies`` the rows of equal text. One row of each class is its keeper (one key: repeats of a row are keepers
+    ``class_id`` is the smallest doc_id of the class, ``n_copies`` counts the rows of equal text, ``class_rows`` those of
+    the class. One row of each class is its keeper (one key: repeats of a row are keepers
     together). A null text is an empty one; texts without words are near no other text. A null doc_id is never a class
     id while its class has another. An empty table gives no rows.
     """
     rows = stored(sketch(docs), "bagminhash")
-    nodes = stored(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "nodes")
+    nodes = stored(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
     every = nodes.where("bands is not null").select("th", F.explode("bands").alias("band"))
-    shared = stored(every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = stored(every.join(shared, "band"), "members")
+    # Written, so that both sides of the join are plain shuffles, which Spark splits where a bucket is hot.
+    first = F.min(F.struct(F.xxhash64("th"), "th")).alias("c")
+    buckets = stored(every.groupBy("band").agg(F.count("*").alias("n"), first).where("n > 1").select("band", "n", F.col("c.th").alias("centre")), "buckets")
+    members = stored(every.join(buckets, "band"), "members")
     needed = members.select("th").distinct().join(nodes.select("th", "first"), "th")
     source = docs.select("doc_id", text_hash().alias("th"), text_or_empty().alias("text"))
     # One row of each node; more only where a row is repeated as a whole.
     texts = stored(source.join(needed, "th").where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["th"]).select("th", "text"), "texts")
 
-    def centred(held: DataFrame, turn: int) -> DataFrame:
-        order = F.struct(F.xxhash64("th", F.lit(turn)), "th")
-        centre = stored(held.groupBy("band").agg(F.min(order).alias("c")).select("band", F.col("c.th").alias("b")), "centres")
-        return held.join(centre, "band").where("th != b").groupBy(F.col("th").alias("a"), "b").agg(F.count("*").alias("bands"))
-
-    # First each text with the centre it shares most bands with, then with its other centres where classes differ.
-    pairs = stored(centred(members.select("th", "band"), 0), "pairs")
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
-    links = stored(similar(best, texts), "links")
-    labels = joined(None, links)
-
-    def across(found: DataFrame) -> DataFrame:
-        a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        both = found.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        return both.select("a", "b")
-
-    tried = best.select("a", "b")
-    for turn in range(ROUNDS):
-        if turn == 0:
-            found = pairs.select("a", "b")
-        else:
-            # Buckets that still hold several classes: small ones in all pairs across classes, large ones by new centres.
-            held = members.join(labels.withColumnRenamed("node", "th"), "th", "left").select("band", "th", "n", F.coalesce("label", "th").alias("label"))
-            mixed_ = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
-            held = stored(held.join(stored(mixed_, "mixed"), "band"), "held")
-            small = held.where(F.col("n") <= SMALL).groupBy("band").agg(F.collect_list(F.struct("th", "label")).alias("g"))
-            x = small.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).where("x.th > y.th and x.label != y.label")
-            found = x.select(F.col("x.th").alias("a"), F.col("y.th").alias("b")).union(centred(held.where(F.col("n") > SMALL).select("th", "band"), turn).select("a", "b"))
-        fresh = stored(across(found.distinct()).join(tried, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            if turn:
-                break
-            continue
-        more = stored(similar(fresh, texts), "links")
-        tried = tried.union(fresh)
-        if more.isEmpty():
-            if turn > 1:
-                break
-            continue
-        links = links.union(more)
-        labels = joined(labels, more)
-
-    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    # One order of nodes decides the centres of all buckets, so a family has few different ones.
+    star = members.where("th != centre").select(F.col("th").alias("a"), F.col("centre").alias("b")).distinct()
+    links = stored(similar(star, texts), "links")
+    labels = components(links)
+
+    # Buckets that still hold several classes.
+    held = members.join(labels.withColumnRenamed("node", "th"), "th", "left").withColumn("label", F.coalesce("label", "th"))
+    several = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    mixed_ = held.join(stored(several.select("band"), "several"), "band")
+    full = nodes.select("th", "signature", "bands")
+    small = mixed_.where(F.col("n") <= SMALL).join(full, "th").select("band", "th", "label", "signature")
+    # Near texts share several bands, so a large bucket is split by those that follow in the signature.
+    at, bands = F.array_position("bands", F.col("band")), F.col("bands")
+    keys = F.array(*[F.xxhash64("band", F.lit(i), F.element_at(bands, ((at - 1 + i) % F.size(bands) + 1).cast("int"))) for i in range(1, SPLITS + 1)])
+    split = mixed_.where(F.col("n") > SMALL).join(full, "th")
+    split = stored(split.select(F.explode(keys).alias("band"), "th", "label", "signature"), "split")
+    centre = F.min(F.struct(F.xxhash64("th", F.lit("second")), "th", "label")).alias("c")
+    parts = split.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), centre).where("lo != hi")
+    parts = stored(parts.select("band", "n", "c"), "parts")
+    small = small.union(split.join(parts.where(F.col("n") <= SMALL), "band").select("band", "th", "label", "signature"))
+    few = likeliest(small.groupBy("band").agg(F.collect_list(F.struct("th", "label", "signature")).alias("g")))
+    many = split.drop("signature").join(parts.where(F.col("n") > SMALL), "band").where(F.col("label") != F.col("c.label")).select(F.col("th").alias("a"), F.col("c.th").alias("b"))
+    more = stored(similar(few.union(many).distinct(), texts), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
+
     named = nodes.select("th", "first", "n_copies").join(labels.withColumnRenamed("node", "th"), "th", "left").withColumn("label", F.coalesce("label", "th"))
-    heads = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "th")).alias("head"))
-    named = named.join(heads, "label").join(degree.withColumnRenamed("node", "th"), "th", "left")
-    named = stored(named.select("th", F.col("head.first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", (F.col("head.th") == F.col("th")).alias("_head")), "named")
+    heads = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "th")).alias("head"), F.sum("n_copies").alias("class_rows"))
+    named = named.join(heads, "label")
+    named = stored(named.select("th", F.col("head.first").alias("class_id"), "n_copies", "class_rows", (F.col("head.th") == F.col("th")).alias("_head")), "named")
     out = rows.select("doc_id", "th").join(named, "th")
-    return out.select("doc_id", "th", "class_id", "n_links", "n_copies", (F.col("_head") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("keeper"))
+    return out.select("doc_id", "th", "class_id", "n_copies", "class_rows", (F.col("_head") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("keeper"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies of every row."""
-    return classes(docs).select("doc_id", "class_id", "n_links", "n_copies")
+    """doc_id, class_id, n_copies and class_rows of every row."""
+    return classes(docs).select("doc_id", "class_id", "n_copies", "class_rows")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class, with the columns of ``docs``; of wholly repeated rows one stays."""
     keep = stored(classes(docs).where("keeper").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_n")), "keepers")
-    marked = docs.withColumn("_key", text_hash())
-    found = marked.join(keep, (marked._key == keep._th) & marked.doc_id.eqNullSafe(keep._id))
-    once = found.where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = found.where("_n > 1").dropDuplicates(["_key", "_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.union(again)
+    # The row travels as one column, so none of its names can clash.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), text_hash().alias("_key"), F.col("doc_id").alias("_own"))
+    found = marked.join(keep, (marked._key == keep._th) & marked._own.eqNullSafe(keep._id))
+    once = found.where("_n = 1").select("_doc")
+    again = found.where("_n > 1").dropDuplicates(["_key", "_id"]).select("_doc")
+    return once.union(again).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
