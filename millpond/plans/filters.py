@@ -114,14 +114,13 @@ def config_validation(spark, sf):
 
 @plan(
     "connected_customers", "F4",
-    """SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2001-01-01') AS is_connected
-       FROM customer WHERE is_connected""",
+    "SELECT doc_id, true AS is_connected FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
 )
 def connected_customers(spark, sf):
-    recent = read_parquet(spark, sf, "orders").filter("o_orderdate >= timestamp_ntz'2001-01-01'").select(
-        F.col("o_custkey").alias("c_custkey")).distinct().withColumn("is_connected", F.lit(True))
+    """Documents that have a label, as those of a catalog whose status says so."""
+    labelled = read_parquet(spark, sf, "labels").select("doc_id").distinct().withColumn("is_connected", F.lit(True))
     all_status = catalogs.with_status(
-        read_parquet(spark, sf, "customer").select("c_custkey"), recent, "c_custkey", {"is_connected": False})
+        read_parquet(spark, sf, "documents").select("doc_id"), labelled, "doc_id", {"is_connected": False})
     return all_status.filter("is_connected")
 
 

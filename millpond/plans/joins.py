@@ -10,12 +10,12 @@ from millpond.plans import plan, read_parquet
     "customers_with_last_order", "J1 W5",
     """SELECT c_custkey, c_name, o_orderkey, o_orderdate, o_orderstatus FROM customer LEFT JOIN (
          SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
-           FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01') WHERE rn = 1) ON c_custkey = o_custkey""",
+           FROM orders) WHERE rn = 1) ON c_custkey = o_custkey""",
 )
 def customers_with_last_order(spark, sf):
-    recent = read_parquet(spark, sf, "orders").filter("o_orderdate >= timestamp_ntz'2001-01-01'").select(
+    orders = read_parquet(spark, sf, "orders").select(
         F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", "o_orderstatus")
-    last = status.latest_job(recent, "c_custkey", "o_orderdate", "o_orderkey")
+    last = status.latest_job(orders, "c_custkey", "o_orderdate", "o_orderkey")
     return read_parquet(spark, sf, "customer").select("c_custkey", "c_name").join(last, "c_custkey", "left")
 
 
@@ -31,20 +31,19 @@ def latest_order_per_customer(spark, sf):
 
 @plan(
     "connector_list_with_defaults", "J2",
-    """SELECT c_custkey, c_name, coalesce(is_connected, false) AS is_connected, coalesce(loads, 0) AS loads, last_synced_at
-       FROM customer LEFT JOIN (SELECT o_custkey, true AS is_connected, count(*) AS loads, max(o_orderdate) AS last_synced_at
-         FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1) ON c_custkey = o_custkey""",
+    """SELECT doc_id, source, coalesce(is_connected, false) AS is_connected, coalesce(loads, 0) AS loads, quality
+       FROM documents LEFT JOIN (SELECT doc_id, true AS is_connected, count(*) AS loads, max(quality) AS quality
+         FROM labels GROUP BY 1) USING (doc_id)""",
 )
 def connector_list_with_defaults(spark, sf):
+    """Labels cover some documents only; the others get the defaults."""
     state = (
-        read_parquet(spark, sf, "orders")
-        .filter("o_orderdate >= timestamp_ntz'2001-01-01'")
-        .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(F.lit(True).alias("is_connected"), F.count("*").alias("loads"), F.max("o_orderdate").alias("last_synced_at"))
+        read_parquet(spark, sf, "labels").groupBy("doc_id")
+        .agg(F.lit(True).alias("is_connected"), F.count("*").alias("loads"), F.max("quality").alias("quality"))
     )
     return catalogs.with_status(
-        read_parquet(spark, sf, "customer").select("c_custkey", "c_name"), state, "c_custkey",
-        {"is_connected": False, "loads": 0, "last_synced_at": None},
+        read_parquet(spark, sf, "documents").select("doc_id", "source"), state, "doc_id",
+        {"is_connected": False, "loads": 0, "quality": None},
     )
 
 
@@ -108,11 +107,11 @@ def orders_of_chosen_customers(spark, sf):
     """SELECT n_name, r_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(*) AS items
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-       WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1, 2""",
+       GROUP BY 1, 2""",
 )
 def revenue_by_nation(spark, sf):
     items = read_parquet(spark, sf, "lineitem")
-    orders = read_parquet(spark, sf, "orders").filter("o_orderdate >= timestamp_ntz'2000-01-01'")
+    orders = read_parquet(spark, sf, "orders")
     # Revenue is summed per order before the other tables are joined, so those joins see orders, not items.
     per_order = items.groupBy("l_orderkey").agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.count("*").alias("items"))
