@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from millpond.llm.common import slices
 
 TOKENIZER_BYTES = 64 << 20  # a larger tokenizer file is refused instead of broadcast
-CACHED_WORDS = 250_000  # words in each of the two generations of a task's cache
+CACHED_WORDS = 200_000  # words in each of the two generations of a task's cache
 # White space by Unicode, and the four separators that only str.split() takes for white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -82,6 +82,10 @@ class WordBpe(dict):
             found = self.merged[word] = tuple(merge([*(self.first[b] for b in raw[:-1]), self.last[raw[-1]]], self.ranks))
         return found
 
+    def forget(self) -> None:
+        """Give the caches back; a Python worker lives on after its task."""
+        self.clear(), self.old.clear(), self.merged.clear()
+
     def encode(self, text: str) -> list[int]:
         # White space only separates: no token holds any, and it joins with nothing in normalisation.
         chunks = self.spaces.split(text) if any(c in text for c in SEPARATORS) else text.split()
@@ -169,6 +173,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_
             if decoded:
                 columns.append(pa.array([bpe.decode(x) for x in found], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        bpe.forget()
 
     source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias("__text"))
     return source.mapInArrow(run, schema)
