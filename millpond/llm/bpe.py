@@ -9,8 +9,10 @@ shuffle. Texts are taken whole.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,24 +25,20 @@ from pyspark.sql import types as T
 from millpond.llm.common import slices
 
 TOKENIZER_BYTES = 64 << 20  # a larger tokenizer file is refused instead of broadcast
-CACHED_WORDS = 200_000  # words in each of the two generations of a task's cache
+CACHED_WORDS = 500_000  # different words of a text a task remembers, and pre-tokens; a full cache is emptied
 # White space by Unicode, and the four separators that only str.split() takes for white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class WordBpe(dict):
-    """Text between white space -> ids, filled on demand. Reads the layout with word ends, byte symbols, lower case.
-
-    The cache has two generations of bounded size: a full one becomes the old one, and words in use move up from it.
-    """
+    """Text between white space -> ids, filled on demand. Reads the layout with word ends, byte symbols, lower case."""
 
     def __init__(self, spec: dict):
         import regex
 
         super().__init__()
         model = spec["model"]
-        self.old: dict[str, tuple[int, ...]] = {}
         self.merged: dict[str, tuple[int, ...]] = {}
         self.end = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
@@ -49,6 +47,7 @@ class WordBpe(dict):
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.added.items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.mark = os.path.commonprefix(list(self.added))  # no added token without it
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.first = [self.ids[c] for c in byte_symbols()]
@@ -56,22 +55,19 @@ class WordBpe(dict):
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         if len(self) >= CACHED_WORDS:
-            self.old = dict(self)
             self.clear()
-        out = self.old.get(chunk)
-        if out is None:
-            out = []
-            # Added tokens are found in the raw text; what lies between is normalised piece by piece.
-            for piece in self.specials.split(chunk) if self.specials and any(t in chunk for t in self.added) else [chunk]:
-                if piece in self.added:
-                    out.append(self.added[piece])
-                elif piece:
-                    # Lower case is taken letter by letter, so a capital sigma is never a final one.
-                    plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-                    for word in self.words.findall(plain.lower()):
-                        out += self._word(word)
-        self[chunk] = out = tuple(out)
-        return out
+        out: list[int] = []
+        # Added tokens are found in the raw text; what lies between is normalised piece by piece.
+        for piece in self.specials.split(chunk) if self.specials and self.mark in chunk else [chunk]:
+            if piece in self.added:
+                out.append(self.added[piece])
+            elif piece:
+                # Lower case is taken letter by letter, so a capital sigma is never a final one.
+                plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+                for word in self.words.findall(plain.lower()):
+                    out += self._word(word)
+        self[chunk] = found = tuple(out)
+        return found
 
     def _word(self, word: str) -> tuple[int, ...]:
         found = self.merged.get(word)
@@ -84,7 +80,7 @@ class WordBpe(dict):
 
     def forget(self) -> None:
         """Give the caches back; a Python worker lives on after its task."""
-        self.clear(), self.old.clear(), self.merged.clear()
+        self.clear(), self.merged.clear()
 
     def encode(self, text: str) -> list[int]:
         # White space only separates: no token holds any, and it joins with nothing in normalisation.
@@ -110,30 +106,35 @@ def byte_symbols() -> list[str]:
 def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply merges in order of rank, leftmost first among equals."""
     n = len(symbols)
+    find = ranks.get
+    queue = []
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if found := find(pair):
+            queue.append((found[0], i, pair, found[1]))
+    if not queue:
+        return symbols
     symbols = symbols.copy()
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    queue = []
-    for i in range(n - 1):
-        if found := ranks.get((symbols[i], symbols[i + 1])):
-            queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
     heapq.heapify(queue)
+    pop, push = heapq.heappop, heapq.heappush
     while queue:
-        _, i, left, right, joined = heapq.heappop(queue)
+        _, i, pair, joined = pop(queue)
         j = after[i]
-        if symbols[i] != left or j >= n or symbols[j] != right:
+        if j >= n or symbols[i] != pair[0] or symbols[j] != pair[1]:
             continue  # stale: one of the two has been merged since
         symbols[i], symbols[j] = joined, -1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for a, b in ((before[i], i), (i, after[i])):
-            if a >= 0 and b < n and (found := ranks.get((symbols[a], symbols[b]))):
-                heapq.heappush(queue, (found[0], a, symbols[a], symbols[b], found[1]))
-    out, i = [], 0
-    while i < n:
-        out.append(symbols[i])
-        i = after[i]
-    return out
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            pair = (joined, symbols[k])
+            if found := find(pair):
+                push(queue, (found[0], i, pair, found[1]))
+        h = before[i]
+        if h >= 0:
+            pair = (symbols[h], joined)
+            if found := find(pair):
+                push(queue, (found[0], h, pair, found[1]))
+    return [s for s in symbols if s >= 0]
 
 
 @lru_cache(maxsize=2)
@@ -165,6 +166,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_
         import pyarrow as pa
 
         bpe = _bpe(shared.value)
+        gc.disable()  # millions of small tuples and no cycles: collecting finds nothing
         for part in slices(batches, "__text"):
             found = [bpe.encode(t) if t else [] for t in part.column("__text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
@@ -174,6 +176,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_
                 columns.append(pa.array([bpe.decode(x) for x in found], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         bpe.forget()
+        gc.enable()
 
     source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias("__text"))
     return source.mapInArrow(run, schema)
