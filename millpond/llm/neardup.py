@@ -6,10 +6,10 @@ shingle more than p times. Points fall into the components of the signature at r
 signatures agree in a component with the probability of their weighted Jaccard similarity. Only points before a time
 limit are drawn, enough to fill all components with a high chance; else the limit doubles.
 
-Bands of the signature make buckets. Texts of a bucket are compared with its centre and not with each other. What then
-still lies in different classes is compared further: in small buckets every pair across classes is estimated from the
-signatures, and each text is compared with the likeliest text of every other class; large buckets are split by a second
-band into small ones, and those that stay large get another centre. Similarity is computed exactly, on the shingle multisets.
+Bands of the signature make buckets. Texts of a bucket are compared with its centre first. In buckets that then still
+hold several classes every pair across classes is estimated from the signatures, in large buckets block by block: first
+each text is compared with the likeliest text of every other class, then, of what still lies in different classes, all
+pairs that may be similar enough. Similarity is computed exactly, on the shingle multisets.
 Equal texts are one node from the start. Nothing that grows with the data goes to the driver.
 """
 
@@ -26,9 +26,9 @@ WORDS = 5
 SIMILARITY = 0.8
 COMPONENTS = 192
 BAND = 6  # components in a band: of pairs at 0.8 six in 100,000 share none of 32 bands, at 0.85 three in 10 million
-SMALL = 32  # in buckets up to this size all pairs across classes are estimated, larger ones are split
-SPLITS = 4  # following bands by which a large bucket is split into small ones
-LIKELY = 0.70  # estimated similarity from which a pair of a small bucket is computed: 3.5 deviations below SIMILARITY
+SMALL = 32  # buckets up to this size are one block, larger ones are dealt to several
+BLOCK = 512  # about as many texts of a large bucket meet as many others in a block
+LIKELY = 0.70  # estimated similarity from which a pair of a bucket is computed: 3.5 deviations below SIMILARITY
 
 
 def mixed(x):
@@ -182,33 +182,66 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Da
     return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def likeliest(buckets: DataFrame, least: float = LIKELY) -> DataFrame:
-    """(a, b) from rows with ``g``, the members (th, label, signature) of a small bucket: each text with the text of every
-    other class that its signature agrees with most, if that may be similar enough."""
+def blocks(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
+    """Rows with ``g``, the members (th, label, signature, side) of a block, from the buckets that hold several classes.
+
+    The largest class of a large bucket and the rest are dealt to parts by a hash; each part of the rest meets every part.
+    A pair counts where its sides are 0 and 1, or both 2. So each pair across classes of a bucket counts in one block.
+    """
+    held = members.join(labels.withColumnRenamed("node", "th"), "th", "left").select("band", "th", F.coalesce("label", "th").alias("label"))
+    sizes = held.groupBy("band", "label").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("top")).where("k > 1")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    several = stored(several.select("band", "n", F.col("top.label").alias("top"), parts(F.col("top.n")).alias("p"), parts(F.col("n") - F.col("top.n")).alias("q")), "several")
+    found = held.join(several, "band").join(signed, "th")
+    salt = lambda n: F.pmod(F.xxhash64("th"), F.col(n)).cast("int")
+    at = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    top = F.transform(each("q"), lambda j: at(-1 - salt("p"), j, F.lit(0)))
+    own = salt("q")
+    rest = F.concat(
+        F.transform(each("p"), lambda i: at(-1 - i, own, F.lit(1))),
+        F.transform(each("q"), lambda j: at(F.least(own, j), F.greatest(own, j), F.when(own < j, 0).when(own > j, 1).otherwise(2))))
+    where = F.when(F.col("n") <= SMALL, F.array(at(F.lit(0), F.lit(0), F.lit(2)))).when(F.col("label") == F.col("top"), top).otherwise(rest)
+    dealt = found.select("band", "th", "label", "signature", F.explode(where).alias("at"))
+    return dealt.groupBy("band", "at.i", "at.j").agg(F.collect_list(F.struct("th", "label", "signature", "at.side")).alias("g"))
+
+
+def candidates(dealt: DataFrame, first: bool, least: float = LIKELY) -> DataFrame:
+    """The pairs (a, b) across classes in ``blocks`` that may be similar enough by their signatures; at ``first`` only each
+    text with the text of every other class that its signature agrees with most (texts of side 0 choose none)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            a, b = [], []
-            for g in batch.column("g").to_pylist():
-                own = np.frombuffer(b"".join(m["signature"] for m in g), np.uint8).reshape(len(g), -1)
-                for i, m in enumerate(g):
-                    agree = (own == own[i]).mean(axis=1)
+            for g in batch.column("g"):
+                g = g.as_py()
+                a, b = [], []
+                # Rows are components, so that agreements add up along whole rows; their number fits in a byte.
+                own = np.ascontiguousarray(np.frombuffer(b"".join(m["signature"] for m in g), np.uint8).reshape(len(g), -1).T)
+                side = np.array([m["side"] for m in g])
+                _, label = np.unique(np.array([m["label"].hex() for m in g]), return_inverse=True)
+                for i in np.flatnonzero(side > 0).tolist():
+                    agree = (own == own[:, i : i + 1]).sum(axis=0, dtype=np.uint8) / len(own)
                     # Different components have an equal byte once in 256.
                     guess = (agree - 1 / 256) / (1 - 1 / 256)
-                    best: dict = {}
-                    for j in np.flatnonzero(guess >= least).tolist():
-                        label = g[j]["label"]
-                        if label != m["label"] and (label not in best or (guess[j], g[j]["th"]) > (guess[best[label]], g[best[label]]["th"])):
-                            best[label] = j
-                    a += [m["th"]] * len(best)
-                    b += [g[j]["th"] for j in best.values()]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    found = buckets.select("g").mapInArrow(run, "a binary, b binary")
+                    near = np.flatnonzero((guess >= least) & (label != label[i]) & (side == (0 if side[i] == 1 else 2)))
+                    if first:
+                        best: dict = {}
+                        for j in near.tolist():
+                            k = label[j]
+                            if k not in best or (guess[j], g[j]["th"]) > (guess[best[k]], g[best[k]]["th"]):
+                                best[k] = j
+                        near = best.values()
+                    for j in near:
+                        a.append(g[i]["th"])
+                        b.append(g[j]["th"])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    found = dealt.select("g").mapInArrow(run, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -255,26 +288,19 @@ def classes(docs: DataFrame) -> DataFrame:
     links = stored(similar(star, texts), "links")
     labels = components(links)
 
-    # Buckets that still hold several classes.
-    held = members.join(labels.withColumnRenamed("node", "th"), "th", "left").withColumn("label", F.coalesce("label", "th"))
-    several = held.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    mixed_ = held.join(stored(several.select("band"), "several"), "band")
-    full = nodes.select("th", "signature", "bands")
-    small = mixed_.where(F.col("n") <= SMALL).join(full, "th").select("band", "th", "label", "signature")
-    # Near texts share several bands, so a large bucket is split by those that follow in the signature.
-    at, bands = F.array_position("bands", F.col("band")), F.col("bands")
-    keys = F.array(*[F.xxhash64("band", F.lit(i), F.element_at(bands, ((at - 1 + i) % F.size(bands) + 1).cast("int"))) for i in range(1, SPLITS + 1)])
-    split = mixed_.where(F.col("n") > SMALL).join(full, "th")
-    split = stored(split.select(F.explode(keys).alias("band"), "th", "label", "signature"), "split")
-    centre = F.min(F.struct(F.xxhash64("th", F.lit("second")), "th", "label")).alias("c")
-    parts = split.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), centre).where("lo != hi")
-    parts = stored(parts.select("band", "n", "c"), "parts")
-    small = small.union(split.join(parts.where(F.col("n") <= SMALL), "band").select("band", "th", "label", "signature"))
-    few = likeliest(small.groupBy("band").agg(F.collect_list(F.struct("th", "label", "signature")).alias("g")))
-    many = split.drop("signature").join(parts.where(F.col("n") > SMALL), "band").where(F.col("label") != F.col("c.label")).select(F.col("th").alias("a"), F.col("c.th").alias("b"))
-    more = stored(similar(few.union(many).distinct(), texts), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    # Buckets that still hold several classes. The likeliest pairs join most of what belongs together, so few are left
+    # for all pairs.
+    signed = nodes.select("th", "signature")
+    tried = stored(candidates(blocks(members, labels, signed), True), "tried")
+    if not tried.isEmpty():
+        more = stored(similar(tried, texts), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+        rest = candidates(blocks(members, labels, signed), False).join(tried, ["a", "b"], "left_anti")
+        more = stored(similar(rest, texts), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
 
     named = nodes.select("th", "first", "n_copies").join(labels.withColumnRenamed("node", "th"), "th", "left").withColumn("label", F.coalesce("label", "th"))
     heads = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "th")).alias("head"), F.sum("n_copies").alias("class_rows"))

@@ -91,6 +91,48 @@ def test_hot_families_are_whole(docs_of, monkeypatch, small_bucket):
     assert all(r.n_copies == 50 for r in got if 1100 <= r.doc_id < 1150)
 
 
+def test_a_large_family_near_the_limit_equals_all_pairs(docs_of):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(1200):
+        copy = base.copy()
+        for at in rng.sample(range(300), 3 if i % 20 == 0 else 5):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    bags = [bag(t) for _, t in rows]
+    assert max(max(b.values()) for b in bags) == 1
+    known = {s: k for k, s in enumerate(set().union(*bags))}
+    held = np.zeros((len(rows), len(known)), np.float32)
+    for i, b in enumerate(bags):
+        held[i, [known[s] for s in b]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    near = both >= 0.8 * (size[:, None] + size - both)
+    want = np.arange(len(rows))
+    while (new := np.where(near, want, len(rows)).min(axis=1)).tolist() != want.tolist():
+        want = new
+    assert 100 < len(set(want.tolist())) < 1000
+    got = {r.doc_id: r.class_id for r in neardup.report(docs_of(rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == want.tolist()
+
+
+def test_every_pair_across_classes_counts_in_one_block(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    label = {bytes([i]): bytes([0 if i < 30 else i]) for i in range(50)}
+    members = spark.createDataFrame([(1, bytearray(t)) for t in label], "band long, th binary")
+    labels = spark.createDataFrame([(bytearray(t), bytearray(x)) for t, x in label.items()], "node binary, label binary")
+    signed = spark.createDataFrame([(bytearray(t), bytearray(192)) for t in label], "th binary, signature binary")
+    met = Counter()
+    for r in neardup.blocks(members, labels, signed).collect():
+        for x in r.g:
+            for y in r.g:
+                if x.label != y.label and bytes(x.th) < bytes(y.th) and ({x.side, y.side} == {0, 1} or x.side == y.side == 2):
+                    met[bytes(x.th), bytes(y.th)] += 1
+    assert met == Counter((x, y) for x in label for y in label if x < y and label[x] != label[y])
+    got = neardup.candidates(neardup.blocks(members, labels, signed), False).collect()
+    assert {(bytes(r.a), bytes(r.b)) for r in got} == set(met)
+
+
 def test_one_row_of_each_class_stays(docs_of, odd_rows):
     docs = docs_of(odd_rows + [(20, t) for t in family(5, 3, 2)] + [(21, None)], extra=True)
     left = neardup.deduplicate(docs)
