@@ -4,12 +4,12 @@ Lines are normalised and hashed. A line that more than ``LINE_SHARE`` of a host'
 ``LINE_DOCS`` of them) is boilerplate and is removed; a document that loses more than ``DEPLETED`` of its characters is
 rejected, as is one that fails the base rules.
 
-Copies of a document are one document here: a line counts once for each *signature*, the smallest hash of a document's
-words, which copies and most near copies share. Else a text copied a thousand times would be taken for boilerplate
-where near-duplicate removal should keep one of it.
+Copies of a document are one document here: a line counts once for each *document*, a hash of the whole text in lower case
+with white space collapsed. Else a text copied a thousand times would be taken for boilerplate where near-duplicate
+removal should keep one of it. Near copies are documents of their own.
 
 The text is read once, into a stored table of counts and line hashes. Counts are combined in each task before they are
-shuffled, so a host or line that holds a third of all rows arrives as one row per task and signature.
+shuffled, so a host or line that holds a third of all rows arrives as one row per task and document.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Base counts, signature and line hashes of every row. _row tells rows apart once this is stored."""
+    """Base counts, document hash and line hashes of every row. _row tells rows apart once this is stored."""
     text = F.col("_text")
     bare = F.col("_bare")
     df = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"), text_or_empty().alias("_text"))
@@ -76,16 +76,16 @@ def features(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.array_min(F.transform(F.array_distinct("_words"), lambda x: F.md5(x))).alias("_signature"),
+        F.xxhash64(F.lower(F.array_join("_words", " "))).alias("_document"),
         F.transform(lines, lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.length(F.btrim(x, F.lit(SPACE))).alias("n"))).alias("_lines"),
     )
 
 
 def frequent_lines(seen: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT) -> DataFrame:
     """(_host, h) of the lines above the limits; from ``features``."""
-    hosts = seen.groupBy("_host").agg(F.count_distinct("_signature").alias("_docs"))
-    lines = seen.select("_host", "_signature", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h"))
-    often = lines.groupBy("_host", "h").agg(F.count_distinct("_signature").alias("_n")).where(F.col("_n") > line_docs)
+    hosts = seen.groupBy("_host").agg(F.count_distinct("_document").alias("_docs"))
+    lines = seen.select("_host", "_document", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h"))
+    often = lines.groupBy("_host", "h").agg(F.count_distinct("_document").alias("_n")).where(F.col("_n") > line_docs)
     return often.join(hosts, "_host").where(F.col("_n") * 100 > F.col("_docs") * line_percent).select("_host", "h")
 
 

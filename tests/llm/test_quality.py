@@ -46,6 +46,17 @@ def test_boilerplate_depletes_but_copies_do_not(docs_of):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, _ in own)
 
 
+def test_a_passage_counts_every_document_that_holds_it(docs_of):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = prose(200)
+    rows = [(i, f"{passage}\n{prose(1)}") for i in range(30)] + [(100 + i, f"{passage.upper()} \n same") for i in range(50)] + [(200, f"{passage}\nsame")]
+    seen = quality.features(docs_of(rows))
+    assert seen.select("_document").distinct().count() == 31
+    assert quality.frequent_lines(seen, line_docs=30).count() == 1
+    assert quality.frequent_lines(seen, line_docs=31).count() == 0
+
+
 def test_main_path_is_native(docs_of, odd_rows):
     plan = quality.features(docs_of(odd_rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
