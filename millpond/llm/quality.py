@@ -55,6 +55,10 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("_win", "_sorted", "_again", "_placed", "_at")
 
 
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACE)), SPACES, " ")))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """Base counts, document hash and line hashes of every row. _row tells rows apart once this is stored."""
     text = F.col("_text")
@@ -65,7 +69,6 @@ def features(docs: DataFrame) -> DataFrame:
     df = _repeat_words(df)
     df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
     lines = F.col("_lines")
-    normal = lambda x: F.lower(F.regexp_replace(F.btrim(x, F.lit(SPACE)), SPACES, " "))
     return df.select(
         F.monotonically_increasing_id().alias("_row"),
         "doc_id",
@@ -77,7 +80,7 @@ def features(docs: DataFrame) -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         F.xxhash64(F.lower(F.array_join("_words", " "))).alias("_document"),
-        F.transform(lines, lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.length(F.btrim(x, F.lit(SPACE))).alias("n"))).alias("_lines"),
+        F.transform(lines, lambda x: F.struct(_line_hash(x).alias("h"), F.length(F.btrim(x, F.lit(SPACE))).alias("n"))).alias("_lines"),
     )
 
 
@@ -99,21 +102,38 @@ def judge(docs: DataFrame, depleted_percent: int = DEPLETED_PERCENT) -> DataFram
     A null text is an empty one, which fails for want of words; a null source is a host of its own. Repeated rows get
     equal verdicts. A text without lines loses nothing.
     """
+    return _judged(docs, depleted_percent)[0]
+
+
+def _judged(docs: DataFrame, depleted_percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``judge``, and (doc_id, _hash, h) of the frequent lines in them."""
     seen = stored(features(docs), "quality")
     # Written as well, so that both sides of the next join are plain shuffles, which Spark splits where a line is hot.
     often = stored(frequent_lines(seen), "quality-lines")
     total = F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    lines = seen.select("_row", "_host", total.alias("_total"), F.explode("_lines").alias("_line")).select("_row", "_host", "_total", F.col("_line.h").alias("h"), F.col("_line.n").alias("n"))
-    lost = lines.join(often, ["_host", "h"]).groupBy("_row", "_total").agg(F.sum("n").alias("_lost"))
+    lines = seen.select("_row", "doc_id", "_hash", "_host", total.alias("_total"), F.explode("_lines").alias("_line")).select("_row", "doc_id", "_hash", "_host", "_total", F.col("_line.h").alias("h"), F.col("_line.n").alias("n"))
+    hit = lines.join(often, ["_host", "h"])
+    lost = hit.groupBy("_row", "_total").agg(F.sum("n").alias("_lost"))
     bad = lost.where(F.col("_lost") * 100 > F.col("_total") * depleted_percent).select("_row", F.lit(True).alias("_bad"))
     out = seen.join(bad, "_row", "left")
-    return out.select(
+    out = out.select(
         "doc_id", "_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & F.col("_bad").isNull()).alias("kept"))
+    return out, hit.select("doc_id", "_hash", "h")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    bad = judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("_hash").alias("_bad")).distinct()
+    """The rows of ``docs`` that are kept, with the columns of ``docs``; the frequent lines are taken out of ``text``, and
+    ``n_chars``, if there, is counted anew where a line went. Blank lines stay."""
+    judged, lines = _judged(docs, DEPLETED_PERCENT)
+    # Rows of one key have equal lines and verdicts, as frequency is by host.
+    bad = judged.where(~F.col("kept")).select("doc_id", "_hash", F.lit(None).cast("long").alias("h"))
+    gone = bad.union(lines).groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")).agg(F.collect_set("h").alias("_gone"), F.max(F.col("h").isNull()).alias("_bad"))
     key = F.xxhash64(text_or_empty(), F.coalesce(F.col("source").cast("string"), F.lit("")))
-    return docs.join(bad, [docs.doc_id.eqNullSafe(bad._bad_id), key == bad._bad], "left_anti")
+    # The row travels as one column, so none of its names can clash.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").alias("_own"), key.alias("_key"))
+    found = marked.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left").where("_bad is null or not _bad")
+    left = F.filter(F.split(F.col("_doc.text"), "\n"), lambda x: ~F.array_contains("_gone", _line_hash(x)) | (F.btrim(x, F.lit(SPACE)) == ""))
+    found = found.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")))
+    new = {"text": F.coalesce("_left", "_doc.text"), "n_chars": F.coalesce(F.length("_left"), F.col("_doc.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])

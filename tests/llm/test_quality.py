@@ -60,3 +60,18 @@ def test_a_passage_counts_every_document_that_holds_it(docs_of):
 def test_main_path_is_native(docs_of, odd_rows):
     plan = quality.features(docs_of(odd_rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_kept_document_loses_its_frequent_lines(docs_of):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    menu, own = prose(60), [prose(40) + "\n\n" + prose(40) for _ in range(30)]
+    docs = docs_of([(i, f"{menu}\n{x}\n {menu.upper()}") for i, x in enumerate(own)] + [(None, f"{own[0]}\n{menu}")] * 2 + [(50, prose(80)), (51, menu), (52, None)], extra=True)
+    want = {**dict(enumerate(own)), None: own[0]}
+    left = quality.keep(docs)
+    assert left.dtypes == docs.dtypes
+    got = left.collect()
+    assert len(got) == 33
+    for r in got:
+        assert r.doc_id == 50 or r.text == want[r.doc_id]
+        assert r.n_chars == len(r.text)
