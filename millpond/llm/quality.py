@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised and hashed. A line that more than ``LINE_SHARE`` of a host's documents hold (and more than
-``LINE_DOCS`` of them) is boilerplate and is removed; a document that loses more than ``DEPLETED`` of its characters is
+Lines are normalised and hashed. A line that more than ``LINE_PERCENT`` of a host's documents or more than ``LINE_MANY`` of
+them hold (and more than ``LINE_DOCS``, at a small host) is boilerplate and is removed; a document that loses more than ``DEPLETED`` of its characters is
 rejected, as is one that fails the base rules.
 
 Copies of a document are one document here: a line counts once for each *document*, a hash of the whole text in lower case
@@ -25,7 +25,8 @@ SYMBOLS = r"[^#*$%&|<>]+"
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
 LINE_DOCS = 20  # a line in no more documents of its host than this is never removed
-LINE_PERCENT = 2  # nor one in no more than this share of them
+LINE_PERCENT = 2  # nor one in no more than this share of them, unless
+LINE_MANY = 200  # it lies in more documents of its host than this, however many the host has
 DEPLETED_PERCENT = 70  # a document that loses more of its characters than this is rejected
 
 
@@ -84,12 +85,12 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(seen: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT) -> DataFrame:
+def frequent_lines(seen: DataFrame, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT, line_many: int = LINE_MANY) -> DataFrame:
     """(_host, h) of the lines above the limits; from ``features``."""
     hosts = seen.groupBy("_host").agg(F.count_distinct("_document").alias("_docs"))
     lines = seen.select("_host", "_document", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h"))
     often = lines.groupBy("_host", "h").agg(F.count_distinct("_document").alias("_n")).where(F.col("_n") > line_docs)
-    return often.join(hosts, "_host").where(F.col("_n") * 100 > F.col("_docs") * line_percent).select("_host", "h")
+    return often.join(hosts, "_host").where((F.col("_n") > line_many) | (F.col("_n") * 100 > F.col("_docs") * line_percent)).select("_host", "h")
 
 
 def base_failed() -> Column:

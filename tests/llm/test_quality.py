@@ -75,3 +75,11 @@ def test_a_kept_document_loses_its_frequent_lines(docs_of):
     for r in got:
         assert r.doc_id == 50 or r.text == want[r.doc_id]
         assert r.n_chars == len(r.text)
+
+
+def test_a_line_is_frequent_at_a_small_and_at_a_hot_source(spark):
+    seen = spark.sql("""
+        SELECT if(id < 500, 'small', 'hot') AS _host, id AS _document,
+               array(named_struct('h', CASE WHEN id < 25 OR id BETWEEN 1000 AND 1249 THEN -1 WHEN id BETWEEN 2000 AND 2149 THEN -2 WHEN id BETWEEN 480 AND 499 THEN -3 ELSE id END, 'n', 400)) AS _lines
+        FROM range(30000)""")
+    assert {(r["_host"], r.h) for r in quality.frequent_lines(seen).collect()} == {("small", -1), ("hot", -1)}
