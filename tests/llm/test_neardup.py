@@ -133,6 +133,16 @@ def test_every_pair_across_classes_counts_in_one_block(spark, monkeypatch):
     assert {(bytes(r.a), bytes(r.b)) for r in got} == set(met)
 
 
+def test_every_pair_across_classes_of_a_small_bucket_is_tried(spark):
+    label = {b"a1": b"a1", b"a2": b"a1", b"b1": b"b1", b"b2": b"b1"}
+    members = spark.createDataFrame([(1, bytearray(t)) for t in label], "band long, th binary")
+    labels = spark.createDataFrame([(bytearray(t), bytearray(x)) for t, x in label.items()], "node binary, label binary")
+    signed = spark.createDataFrame([(bytearray(t), bytearray(192)) for t in label], "th binary, signature binary")
+    tried = lambda first: {(bytes(r.a), bytes(r.b)) for r in neardup.candidates(neardup.blocks(members, labels, signed), first).collect()}
+    every = {(a, b) for a in (b"a1", b"a2") for b in (b"b1", b"b2")}
+    assert tried(True) < every and tried(False) == every
+
+
 def test_one_row_of_each_class_stays(docs_of, odd_rows):
     docs = docs_of(odd_rows + [(20, t) for t in family(5, 3, 2)] + [(21, None)], extra=True)
     left = neardup.deduplicate(docs)
