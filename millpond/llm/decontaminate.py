@@ -4,7 +4,9 @@ Benchmark items are cut into overlapping windows of ``WINDOW`` characters (a sho
 within k edits of a window of m characters shares at least m - q + 1 - kq of its q-grams, on diagonals that lie within
 k of each other. Documents are scanned for the windows' q-grams, hits are counted in overlapping bands of diagonals,
 and bands that reach the bound are verified by a banded alignment. All edits up to the budget are found: the filter
-loses nothing, and a window whose budget leaves no bound is given a smaller one that does.
+loses no window, and one whose budget leaves no bound is given a smaller one that does. Windows start ``STEP`` characters
+apart, so a verbatim quote of WINDOW + STEP - 1 = 149 folded characters is found wherever it starts in an item; one of 100
+to 148 only if it holds a whole window or comes within the budget of one.
 
 The benchmark is a stated query set: it goes to the tasks in blocks of at most ``BLOCK`` windows on average, and each
 block scans all documents, whole and row by row, without a shuffle of texts.

@@ -67,3 +67,13 @@ def test_odd_rows(spark, docs_of, odd_rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.leaks(docs_of(odd_rows), none).collect() == [] and D.clean(docs_of(odd_rows), none).count() == len(odd_rows)
     assert D.leaks(docs_of([]), benchmark).collect() == []
+
+
+def test_a_quote_of_the_stated_length_is_found_wherever_it_starts():
+    rng = random.Random(9)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(433))
+    last = len(item) - D.WINDOW
+    index = D.Index([(1, s, item[s : s + D.WINDOW]) for s in sorted({*range(0, last, D.STEP), last})])
+    found = lambda n: [bool(x) for x in index.find([item[s : s + n] for s in range(len(item) - n + 1)])]
+    assert all(found(D.WINDOW + D.STEP - 1))
+    assert not all(found(D.WINDOW))
