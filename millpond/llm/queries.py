@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millpond.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,6 +74,26 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.whitening import report
+
+    return report(table(spark, folder, "embeddings"))
+
+
+def op12_chat(spark: SparkSession, folder: str) -> DataFrame:
+    from millpond.llm.chat import report
+
+    return report(table(spark, folder, "conversations"))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from millpond.llm.alignment import report
+
+    return report(table(spark, folder, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -84,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_neardup": op8_neardup,
     "op3_decontaminate": op3_decontaminate,
+    "op11_whitening": op11_whitening,
+    "op12_chat": op12_chat,
+    "op13_alignment": op13_alignment,
 }
 SQL: dict[str, str] = {
     "op4_quality": r"""
@@ -123,4 +147,24 @@ SQL: dict[str, str] = {
                CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN keeper <> page_id THEN keeper END AS refers_to
         FROM p LEFT JOIN g USING (payload_digest)""",
+    "op12_chat": r"""
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+          UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, '([<\[])(\\*/?(?:s>|SYS>>|INST\]|ROLE\]|TURN\]))' AS control FROM t),
+        m AS (
+          SELECT conv_id, turn, role, text,
+                 length(regexp_replace(text, control, '\1\\\2', 'g'))
+                 + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+                        ELSE 20 + length(regexp_replace(role, control, '\1\\\2', 'g')) END AS chars
+          FROM e),
+        g AS (
+          SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars,
+                 string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+                 coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss
+          FROM m GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+               CAST(chars AS BIGINT) AS formatted_chars
+        FROM g""",
 }
