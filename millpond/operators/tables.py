@@ -1,28 +1,32 @@
-"""Keyed tables in the session catalog.
+"""Keyed tables in the session catalog: a base with sorted change sets beside it.
 
-A table is split by a hash of its key. A change set rewrites only the buckets its keys fall into: their new
-content goes to a new folder, and the catalog then points the partition at it. Files that a running query
-reads are never touched, and a load that dies half-way is simply run again.
+A load writes its change set to a folder of its own and nothing else, so what it writes is in proportion to the changes.
+The files of all versions lie in one partitioned catalog table, split by a hash of the key; the table users read is a view
+that names the versions that count: the base without the keys that changed, and the newest change of each key. A commit is
+one replacement of that view. Whoever reads keeps the versions they started with, and a load that dies half-way leaves files
+that no view names. Every eighth change set or so they are folded: into one change set of similar ones, or into a new base.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
-from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millpond.functions.columns import bucket_of
-from millpond.operators.keyed import REMOVED, one_per_key, project_declared, row_hash, with_key
+from millpond.operators.keyed import REMOVED, latest_per_key, one_per_key, project_declared, row_hash, with_key
 from millpond.operators.naming import evolved_schema, schema_change
 
-BUCKET = "_bucket"
-SEQUENCE_COMMENT = "sequence of the change this row comes from"
-CATALOG_THREADS = 16
+BUCKET, VERSION, GONE, TIE = "_bucket", "_version", "_removed", "_tie"
+FILES = "__files"  # between the name of a table and the number of its files table
+OWN = (BUCKET, VERSION, GONE, TIE)
+FOLD_AT = 8  # change sets beside the base before they are folded
+TIER = 2  # newest change sets are folded together while each has at most so many times the rows of those after it
+BUCKET_BYTES = 1 << 30  # a new base has more buckets if these would be larger
 
 
 def _quoted(name: str) -> str:
@@ -33,22 +37,34 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _column_ddl(field: T.StructField) -> str:
-    comment = field.metadata.get("comment") if field.metadata else None
-    return f"`{field.name}` {field.dataType.simpleString()}" + (f" COMMENT {_text(comment)}" if comment else "")
+def _comment(column: T.StructField) -> str:
+    text = (column.metadata or {}).get("comment")
+    return f" COMMENT {_text(text)}" if text else ""
 
 
 @dataclass(frozen=True)
 class Merged:
-    """What an upsert did: buckets rewritten, rows of the cleaned change set, and where that was written."""
+    """What an upsert did: buckets with changes, rows of the cleaned change set, and where that was written."""
 
     buckets: list[int]
     rows: int
     staged: DataFrame
 
 
+@dataclass(frozen=True)
+class State:
+    """What the view of a table says: its columns, files table, versions (base first) with their rows, and batches done."""
+
+    schema: T.StructType
+    comment: str
+    files: str
+    buckets: int
+    versions: list[tuple[str, int]] = field(default_factory=list)
+    done: dict[str, int] = field(default_factory=dict)
+
+
 class KeyedTable:
-    """``name`` is ``database.table``; ``location`` is a folder all executors share."""
+    """``name`` is ``database.table``; ``location`` is a folder all executors share. One writer at a time."""
 
     def __init__(self, spark: SparkSession, name: str, location: str, keys: list[str], buckets: int = 16):
         self.spark, self.name, self.location = spark, name, location.rstrip("/")
@@ -61,204 +77,279 @@ class KeyedTable:
         missing = [k for k in self.keys if k not in schema.fieldNames()]
         if missing:
             raise ValueError(f"key columns not in schema: {', '.join(missing)}")
-        columns = ", ".join(_column_ddl(f) for f in schema.fields)
         database = self.name.split(".")[0]
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(database)} LOCATION {_text(self.location + '/database')}")
+        if not self.exists():
+            self._commit(State(schema, comment, self._new_files(schema), self.buckets))
+        return self
+
+    # What the catalog holds
+
+    def _new_files(self, schema: T.StructType, hidden: list[T.StructField] = ()) -> str:
+        """A files table for rows of a schema; nothing names it yet."""
+        files = f"{self.name}{FILES}_{uuid.uuid4().hex[:8]}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*schema.fields, *hidden])
         self.spark.sql(
-            f"CREATE DATABASE IF NOT EXISTS {_quoted(database)} LOCATION {_text(self.location + '/database')}"
+            f"CREATE TABLE {_quoted(files)} ({columns}, {GONE} BOOLEAN, {TIE} BIGINT, {VERSION} STRING, {BUCKET} INT) "
+            f"USING parquet PARTITIONED BY ({VERSION}, {BUCKET}) LOCATION {_text(f'{self.location}/files/{files}')}"
         )
+        return files
+
+    def _state(self) -> State:
+        held = {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {_quoted(self.name)}").collect()}
+        made = json.loads(held["state"])
+        schema = self.spark.table(self.name).schema
+        return State(schema, self.spark.catalog.getTable(self.name).description or "", made["files"], made["buckets"], [tuple(v) for v in made["versions"]], made["done"])
+
+    def _commit(self, state: State) -> None:
+        """Make a state the one readers see, in one catalog call."""
+        columns = ", ".join(f"`{f.name}`{_comment(f)}" for f in state.schema.fields)
+        kept = json.dumps({"files": state.files, "buckets": state.buckets, "versions": state.versions, "done": state.done})
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {_quoted(self.name)} ({columns}, {BUCKET} INT) USING parquet "
-            f"PARTITIONED BY ({BUCKET}) LOCATION {_text(self.location + '/current')} COMMENT {_text(comment)} "
-            f"TBLPROPERTIES ('key' = {_text(','.join(self.keys))}, 'buckets' = '{self.buckets}')"
+            f"CREATE OR REPLACE VIEW {_quoted(self.name)} ({columns}) COMMENT {_text(state.comment)} "
+            f"TBLPROPERTIES ('key' = {_text(','.join(self.keys))}, 'state' = {_text(kept)}) AS "
+            f"{self._select(state, state.schema.fieldNames())} WHERE NOT {GONE}"
         )
-        return self
 
-    def _stored_schema(self) -> T.StructType:
-        return T.StructType([f for f in self.spark.table(self.name).schema.fields if f.name != BUCKET])
+    def _select(self, state: State, columns: list[str]) -> str:
+        """SQL of one row per key, with those marked as removed; a WHERE may follow."""
+        names = ", ".join(f"`{c}`" for c in dict.fromkeys([*columns, GONE]))
+        out = ", ".join(f"`{c}`" for c in columns)
+        versions = [_text(v) for v, _ in state.versions]
+        files = _quoted(state.files)
+        if len(versions) < 2:
+            return f"SELECT {out} FROM (SELECT {names} FROM {files} WHERE {VERSION} {f'= {versions[0]}' if versions else 'IS NULL'})"
+        keys = ", ".join(f"`{k}`" for k in self.keys)
+        newest = f"SELECT * FROM {files} WHERE {VERSION} IN ({', '.join(versions[1:])})"
+        if len(versions) > 2:
+            newest = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {VERSION} DESC) AS _rn FROM ({newest})) WHERE _rn = 1"
+        same = " AND ".join(f"b.`{k}` = d.`{k}`" for k in self.keys)
+        return (
+            f"SELECT {out} FROM (SELECT {names} FROM (SELECT * FROM {files} WHERE {VERSION} = {versions[0]}) b "
+            f"LEFT ANTI JOIN (SELECT {keys} FROM {files} WHERE {VERSION} IN ({', '.join(versions[1:])})) d ON {same} "
+            f"UNION ALL SELECT {names} FROM ({newest}))"
+        )
+
+    def _hidden(self, state: State) -> list[T.StructField]:
+        """Columns of the files that are no columns of the table: sequences of loads, and columns no longer declared."""
+        known = {*state.schema.fieldNames(), *OWN}
+        return [f for f in self.spark.table(state.files).schema.fields if f.name not in known]
+
+    def _rows(self, state: State, columns: list[str]) -> DataFrame:
+        return self.spark.sql(self._select(state, columns))
 
     def schema(self) -> T.StructType:
-        """The declared columns; the bucket and kept sequence columns are not among them."""
-        return T.StructType([f for f in self._stored_schema().fields if (f.metadata or {}).get("comment") != SEQUENCE_COMMENT])
+        """The declared columns, with their comments."""
+        return self.spark.table(self.name).schema
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.name).select(*[F.col(f"`{c}`") for c in self.schema().fieldNames()])
+        return self.spark.table(self.name)
 
-    def upsert(self, delta: DataFrame, seq: list[str] | None = None, op: str | None = None, label: str = "load") -> Merged:
+    # Writing
+
+    def _write(self, rows: DataFrame, version: str, buckets: int) -> tuple[str, int, list[int]]:
+        """Rows sorted by key in a folder of their own: the folder, the number of rows, the buckets with rows."""
+        path = f"{self.location}/data/{version}"
+        seen = Observation()
+        placed = rows.withColumn(BUCKET, bucket_of(self.keys, buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *self.keys)
+        placed.observe(seen, F.count("*").alias("rows")).write.partitionBy(BUCKET).parquet(path)
+        found = sorted(int(s.getPath().getName().split("=")[1]) for s in self._list(path) if "=" in s.getPath().getName())
+        return path, int(seen.get["rows"]), found
+
+    def _list(self, path: str) -> list:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return list(fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _add(self, files: str, version: str, path: str, buckets: list[int]) -> None:
+        if buckets:
+            places = " ".join(f"PARTITION ({VERSION} = {_text(version)}, {BUCKET} = {b}) LOCATION {_text(f'{path}/{BUCKET}={b}')}" for b in buckets)
+            self.spark.sql(f"ALTER TABLE {_quoted(files)} ADD IF NOT EXISTS {places}")
+
+    @staticmethod
+    def _version(state: State, label: str) -> str:
+        """A name that sorts behind all versions that count."""
+        last = int(state.versions[-1][0].split("-")[0]) if state.versions else 0
+        return f"{last + 1:09d}-{label}-{uuid.uuid4().hex[:12]}"
+
+    def upsert(
+        self, delta: DataFrame, seq: list[str] | None = None, op: str | None = None, label: str = "load",
+        batch: tuple[str, int] | None = None,
+    ) -> Merged:
         """Merge a change set.
 
         Running it again with the same change set leaves the table as it is. With ``seq`` the newer of the stored and
         the changed row wins, whatever order change sets come in: sequence columns that are not columns of the table
-        are kept in it, hidden, and so are removals, as marks beside it.
+        are kept in its files, hidden, and so are removals, as marks. ``batch`` is (run, number): a batch of a run that is
+        not behind the last one the table has taken is skipped, as both are committed together.
         """
-        version = f"{label}-{uuid.uuid4().hex}"
-        self._keep_sequence(delta, seq)
+        state = self._state()
+        nothing = Merged([], 0, self.spark.createDataFrame([], state.schema))
+        if batch and state.done.get(batch[0], -1) >= batch[1]:
+            return nothing
+        done = {**state.done, batch[0]: batch[1]} if batch else state.done
+        hidden = self._hidden(state)
+        extra = [delta.schema[c] for c in seq or [] if c not in {*state.schema.fieldNames(), *(f.name for f in hidden)}]
+        if extra:
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)
+            self.spark.sql(f"ALTER TABLE {_quoted(state.files)} ADD COLUMNS ({columns})")
+            hidden = [*hidden, *extra]
+        target = T.StructType([*state.schema.fields, *hidden])
         changes = one_per_key(with_key(delta, self.keys), self.keys, seq)
-        removed = F.coalesce(F.col(op) == REMOVED, F.lit(False)) if op else F.lit(False)
-        changes = project_declared(changes.withColumn("_removed", removed), T.StructType(
-            self._stored_schema().fields + [T.StructField("_removed", T.BooleanType())]
-        )).withColumn(BUCKET, bucket_of(self.keys, self.buckets))
-        marks = self._removals(seq) if seq else None
-        if marks is not None:
-            # What was removed later than it was changed stays removed.
-            later = marks.groupBy(*self.keys).agg(F.max("_seq").alias("_gone"))
-            changes = changes.join(later, self.keys, "left").where(F.col("_gone").isNull() | (self._sequence(changes, seq) > F.col("_gone")) | F.col("_removed")).drop("_gone")
-
-        # Written once, so that the merge reads fixed rows even if the source moves on.
-        staged_path = f"{self.location}/staged/{version}"
-        changes.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(staged_path)
-        staged = self.spark.read.schema(changes.schema).parquet(staged_path)
-        # At most one value per bucket; the number of buckets is fixed when the table is made.
-        counts = {r[0]: r[1] for r in staged.groupBy(BUCKET).count().collect()}
-        touched = sorted(counts)
-        merged_rows = Merged(touched, sum(counts.values()), staged.select(*self.schema().fieldNames()))
-        if not touched:
-            return merged_rows
-        if op and seq:
-            gone = staged.where("_removed").select(*self.keys, self._sequence(staged, seq).alias("_seq"))
-            gone.write.mode("append").parquet(f"{self.location}/removals/{version}")
-
-        filled = self._filled_buckets()
-        if not op:
-            # Nothing is stored in these buckets yet: the written change set is their content.
-            self._point_at([b for b in touched if b not in filled], staged_path, filled)
-            to_merge = [b for b in touched if b in filled]
-        else:
-            to_merge = touched
-        if to_merge:
-            on = [BUCKET, *self.keys]
-            stored = self.spark.table(self.name).filter(F.col(BUCKET).isin(to_merge))
-            changed = staged.filter(F.col(BUCKET).isin(to_merge))
-            if seq:
-                changed = self._newer(changed, stored, seq, on)
-            kept = stored.join(changed.select(*on), on, "left_anti").select(*stored.columns)
-            merged = kept.unionByName(changed.filter("NOT _removed").select(*stored.columns))
-            self._replace(merged, to_merge, f"{self.location}/data/{version}", filled, may_empty=bool(op))
-        self.spark.catalog.refreshTable(self.name)
-        return merged_rows
-
-    def _newer(self, changed: DataFrame, stored: DataFrame, seq: list[str], on: list[str]) -> DataFrame:
-        """Changes whose sequence, and on a tie whose content, is not behind that of the stored row."""
-        order = lambda df: F.struct(*[F.col(c) for c in seq], F.bitwise_not(row_hash(df.drop("_removed"))).alias("_tie"))
-        old = stored.select(*on, order(stored).alias("_old"))
-        new = changed.withColumn("_new", order(changed)).join(old, on, "left")
-        return new.where(F.col("_old").isNull() | (F.col("_new") >= F.col("_old")) | (F.col("_removed") & (self._sequence(changed, seq) >= F.struct(*[F.col(f"_old.{c}").alias(c) for c in seq])))).drop("_new", "_old")
-
-    @staticmethod
-    def _sequence(df: DataFrame, seq: list[str]):
-        return F.struct(*[F.col(c) for c in seq])
-
-    def _keep_sequence(self, delta: DataFrame, seq: list[str] | None) -> None:
-        """Add sequence columns that the table lacks, so that later change sets can be compared with stored rows."""
-        have = self._stored_schema().fieldNames()
-        extra = [delta.schema[c] for c in seq or [] if c not in have]
-        if not extra:
+        gone = F.coalesce(F.col(op) == REMOVED, F.lit(False)) if op else F.lit(False)
+        changes = project_declared(changes.withColumn(GONE, gone), T.StructType([*target.fields, T.StructField(GONE, T.BooleanType())]))
+        changes = changes.withColumn(TIE, F.bitwise_not(row_hash(changes.drop(GONE))) if seq else F.lit(None).cast("long"))
+
+        version = self._version(state, label)
+        path, rows, touched = self._write(changes, version, state.buckets)
+        staged = self.spark.read.schema(T.StructType([*changes.schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
+        merged = Merged(touched, rows, staged.select(*[F.col(f"`{c}`") for c in state.schema.fieldNames()]))
+        if not rows:
+            if batch:
+                self._commit(replace(state, done=done))
+            return merged
+        if seq and state.versions:
+            judged = self._against_stored(staged, state, seq, touched)
+            if not judged.where("NOT _wins").isEmpty():
+                # Late rows are left out; the change set is written once more without them.
+                version = self._version(state, label)
+                path, rows, touched = self._write(judged.where("_wins").select(*changes.columns), version, state.buckets)
+        self._add(state.files, version, path, touched)
+        self._commit(replace(state, versions=[*state.versions, (version, rows)] if rows else state.versions, done=done))
+        if len(state.versions) >= FOLD_AT:
+            self.fold()
+        return merged
+
+    def _against_stored(self, staged: DataFrame, state: State, seq: list[str], touched: list[int]) -> DataFrame:
+        """Change rows with ``_wins``: whether the stored row, or the mark of a removal, is not newer.
+
+        Only keys, sequence and content hash of the touched buckets are read.
+        """
+        old = self._rows(state, [*dict.fromkeys([*self.keys, *seq]), GONE, TIE, BUCKET]).where(F.col(BUCKET).isin(touched))
+        order = F.struct(*[F.col(f"`{c}`") for c in seq])
+        old = old.select(*self.keys, BUCKET, F.struct(order.alias("seq"), F.col(GONE).alias("gone"), F.col(TIE).alias("tie")).alias("_old"))
+        new = staged.join(old, [BUCKET, *self.keys], "left")
+        leaves = F.col(GONE) & (order >= F.col("_old.seq"))
+        stays = F.when(F.col("_old.gone"), order > F.col("_old.seq")).otherwise(F.struct(order.alias("seq"), F.col(TIE).alias("tie")) >= F.struct("_old.seq", "_old.tie"))
+        return new.withColumn("_wins", F.col("_old").isNull() | F.coalesce(leaves | stays, F.lit(False))).drop("_old")
+
+    # Folding
+
+    def fold(self) -> None:
+        """Fold the change sets: all into a new base once they have half its rows, else the newest of similar size."""
+        state = self._state()
+        changed = [n for _, n in state.versions[1:]]
+        if 2 * sum(changed) >= state.versions[0][1]:
+            self.compact()
+            return
+        first, total = len(changed) - 1, changed[-1]
+        while first > 0 and changed[first - 1] <= TIER * total:
+            first -= 1
+            total += changed[first]
+        if first == len(changed) - 1:
             return
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()} COMMENT {_text(SEQUENCE_COMMENT)}" for f in extra)
-        self.spark.sql(f"ALTER TABLE {_quoted(self.name)} ADD COLUMNS ({columns})")
-
-    def _removals(self, seq: list[str]) -> DataFrame | None:
-        """Keys that were removed, with the sequence of the removal; None where nothing was."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.location}/removals")
-        if not folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
-            return None
-        stored = self._stored_schema()
-        order = T.StructField("_seq", T.StructType([stored[c] for c in seq]))
-        return self.spark.read.schema(T.StructType([*[stored[k] for k in self.keys], order])).parquet(f"{self.location}/removals/*")
-
-    def _filled_buckets(self) -> set[int]:
-        parts = self.spark.sql(f"SHOW PARTITIONS {_quoted(self.name)}").collect()
-        return {int(r[0].split("=")[1]) for r in parts}
-
-    def _point_at(self, buckets: list[int], path: str, filled: set[int]) -> None:
-        table = _quoted(self.name)
-        new = [b for b in buckets if b not in filled]
-        if new:
-            places = " ".join(f"PARTITION ({BUCKET} = {b}) LOCATION {_text(f'{path}/{BUCKET}={b}')}" for b in new)
-            self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {places}")
-
-        def move(b: int) -> None:
-            place = _text(f"{path}/{BUCKET}={b}")
-            self.spark.sql(f"ALTER TABLE {table} PARTITION ({BUCKET} = {b}) SET LOCATION {place}")
-
-        # Catalog calls only; a wide change set has one per bucket.
-        with ThreadPoolExecutor(max_workers=CATALOG_THREADS) as pool:
-            list(pool.map(inheritable_thread_target(self.spark)(move), [b for b in buckets if b in filled]))
-
-    def _replace(self, rows: DataFrame, buckets: list[int], path: str, filled: set[int], may_empty: bool) -> None:
-        # Keys are unique here, so buckets are even; rebalance splits or joins them into fit files.
-        rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
-        written = set(buckets)
-        if may_empty:
-            content = self.spark.read.schema(rows.schema).parquet(path)
-            written = {r[0] for r in content.select(BUCKET).distinct().collect()}
-        self._point_at([b for b in buckets if b in written], path, filled)
-        for b in buckets:
-            if b not in written and b in filled:
-                self.spark.sql(f"ALTER TABLE {_quoted(self.name)} DROP IF EXISTS PARTITION ({BUCKET} = {b})")
+        folded = [v for v, _ in state.versions[1 + first :]]
+        rows = self.spark.table(state.files).where(F.col(VERSION).isin(folded))
+        rows = latest_per_key(rows, self.keys, [VERSION]).drop(VERSION, BUCKET)
+        version = self._version(state, "fold")
+        path, count, touched = self._write(rows, version, state.buckets)
+        self._add(state.files, version, path, touched)
+        self._commit(replace(state, versions=[*state.versions[: 1 + first], (version, count)]))
+
+    def compact(self, buckets: int | None = None, forget: str | None = None) -> None:
+        """Write a new base, with more buckets if these have grown too large, and drop what changes replaced.
+
+        Of removals one mark a key stays where it has a sequence a late row could be behind; ``forget`` is a condition on
+        the sequence columns, as SQL, under which marks are dropped too, and without a sequence all are.
+        """
+        state = self._state()
+        hidden = self._hidden(state)
+        rows = self._rows(state, [*state.schema.fieldNames(), *[f.name for f in hidden], GONE, TIE])
+        marked = F.col(GONE) & F.col(TIE).isNotNull() & ~F.coalesce(F.expr(forget), F.lit(False)) if forget else F.col(GONE) & F.col(TIE).isNotNull()
+        live = {v for v, _ in state.versions}
+        fs = lambda s: s.getPath().getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        size = sum(fs(s).getContentSummary(s.getPath()).getLength() for s in self._list(f"{self.location}/data") if s.getPath().getName() in live)
+        wanted = buckets or state.buckets
+        while not buckets and wanted * BUCKET_BYTES < size:
+            wanted *= 2
+        version = self._version(state, "base")
+        path, count, touched = self._write(rows.where(~F.col(GONE) | marked), version, wanted)
+        self._add(state.files, version, path, touched)
+        self._commit(replace(state, versions=[(version, count)] if count else [], buckets=wanted))
 
     def evolve(self, wanted: T.StructType, allow_drop: bool = False) -> None:
         """Bring the table to the declared schema. Columns are dropped only when that is allowed.
 
-        New columns are a catalog change. A new type or a drop rewrites the data once.
+        New columns are a catalog change. A new type or a drop writes a new base into files of the new types, and readers
+        go over to it in one step; until then they see the old table.
         """
-        stored = self.schema()
-        kept = [f for f in self._stored_schema().fields if f.name not in stored.fieldNames()]
-        described = {f.name: f.metadata for f in stored.fields if f.metadata}
+        state = self._state()
+        described = {f.name: f.metadata for f in state.schema.fields if f.metadata}
         wanted = T.StructType([T.StructField(f.name, f.dataType, f.nullable, f.metadata or described.get(f.name)) for f in wanted.fields])
-        change = schema_change(stored, wanted)
+        change = schema_change(state.schema, wanted)
+        texts = {f.name: f.metadata for f in wanted.fields if f.metadata}
+        if texts != {n: m for n, m in described.items() if n in texts}:
+            state = replace(state, schema=T.StructType([T.StructField(f.name, f.dataType, f.nullable, texts.get(f.name) or f.metadata) for f in state.schema.fields]))
+            if change.is_empty():
+                self._commit(state)
         if change.is_empty() or (not allow_drop and not change.added and not change.retyped):
             return
+        hidden = self._hidden(state)
         if not change.retyped and not (allow_drop and change.missing):
-            added = ", ".join(_column_ddl(f) for f in wanted.fields if f.name in change.added)
-            self.spark.sql(f"ALTER TABLE {_quoted(self.name)} ADD COLUMNS ({added})")
+            # A sequence column that becomes a declared one is there already.
+            added = [f for f in wanted.fields if f.name in change.added]
+            new = [f for f in added if f.name not in {h.name for h in hidden}]
+            if new:
+                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+                self.spark.sql(f"ALTER TABLE {_quoted(state.files)} ADD COLUMNS ({columns})")
+            self._commit(replace(state, schema=T.StructType([*state.schema.fields, *added])))
             return
-        target = T.StructType(evolved_schema(stored, wanted, allow_drop).fields + kept)
-        comment = self.spark.catalog.getTable(self.name).description or ""
-        rows = project_declared(self.spark.table(self.name).drop(BUCKET), target).withColumn(BUCKET, bucket_of(self.keys, self.buckets))
-        path = f"{self.location}/data/evolve-{uuid.uuid4().hex}"
-        rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
-        self.spark.sql(f"DROP TABLE {_quoted(self.name)}")  # external: files stay
-        self.create(target, comment)
-        written = self.spark.read.schema(rows.schema).parquet(path).select(BUCKET).distinct().collect()
-        for r in written:
-            self.spark.sql(
-                f"ALTER TABLE {_quoted(self.name)} ADD PARTITION ({BUCKET} = {r[0]}) "
-                f"LOCATION {_text(f'{path}/{BUCKET}={r[0]}')}"
-            )
+        target = evolved_schema(state.schema, wanted, allow_drop)
+        hidden = [f for f in hidden if f.name not in target.fieldNames()]
+        own = [T.StructField(GONE, T.BooleanType()), T.StructField(TIE, T.LongType())]
+        rows = self._rows(state, [*state.schema.fieldNames(), *[f.name for f in self._hidden(state)], GONE, TIE])
+        files, version = self._new_files(target, hidden), self._version(state, "evolve")
+        path, count, touched = self._write(project_declared(rows, T.StructType([*target.fields, *hidden, *own])), version, state.buckets)
+        self._add(files, version, path, touched)
+        self._commit(replace(state, schema=target, files=files, versions=[(version, count)] if count else []))
 
     def vacuum(self, keep_hours: float = 24.0) -> list[str]:
-        """Delete folders no partition points at any more, once they are older than any running query.
+        """Delete folders of versions the table no longer names, once they are older than any running query.
 
         One load at a time may write a table; a folder of a load under way is protected by its age.
         """
-        used = set()
-        for b in sorted(self._filled_buckets()):
-            rows = self.spark.sql(f"DESCRIBE FORMATTED {_quoted(self.name)} PARTITION ({BUCKET} = {b})").collect()
-            place = next(r.data_type for r in rows if r.col_name == "Location")
-            used.add("/".join(place.rstrip("/").rsplit("/", 3)[1:3]))
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        newest = jvm.java.lang.System.currentTimeMillis() - int(keep_hours * 3_600_000)
+        state = self._state()
+        live = {v for v, _ in state.versions}
+        newest = self.spark._jvm.java.lang.System.currentTimeMillis() - int(keep_hours * 3_600_000)
         deleted = []
-        for part in ("data", "staged"):
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.location}/{part}")
-            fs = folder.getFileSystem(conf)
-            for status in fs.listStatus(folder) if fs.exists(folder) else []:
-                path = status.getPath()
-                name = f"{part}/{path.getName()}"
-                if name not in used and status.getModificationTime() <= newest:
-                    fs.delete(path, True)
-                    deleted.append(name)
+        for status in self._list(f"{self.location}/data"):
+            path, version = status.getPath(), status.getPath().getName()
+            if version not in live and status.getModificationTime() <= newest:
+                self.spark.sql(f"ALTER TABLE {_quoted(state.files)} DROP IF EXISTS PARTITION ({VERSION} = {_text(version)})")
+                path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+                deleted.append(f"data/{version}")
+        if deleted:
+            database, table = self.name.split(".")
+            for other in self.spark.catalog.listTables(database):
+                if other.name.startswith(f"{table}{FILES}_") and f"{database}.{other.name}" != state.files:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {_quoted(f'{database}.{other.name}')}")
         return deleted
 
     def describe(self, comment: str, columns: dict[str, str] | None = None) -> None:
         """Set the comments of the table and of its columns."""
-        self.spark.sql(f"COMMENT ON TABLE {_quoted(self.name)} IS {_text(comment)}")
-        for name, text in (columns or {}).items():
-            self.spark.sql(f"ALTER TABLE {_quoted(self.name)} ALTER COLUMN `{name}` COMMENT {_text(text)}")
+        state = self._state()
+        said = lambda f: {**(f.metadata or {}), "comment": columns[f.name]} if columns and f.name in columns else f.metadata
+        schema = T.StructType([T.StructField(f.name, f.dataType, f.nullable, said(f)) for f in state.schema.fields])
+        self._commit(replace(state, schema=schema, comment=comment))
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {_quoted(self.name)}")
+        """Drop the table; its folders stay."""
+        if self.exists():
+            database, table = self.name.split(".")
+            self.spark.sql(f"DROP VIEW {_quoted(self.name)}")
+            for other in self.spark.catalog.listTables(database):
+                if other.name.startswith(f"{table}{FILES}_"):
+                    self.spark.sql(f"DROP TABLE IF EXISTS {_quoted(f'{database}.{other.name}')}")
 
 
 def disconnect(spark: SparkSession, database: str) -> None:
@@ -272,7 +363,7 @@ def table_listing(spark: SparkSession, hidden: tuple[str, ...] = ("information_s
     for db in sorted(d.name for d in spark.catalog.listDatabases()):
         if db in hidden:
             continue
-        for t in sorted(t.name for t in spark.catalog.listTables(db) if not t.isTemporary):
+        for t in sorted(t.name for t in spark.catalog.listTables(db) if not t.isTemporary and FILES not in t.name):
             columns = [c for c in spark.catalog.listColumns(f"{db}.{t}") if c.name != BUCKET]
             body = ",\n  ".join(
                 f'"{c.name}" {c.dataType}' + (f" -- {c.description}" if c.description else "") for c in columns

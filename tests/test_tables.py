@@ -18,24 +18,127 @@ def test_upsert_twice_is_upsert_once(spark, keyed_table, as_rows):
     assert as_rows(t.read()) == want
 
 
-def test_only_touched_buckets_are_rewritten(spark, keyed_table):
-    t = keyed_table("id long, v long", ["id"], buckets=16)
-    t.upsert(spark.range(1000).select("id", F.lit(0).cast("long").alias("v")))
-    before = {r.f for r in t.read().select(F.input_file_name().alias("f")).distinct().collect()}
-    touched = t.upsert(spark.createDataFrame([(5, 1)], "id long, v long")).buckets
-    after = {r.f for r in t.read().select(F.input_file_name().alias("f")).distinct().collect()}
-    assert len(touched) == 1
-    assert len(before - after) == 1 and len(after - before) == 1
-    assert t.read().count() == 1000 and t.read().filter("v = 1").count() == 1
+def written(t):
+    """Bytes of all data files below a table's folder."""
+    from pathlib import Path
+
+    return sum(p.stat().st_size for p in Path(t.location).rglob("*.parquet"))
+
+
+def test_a_load_writes_in_proportion_to_its_changes(spark, keyed_table):
+    t = keyed_table("id long, v string", ["id"], buckets=16)
+    t.upsert(spark.range(100_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v")))
+    base = written(t)
+    files = set(spark.table(t.name).inputFiles())
+    done = t.upsert(spark.createDataFrame([(5, "a"), (77, "b"), (100_001, "c")], "id long, v string"))
+    assert 1 <= len(done.buckets) <= 3 and written(t) - base < base / 100
+    assert files < set(spark.table(t.name).inputFiles())
+    assert t.read().count() == 100_001 and {r.v for r in t.read().filter("id IN (5, 77, 100001)").collect()} == {"a", "b", "c"}
+
+
+def test_a_reader_sees_the_table_before_or_after_a_commit(spark, keyed_table, monkeypatch):
+    t = keyed_table("id long, v long", ["id"])
+    t.upsert(spark.range(100).select("id", F.lit(0).cast("long").alias("v")))
+    old, seen = t.read(), []
+
+    def watched(before):
+        def run(self, *args):
+            seen.append(self.read().agg(F.sum("v")).first()[0])
+            out = before(self, *args)
+            seen.append(self.read().agg(F.sum("v")).first()[0])
+            return out
+
+        return run
+
+    for step in ("_write", "_add", "_commit"):
+        monkeypatch.setattr(type(t), step, watched(getattr(type(t), step)))
+    t.upsert(spark.range(100).select("id", F.lit(1).cast("long").alias("v")))
+    assert seen[-1] == 100 and set(seen[:-1]) == {0}
+    assert old.agg(F.sum("v"), F.count("*")).first()[:] == (0, 100)
+
+
+def test_a_load_that_dies_changes_nothing(spark, keyed_table, monkeypatch, as_rows):
+    t = keyed_table("id long, v long", ["id"])
+    rows = spark.createDataFrame([(1, 1), (2, 2)], "id long, v long")
+    t.upsert(rows)
+    with monkeypatch.context() as m:
+        def fails(self, state):
+            raise OSError("lost")
+
+        m.setattr(type(t), "_commit", fails)
+        with pytest.raises(OSError):
+            t.upsert(rows.withColumn("v", F.lit(9).cast("long")))
+    assert as_rows(t.read()) == [(1, 1), (2, 2)]
+    t.upsert(rows.withColumn("v", F.lit(9).cast("long")))
+    assert as_rows(t.read()) == [(1, 9), (2, 9)]
+
+
+def test_folding_changes_no_row(spark, keyed_table, as_rows):
+    import random
+
+    r, want = random.Random(1), {}
+    t = keyed_table("id long, v long", ["id"], buckets=4)
+    t.upsert(spark.range(2000).select("id", F.lit(0).cast("long").alias("v")))
+    want.update(dict.fromkeys(range(2000), 0))
+    counts = []
+    for step in range(1, 24):
+        rows = [(r.randrange(2100), step, r.choice(["changed", "changed", "removed"])) for _ in range(r.choice([1, 5, 60]))]
+        rows = list({x[0]: x for x in rows}.values())
+        t.upsert(spark.createDataFrame(rows, "id long, v long, op string"), op="op")
+        for i, v, op in rows:
+            want.pop(i, None)
+            if op != "removed":
+                want[i] = v
+        counts.append(len(t._state().versions))
+    assert max(counts) <= 10 and as_rows(t.read()) == sorted(want.items(), key=repr)
+    t.compact()
+    assert len(t._state().versions) == 1 and as_rows(t.read()) == sorted(want.items(), key=repr)
+    assert spark.table(t._state().files).where(F.col("_version") == t._state().versions[0][0]).count() == len(want)
+
+
+def test_marks_of_removals_shrink(spark, keyed_table):
+    t = keyed_table("id long, v string", ["id"])
+    for u in range(4):
+        t.upsert(changes(spark, *[(i, "a", u, "removed" if u else "added") for i in range(50)]), seq=["u"], op="op")
+    held = lambda: spark.table(t._state().files).where(F.col("_version").isin([v for v, _ in t._state().versions])).count()
+    assert t.read().count() == 0 and held() == 200
+    t.compact()
+    assert held() == 50
+    t.upsert(changes(spark, (1, "late", 2, "added")), seq=["u"], op="op")
+    assert t.read().count() == 0
+    t.compact(forget="u < 5")
+    assert t._state().versions == [] and t.read().count() == 0
+
+
+def test_a_new_base_has_more_buckets_where_they_grew(spark, keyed_table, monkeypatch):
+    from millpond.operators import tables
+
+    t = keyed_table("id long, v string", ["id"], buckets=2)
+    t.upsert(spark.range(5000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v")))
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 50_000)
+    t.compact()
+    assert t._state().buckets >= 8 and t.read().count() == 5000
+    t.upsert(spark.createDataFrame([(1, "x", 1)], "id long, v string, u int"), seq=["u"])
+    t.upsert(spark.createDataFrame([(1, "late", 0)], "id long, v string, u int"), seq=["u"])
+    assert t.read().filter("id = 1").first().v == "x" and t.read().count() == 5000
+
+
+def test_a_batch_is_taken_once(spark, keyed_table, as_rows):
+    t = keyed_table("id long, v long", ["id"])
+    rows = lambda v: spark.createDataFrame([(1, v)], "id long, v long")
+    assert t.upsert(rows(1), batch=("run", 0)).rows == 1
+    assert t.upsert(rows(2), batch=("run", 1)).rows == 1
+    assert t.upsert(rows(1), batch=("run", 0)).rows == 0 and as_rows(t.read()) == [(1, 2)]
+    assert t.upsert(rows(3), batch=("other", 0)).rows == 1 and as_rows(t.read()) == [(1, 3)]
 
 
 def test_a_running_read_keeps_its_files(spark, keyed_table):
     t = keyed_table("id long, v long", ["id"])
     t.upsert(spark.range(100).select("id", F.lit(0).cast("long").alias("v")))
     old = t.read()
-    old_files = old.inputFiles()
     t.upsert(spark.range(100).select("id", F.lit(1).cast("long").alias("v")))
-    assert spark.read.parquet(*old_files).count() == 100
+    t.compact()
+    assert old.agg(F.sum("v"), F.count("*")).first()[:] == (0, 100)
     assert t.read().agg(F.sum("v")).first()[0] == 100
 
 
@@ -44,11 +147,28 @@ def test_vacuum_keeps_what_is_in_use(spark, keyed_table, as_rows):
     for v in range(3):
         t.upsert(spark.range(20).select("id", F.lit(v).cast("long").alias("v")))
     want = as_rows(t.read())
+    assert t.vacuum(keep_hours=0) == []  # the base and both change sets count
+    t.evolve(T.StructType.fromDDL("id long, v decimal(20,0)"))
     assert t.vacuum(keep_hours=24) == []
     deleted = t.vacuum(keep_hours=0)
-    assert len(deleted) == 4 and {d.split("/")[0] for d in deleted} == {"data", "staged"}
-    spark.catalog.refreshTable(t.name)
-    assert as_rows(t.read()) == want and t.vacuum(keep_hours=0) == []
+    assert len(deleted) == 3 and {d.split("/")[0] for d in deleted} == {"data"}
+    assert [(i, int(v)) for i, v in as_rows(t.read())] == want and t.vacuum(keep_hours=0) == []
+    assert len([x for x in spark.catalog.listTables(keyed_table.database) if "__files" in x.name]) == 1
+
+
+def test_a_new_type_takes_one_switch(spark, keyed_table, monkeypatch, as_rows):
+    t = keyed_table("id long, v int", ["id"])
+    t.upsert(spark.createDataFrame([(1, 2)], "id long, v int"))
+    with monkeypatch.context() as m:
+        def fails(self, state):
+            raise OSError("lost")
+
+        m.setattr(type(t), "_commit", fails)
+        with pytest.raises(OSError):
+            t.evolve(T.StructType.fromDDL("id long, v string"))
+    assert as_rows(t.read()) == [(1, 2)]
+    t.evolve(T.StructType.fromDDL("id long, v string"))
+    assert as_rows(t.read()) == [(1, "2")]
 
 
 def test_removing_a_whole_bucket(spark, keyed_table):
