@@ -4,6 +4,9 @@ A is a byte-level BPE vocabulary, B a piece model that marks spaces and falls ba
 space and the text. Where tokens of A and B end at one offset a group ends; a token of A and one of B are linked where
 their byte ranges overlap, and each stretch between two neighbouring ends of either side is exactly one link.
 
+A space behind a visible character starts a new token on both sides, so a text is a row of words whose alignments are
+independent: a slice of texts aligns each different word once and puts the texts together from them.
+
 The first pass aligns all documents and writes, for each task, in how many of its documents each id pair is linked. The
 distinct pairs get a minimal perfect hash, block by block. Counts are dense vectors indexed by it, one for each block and
 group of tasks, summed as a tree of bounded fan-in. A second pass aligns the documents again and looks the counts up;
@@ -18,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +37,7 @@ MODEL_BYTES = 64 << 20  # a larger tokenizer file is refused instead of broadcas
 PART_PAIRS = 4_000_000  # pairs that are broadcast at once, some 28 bytes each
 TASK_PAIRS = 4_000_000  # pair counts a task holds before it writes them out
 FAN = 32  # count vectors, or tasks' pair counts, added in one group
+WORDS_AT_ONCE = 1000  # words encoded by one call
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -61,14 +67,16 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(size)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_b = size
+        # A piece that holds a space behind something else would join words; then texts are aligned as one piece.
+        joins = any("▁" in p.lstrip("▁") for p in pieces)
+        self.words = (lambda text: [text]) if joins else WORD_STARTS.split
         self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         ids = range(max(len(self.bytes_a), size))
         self.written = np.array([[f"{i}{mark}" for i in ids] for mark in ",|;"], object)
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
-        if not text:
-            return [], []
+    def tokens(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both sides of a space and the text; none if one side does not give its bytes back."""
         raw = " " + text
         a, b = self.a.encode_ordinary(raw), self.b.encode(text)
         whole = raw.encode()
@@ -76,21 +84,43 @@ class Aligner:
             return [], []
         return a, b
 
-    def align(self, texts: list) -> "Aligned":
-        return Aligned(self, [self.tokens(t) for t in texts])
+    def tokens_of(self, words: list[str]):
+        """Ids of both sides of all words, end to end, and how many each word has.
+
+        Words are encoded many at a time, where the bytes tell which token belongs to which word.
+        """
+        import numpy as np
+
+        ids, numbers, lens = ([], []), ([], []), (self.len_a, self.len_b)
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            chunk = words[at : at + WORDS_AT_ONCE]
+            found = [np.array(x, np.int64) for x in self.tokens(" ".join(chunk))]
+            ends = np.cumsum([len(w.encode()) + 1 for w in chunk])
+            cuts = [np.cumsum(n[x]) for x, n in zip(found, lens)]
+            if not chunk[-1][-1].isspace() and all(len(c) and np.isin(ends, c, assume_unique=True).all() for c in cuts):
+                for side in (0, 1):
+                    ids[side].append(found[side])
+                    numbers[side].append(np.diff(np.searchsorted(cuts[side], ends, "right"), prepend=0))
+            else:
+                # Some word does not come back, or runs into the next one: one by one.
+                for word in chunk:
+                    for side, own in enumerate(self.tokens(word)):
+                        ids[side].append(np.array(own, np.int64))
+                        numbers[side].append(np.array([len(own)]))
+        return [np.concatenate([np.empty(0, np.int64), *x]) for x in (*ids, *numbers)]
+
+    def align(self, texts: list) -> "Documents":
+        return Documents(self, texts)
 
 
 class Aligned:
-    """A slice of texts, their bytes laid end to end; both sides of each text end together."""
+    """Tokens of several words, their bytes laid end to end; both sides of each word end together."""
 
-    def __init__(self, pair: Aligner, found: list):
+    def __init__(self, pair: Aligner, words: list[str]):
         import numpy as np
 
-        self.pair, self.n = pair, len(found)
-        self.n_a = np.array([len(a) for a, _ in found], np.int64)
-        self.n_b = np.array([len(b) for _, b in found], np.int64)
-        self.ids_a = np.fromiter((i for a, _ in found for i in a), np.int64, int(self.n_a.sum()))
-        self.ids_b = np.fromiter((i for _, b in found for i in b), np.int64, int(self.n_b.sum()))
+        self.pair = pair
+        self.ids_a, self.ids_b, self.n_a, self.n_b = pair.tokens_of(words)
         ends_a, ends_b = np.cumsum(pair.len_a[self.ids_a]), np.cumsum(pair.len_b[self.ids_b])
         mark = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, np.uint8)
         mark[ends_a] += 1
@@ -102,29 +132,21 @@ class Aligned:
         # What ends at or after a stretch's end covers it.
         self.key = self.ids_a[before(self.in_a)] * pair.size_b + self.ids_b[before(self.in_b)] if len(ends) else ends
         self.group = before(both)
-        # Link bounds of each text: its last token's end is its last link's.
+        # Link bounds of each word: its last token's end is its last link's.
         last = np.concatenate(([0], np.cumsum(self.n_a)))
         link_of_a = np.concatenate(([0], np.flatnonzero(self.in_a) + 1))
         self.bounds = link_of_a[last]
         self.n_links = np.diff(self.bounds)
         self.n_groups = np.diff(np.concatenate(([0], np.cumsum(both)))[self.bounds])
 
-    def documents_by_pair(self):
-        """The distinct linked pairs, and in how many texts each is linked."""
-        import numpy as np
-
-        space = len(self.pair.bytes_a) * self.pair.size_b
-        own = np.repeat(np.arange(self.n, dtype=np.int64), self.n_links) * space + self.key
-        return np.unique(np.unique(own) % space, return_counts=True)
-
     def sums(self, values):
-        """Sum over the links of each text."""
+        """Sum over the links of each word."""
         import numpy as np
 
         return np.diff(np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[self.bounds])
 
     def groups(self) -> list[str]:
-        """The ids of A and B of each text by group, as text; '' without tokens."""
+        """The ids of A and B of each word by group, as text; '' without tokens."""
         import numpy as np
 
         side = np.concatenate((self.group[self.in_a] * 2, self.group[self.in_b] * 2 + 1))
@@ -137,6 +159,62 @@ class Aligned:
         return ["".join(parts[i:j])[:-1] for i, j in zip([0, *ends], ends)]
 
 
+class Documents:
+    """A slice of texts as rows of words. A text has no tokens if it is empty or a word of it has none."""
+
+    def __init__(self, pair: Aligner, texts: list):
+        import numpy as np
+
+        index: dict[str, int] = {}
+        rows = [[index.setdefault(w, len(index)) for w in pair.words(t)] if t else [] for t in texts]
+        # What ends in white space can't stand before another word.
+        words = list(index)
+        odd = np.array([w[-1].isspace() for w in words], bool)
+        order = np.argsort(odd, kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        self.words = Aligned(pair, [words[i] for i in order.tolist()])
+        word = place[np.fromiter(chain.from_iterable(rows), np.int64, sum(map(len, rows)))]
+        text = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
+        lost = np.bincount(text[self.words.n_a[word] == 0], minlength=len(rows)) > 0
+        kept = ~lost[text]
+        self.pair, self.word, self.text = pair, word[kept], text[kept]
+        self.bounds = np.searchsorted(self.text, np.arange(len(rows) + 1))
+        self.n_a, self.n_b, self.n_groups, self.n_links = map(self._sums, (self.words.n_a, self.words.n_b, self.words.n_groups, self.words.n_links))
+
+    def _sums(self, of_word):
+        import numpy as np
+
+        return np.diff(np.concatenate(([0], np.cumsum(of_word[self.word], dtype=np.int64)))[self.bounds])
+
+    @property
+    def key(self):
+        """The pairs of all links of the different words."""
+        return self.words.key
+
+    def sums(self, values):
+        """Sum over the links of each text of values given for ``key``."""
+        return self._sums(self.words.sums(values))
+
+    def documents_by_pair(self):
+        """The distinct linked pairs, and in how many texts each is linked."""
+        import numpy as np
+
+        n = len(self.words.n_links)
+        own = np.unique(self.text * n + self.word)  # each word once a text
+        text, word = own // max(n, 1), own % max(n, 1)
+        many = self.words.n_links[word]
+        at = np.repeat(self.words.bounds[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        space = len(self.pair.bytes_a) * self.pair.size_b
+        return np.unique(np.unique(np.repeat(text, many) * space + self.words.key[at]) % space, return_counts=True)
+
+    def groups(self) -> list[str]:
+        """The ids of A and B of each text by group, as text; '' without tokens."""
+        parts, word, bounds = self.words.groups(), self.word.tolist(), self.bounds.tolist()
+        return [";".join(map(parts.__getitem__, word[i:j])) for i, j in zip(bounds, bounds[1:])]
+
+
+WORD_STARTS = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
 # How the byte-level vocabulary cuts text before merging; a fixed value of the tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
