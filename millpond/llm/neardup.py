@@ -7,9 +7,11 @@ signatures agree in a component with the probability of their weighted Jaccard s
 limit are drawn, enough to fill all components with a high chance; else the limit doubles.
 
 Bands of the signature make buckets. Texts of a bucket are compared with its centre first. In buckets that then still
-hold several classes every pair across classes is estimated from the signatures, in large buckets block by block: first
-each text is compared with the likeliest text of every other class, then, of what still lies in different classes, all
-pairs that may be similar enough. Similarity is computed exactly, on the shingle multisets.
+hold several classes every pair across classes is estimated from the signatures, in large buckets block by block, and in
+the first bucket that the pair shares only. Texts with a likely partner meet again in the same blocks with their shingle
+multisets, all pairs across classes are computed exactly there, and a block gives out only the links that join its
+classes, at most one less than it has members. So the rows between stages are in proportion to the texts, whatever the
+number of pairs. The first bands go first: the classes they join need no more work in the others.
 Equal texts are one node from the start. Nothing that grows with the data goes to the driver.
 """
 
@@ -27,8 +29,11 @@ SIMILARITY = 0.8
 COMPONENTS = 192
 BAND = 6  # components in a band: of pairs at 0.8 six in 100,000 share none of 32 bands, at 0.85 three in 10 million
 SMALL = 32  # buckets up to this size are one block, larger ones are dealt to several
-BLOCK = 512  # about as many texts of a large bucket meet as many others in a block
-LIKELY = 0.70  # estimated similarity from which a pair of a bucket is computed: 3.5 deviations below SIMILARITY
+BLOCK = 1024  # about as many texts of a large bucket meet as many others in a block
+BLOCK_BYTES = 16 << 20  # or as many as have multisets of this size
+LIKELY = 0.66  # estimated similarity from which a pair of a bucket is computed: 4.8 deviations below SIMILARITY
+ROUNDS = ((0, 4), (4, COMPONENTS // BAND))  # bands whose mixed buckets are worked on together
+COLUMNS_AT_ONCE = 4096  # shingles of a block that are multiplied at once
 
 
 def mixed(x):
@@ -134,8 +139,8 @@ def text_hash():
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), bands and signature (a byte of each component) of every row; the last two are null
-    without words."""
+    """doc_id, th (hash of the text), bands, signature (a byte of each component) and size (bytes of the shingle multiset)
+    of every row; bands and signature are null without words."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -151,9 +156,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 full = signatures([bags[i] for i in some])
                 for i, row, own in zip(some, banded(full), full.astype(np.uint8)):
                     bands[i], short[i] = row, own.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["doc_id", "th", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array([8 * int(n.sum()) for _, n in bags], pa.int64())], names=["doc_id", "th", "bands", "signature", "size"])
 
-    return docs.select("doc_id", text_hash().alias("th"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, th binary, bands array<long>, signature binary")
+    return docs.select("doc_id", text_hash().alias("th"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, th binary, bands array<long>, signature binary, size long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -182,18 +187,20 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Da
     return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def blocks(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Rows with ``g``, the members (th, label, signature, side) of a block, from the buckets that hold several classes.
+def blocks(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """band, i, j, g: the members (th, label, side, signature, bands, no) of a block, from the buckets that hold several
+    classes. ``no`` is the number of the band.
 
     The largest class of a large bucket and the rest are dealt to parts by a hash; each part of the rest meets every part.
     A pair counts where its sides are 0 and 1, or both 2. So each pair across classes of a bucket counts in one block.
     """
-    held = members.join(labels.withColumnRenamed("node", "th"), "th", "left").select("band", "th", F.coalesce("label", "th").alias("label"))
-    sizes = held.groupBy("band", "label").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("top")).where("k > 1")
-    parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    several = stored(several.select("band", "n", F.col("top.label").alias("top"), parts(F.col("top.n")).alias("p"), parts(F.col("n") - F.col("top.n")).alias("q")), "several")
-    found = held.join(several, "band").join(signed, "th")
+    held = members.join(labels.withColumnRenamed("node", "th"), "th", "left").join(nodes.select("th", "size"), "th").select("band", "no", "th", "size", F.coalesce("label", "th").alias("label"))
+    sizes = held.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    several = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("k"), F.max(F.struct("n", "label", "size")).alias("top")).where("k > 1")
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    whole = (F.col("n") <= SMALL) & (F.col("size") <= BLOCK_BYTES)
+    several = several.select("band", whole.alias("whole"), F.col("top.label").alias("top"), parts(F.col("top.n"), F.col("top.size")).alias("p"), parts(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("q"))
+    found = held.join(stored(several, "several"), "band")
     salt = lambda n: F.pmod(F.xxhash64("th"), F.col(n)).cast("int")
     at = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -202,47 +209,148 @@ def blocks(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFram
     rest = F.concat(
         F.transform(each("p"), lambda i: at(-1 - i, own, F.lit(1))),
         F.transform(each("q"), lambda j: at(F.least(own, j), F.greatest(own, j), F.when(own < j, 0).when(own > j, 1).otherwise(2))))
-    where = F.when(F.col("n") <= SMALL, F.array(at(F.lit(0), F.lit(0), F.lit(2)))).when(F.col("label") == F.col("top"), top).otherwise(rest)
-    dealt = found.select("band", "th", "label", "signature", F.explode(where).alias("at"))
-    return dealt.groupBy("band", "at.i", "at.j").agg(F.collect_list(F.struct("th", "label", "signature", "at.side")).alias("g"))
+    where = F.when(F.col("whole"), F.array(at(F.lit(0), F.lit(0), F.lit(2)))).when(F.col("label") == F.col("top"), top).otherwise(rest)
+    return found.select("band", "no", "th", "label", F.explode(where).alias("at")).select("band", "no", "th", "label", "at.*")
 
 
-def candidates(dealt: DataFrame, first: bool, least: float = LIKELY) -> DataFrame:
-    """The pairs (a, b) across classes in ``blocks`` that may be similar enough by their signatures; at ``first`` only each
-    text with the text of every other class that its signature agrees with most (texts of side 0 choose none)."""
+def gathered(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row for each block with its members in ``g``."""
+    return rows.groupBy("band", "i", "j").agg(F.collect_list(F.struct("th", "label", "side", *columns)).alias("g"))
+
+
+def numbered(values: list):
+    """Equal values as equal numbers."""
+    import numpy as np
+
+    return np.unique(np.array([v.hex() for v in values]), return_inverse=True)[1]
+
+
+def facing(i: int, side, label):
+    """Members that member i is paired with in a block."""
+    return (label != label[i]) & (side == (0 if side[i] == 1 else 2))
+
+
+def hopeful(dealt: DataFrame, nodes: DataFrame, least: float = LIKELY) -> DataFrame:
+    """The members of blocks that have a partner of another class, likely similar by signature, whose first common bucket
+    this is: band, i, j, th, label, side."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for g in batch.column("g"):
+            keep: list = []
+            for at, g in enumerate(batch.column("g")):
                 g = g.as_py()
-                a, b = [], []
                 # Rows are components, so that agreements add up along whole rows; their number fits in a byte.
                 own = np.ascontiguousarray(np.frombuffer(b"".join(m["signature"] for m in g), np.uint8).reshape(len(g), -1).T)
-                side = np.array([m["side"] for m in g])
-                _, label = np.unique(np.array([m["label"].hex() for m in g]), return_inverse=True)
+                bands, no = np.array([m["bands"] for m in g]), g[0]["no"]
+                side, label = np.array([m["side"] for m in g]), numbered([m["label"] for m in g])
+                some = np.zeros(len(g), bool)
+                # Different components have an equal byte once in 256.
+                enough = (least * (1 - 1 / 256) + 1 / 256) * len(own)
                 for i in np.flatnonzero(side > 0).tolist():
-                    agree = (own == own[:, i : i + 1]).sum(axis=0, dtype=np.uint8) / len(own)
-                    # Different components have an equal byte once in 256.
-                    guess = (agree - 1 / 256) / (1 - 1 / 256)
-                    near = np.flatnonzero((guess >= least) & (label != label[i]) & (side == (0 if side[i] == 1 else 2)))
-                    if first:
-                        best: dict = {}
-                        for j in near.tolist():
-                            k = label[j]
-                            if k not in best or (guess[j], g[j]["th"]) > (guess[best[k]], g[best[k]]["th"]):
-                                best[k] = j
-                        near = best.values()
-                    for j in near:
-                        a.append(g[i]["th"])
-                        b.append(g[j]["th"])
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    found = dealt.select("g").mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                    near = (own == own[:, i : i + 1]).sum(axis=0, dtype=np.uint8) >= enough
+                    near &= facing(i, side, label)
+                    if some[i]:
+                        near &= ~some
+                    near = np.flatnonzero(near)
+                    near = near[(bands[near] == bands[i]).argmax(axis=1) == no]
+                    if len(near):
+                        some[near] = some[i] = True
+                keep += [(at, g[i]["th"], g[i]["label"], g[i]["side"]) for i in np.flatnonzero(some).tolist()]
+            if keep:
+                where, th, label, side = zip(*keep)
+                place = [batch.column(c).take(pa.array(where)) for c in ("band", "i", "j")]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(th, pa.binary()), pa.array(label, pa.binary()), pa.array(side, pa.int32())], names=["band", "i", "j", "th", "label", "side"])
+
+    signed = dealt.join(nodes.select("th", "signature", "bands"), "th")
+    return gathered(signed, "signature", "bands", "no").mapInArrow(run, "band long, i int, j int, th binary, label binary, side int")
+
+
+def multisets(texts: DataFrame) -> DataFrame:
+    """th and bag of each text: 64-bit hashes of its shingles, the k-th occurrence of one counted as an element of its own."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        shingles = Shingles()
+        for part in slices(batches, "text"):
+            bags = []
+            for text in part.column("text").to_pylist():
+                h, n = shingles(text)
+                each = np.repeat(h, n)
+                again = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                bags.append(np.where(again > 0, mixed(each + again.astype(np.uint64)), each).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(bags, pa.binary())], names=["th", "bag"])
+
+    return texts.select("th", "text").mapInArrow(run, "th binary, bag binary")
+
+
+def overlaps(bags: list):
+    """Elements that each two sets have in common, as a matrix."""
+    import numpy as np
+
+    sizes = np.array([len(b) for b in bags])
+    names, at = np.unique(np.concatenate(bags), return_inverse=True)
+    owner = np.repeat(np.arange(len(bags)), sizes)
+    # An element of one set alone counts for no pair.
+    shared = np.bincount(at, minlength=len(names)) > 1
+    at, owner = (np.cumsum(shared) - 1)[at[shared[at]]], owner[shared[at]]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((len(bags), len(bags)), np.float64)
+    wide = min(COLUMNS_AT_ONCE, int(shared.sum()))
+    for start in range(0, int(shared.sum()), max(wide, 1)):
+        i, j = np.searchsorted(at, [start, start + wide])
+        held = np.zeros((len(bags), wide), np.float32)
+        held[owner[i:j], at[i:j] - start] = 1
+        out += held @ held.T
+    return out
+
+
+def joining(bags: list, label, side, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of members that are similar enough and together join all classes of a block that such pairs join."""
+    import numpy as np
+
+    both = overlaps(bags)
+    sizes = np.array([len(b) for b in bags], float)
+    near = both >= least * (sizes[:, None] + sizes[None, :] - both)
+    found, reached = [], np.zeros(int(label.max()) + 1, bool)
+    for start in range(len(reached)):
+        if reached[start]:
+            continue
+        reached[start] = True
+        todo = [start]
+        while todo:
+            for i in np.flatnonzero(label == todo.pop()).tolist():
+                # Both directions of the rule which sides meet.
+                meet = (side == 2) if side[i] == 2 else (side == 1 - side[i])
+                for j in np.flatnonzero(near[i] & meet & ~reached[label]).tolist():
+                    if not reached[label[j]]:
+                        reached[label[j]] = True
+                        todo.append(label[j])
+                        found.append((i, j))
+    return found
+
+
+def block_links(members: DataFrame, bags: DataFrame) -> DataFrame:
+    """The links (a, b) that join classes of the blocks, computed on the multisets."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for g in batch.column("g"):
+                g = g.as_py()
+                held = [np.frombuffer(m["bag"], np.uint64) for m in g]
+                pairs = joining(held, numbered([m["label"] for m in g]), np.array([m["side"] for m in g]))
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([g[i]["th"] for i, _ in pairs], pa.binary()), pa.array([g[j]["th"] for _, j in pairs], pa.binary())], names=["a", "b"])
+
+    return gathered(members.join(bags, "th"), "bag").select("g").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,11 +380,11 @@ def classes(docs: DataFrame) -> DataFrame:
     id while its class has another. An empty table gives no rows.
     """
     rows = stored(sketch(docs), "bagminhash")
-    nodes = stored(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
-    every = nodes.where("bands is not null").select("th", F.explode("bands").alias("band"))
+    nodes = stored(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes")
+    every = nodes.where("bands is not null").select("th", F.posexplode("bands").alias("no", "band"))
     # Written, so that both sides of the join are plain shuffles, which Spark splits where a bucket is hot.
     first = F.min(F.struct(F.xxhash64("th"), "th")).alias("c")
-    buckets = stored(every.groupBy("band").agg(F.count("*").alias("n"), first).where("n > 1").select("band", "n", F.col("c.th").alias("centre")), "buckets")
+    buckets = stored(every.groupBy("band").agg(F.count("*").alias("n"), first).where("n > 1").select("band", F.col("c.th").alias("centre")), "buckets")
     members = stored(every.join(buckets, "band"), "members")
     needed = members.select("th").distinct().join(nodes.select("th", "first"), "th")
     source = docs.select("doc_id", text_hash().alias("th"), text_or_empty().alias("text"))
@@ -288,19 +396,14 @@ def classes(docs: DataFrame) -> DataFrame:
     links = stored(similar(star, texts), "links")
     labels = components(links)
 
-    # Buckets that still hold several classes. The likeliest pairs join most of what belongs together, so few are left
-    # for all pairs.
-    signed = nodes.select("th", "signature")
-    tried = stored(candidates(blocks(members, labels, signed), True), "tried")
-    if not tried.isEmpty():
-        more = stored(similar(tried, texts), "links")
+    for low, high in ROUNDS:
+        own = members.where((F.col("no") >= low) & (F.col("no") < high)).select("band", "no", "th")
+        meeting = stored(hopeful(blocks(own, labels, nodes), nodes), "meeting")
+        bags = stored(multisets(texts.join(meeting.select("th").distinct(), "th", "left_semi")), "bags")
+        more = stored(block_links(meeting, bags), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
-        rest = candidates(blocks(members, labels, signed), False).join(tried, ["a", "b"], "left_anti")
-        more = stored(similar(rest, texts), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
 
     named = nodes.select("th", "first", "n_copies").join(labels.withColumnRenamed("node", "th"), "th", "left").withColumn("label", F.coalesce("label", "th"))
     heads = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "th")).alias("head"), F.sum("n_copies").alias("class_rows"))

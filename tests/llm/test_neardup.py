@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -116,31 +117,81 @@ def test_a_large_family_near_the_limit_equals_all_pairs(docs_of):
     assert [got[i] for i in range(len(rows))] == want.tolist()
 
 
+def bucket(spark, label, bands=None):
+    """One bucket, band number 3, whose texts have equal signatures."""
+    members = spark.createDataFrame([(1, 3, bytearray(t)) for t in label], "band long, no int, th binary")
+    labels = spark.createDataFrame([(bytearray(t), bytearray(x)) for t, x in label.items()], "node binary, label binary")
+    own = lambda t: (bands or {}).get(t, [-ord(t[:1]) * 100 - t[-1], -ord(t[:1]) * 100 - t[-1] - 50, -t[-1], 1])
+    nodes = spark.createDataFrame([(bytearray(t), bytearray(192), own(t), 800) for t in label], "th binary, signature binary, bands array<long>, size long")
+    return members, labels, nodes
+
+
+def paired(x, y):
+    return {x.side, y.side} == {0, 1} or x.side == y.side == 2
+
+
 def test_every_pair_across_classes_counts_in_one_block(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     label = {bytes([i]): bytes([0 if i < 30 else i]) for i in range(50)}
-    members = spark.createDataFrame([(1, bytearray(t)) for t in label], "band long, th binary")
-    labels = spark.createDataFrame([(bytearray(t), bytearray(x)) for t, x in label.items()], "node binary, label binary")
-    signed = spark.createDataFrame([(bytearray(t), bytearray(192)) for t in label], "th binary, signature binary")
-    met = Counter()
-    for r in neardup.blocks(members, labels, signed).collect():
+    members, labels, nodes = bucket(spark, label)
+    dealt = neardup.blocks(members, labels, nodes)
+    met, several = Counter(), neardup.gathered(dealt).collect()
+    for r in several:
         for x in r.g:
             for y in r.g:
-                if x.label != y.label and bytes(x.th) < bytes(y.th) and ({x.side, y.side} == {0, 1} or x.side == y.side == 2):
+                if x.label != y.label and bytes(x.th) < bytes(y.th) and paired(x, y):
                     met[bytes(x.th), bytes(y.th)] += 1
-    assert met == Counter((x, y) for x in label for y in label if x < y and label[x] != label[y])
-    got = neardup.candidates(neardup.blocks(members, labels, signed), False).collect()
-    assert {(bytes(r.a), bytes(r.b)) for r in got} == set(met)
-
-
-def test_every_pair_across_classes_of_a_small_bucket_is_tried(spark):
-    label = {b"a1": b"a1", b"a2": b"a1", b"b1": b"b1", b"b2": b"b1"}
-    members = spark.createDataFrame([(1, bytearray(t)) for t in label], "band long, th binary")
-    labels = spark.createDataFrame([(bytearray(t), bytearray(x)) for t, x in label.items()], "node binary, label binary")
-    signed = spark.createDataFrame([(bytearray(t), bytearray(192)) for t in label], "th binary, signature binary")
-    tried = lambda first: {(bytes(r.a), bytes(r.b)) for r in neardup.candidates(neardup.blocks(members, labels, signed), first).collect()}
-    every = {(a, b) for a in (b"a1", b"a2") for b in (b"b1", b"b2")}
-    assert tried(True) < every and tried(False) == every
+    assert len(several) > 5 and met == Counter((x, y) for x in label for y in label if x < y and label[x] != label[y])
+    # All have equal signatures, so all that meet somebody go on.
+    went = {(r.i, r.j, bytes(r.th)) for r in neardup.hopeful(dealt, nodes).collect()}
+    assert went == {(r.i, r.j, bytes(x.th)) for r in several for x in r.g if any(x.label != y.label and paired(x, y) for y in r.g)}
+
+
+def test_a_pair_goes_on_in_its_first_common_bucket_only(spark):
+    label = {b"a1": b"a1", b"a2": b"a1", b"b1": b"b1", b"c1": b"c1"}
+    members, labels, nodes = bucket(spark, label, {b"a1": [7, 0, 2, 1], b"a2": [8, 1, 3, 1], b"b1": [7, 2, 4, 1], b"c1": [9, 0, 5, 1]})
+    went = {bytes(r.th) for r in neardup.hopeful(neardup.blocks(members, labels, nodes), nodes).collect()}
+    assert went == {b"a2", b"b1", b"c1"}  # a1 has met both others before, in bands 0 and 1
+
+
+def test_a_block_gives_out_only_links_that_join_classes():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        base = rng.integers(0, 2**63, 50, dtype=np.uint64)
+        bags = [np.unique(np.concatenate([rng.choice(base, rng.integers(30, 50), replace=False), rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)])) for _ in range(25)]
+        label, side = np.unique(rng.integers(0, 12, 25), return_inverse=True)[1], rng.choice([0, 1] if rng.random() < 0.5 else [2], 25)
+        sets = [set(b.tolist()) for b in bags]
+        near = [(i, j) for i in range(25) for j in range(25) if i != j and label[i] != label[j] and (side[i] == side[j] == 2 or {side[i], side[j]} == {0, 1}) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        found = neardup.joining(bags, label, side)
+        assert set(found) <= set(near) and len(found) < max(1, len(set(label.tolist())))
+
+        def classes(pairs):
+            own = list(range(label.max() + 1))
+            for i, j in pairs:
+                own = [own[label[i]] if x == own[label[j]] else x for x in own]
+            return [own.index(x) for x in own]
+
+        assert classes(found) == classes(near)
+
+
+def test_a_family_of_thousands_below_the_limit_makes_few_rows(spark, docs_of):
+    """4000 texts near 0.76: eight million likely pairs, hardly a link."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(4000):
+        copy = base.copy()
+        for at in rng.sample(range(300), 4):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    start = time.time()
+    got = {r.doc_id: r.class_id for r in neardup.report(docs_of(rows)).collect()}
+    assert time.time() - start < 240
+    # Checked against all pairs of a part, and every class against its members.
+    bags = [set(bag(t)) for _, t in rows]
+    for i in rng.sample(range(4000), 40):
+        near = [j for j in range(4000) if len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])]
+        assert len({got[j] for j in near}) == 1
 
 
 def test_one_row_of_each_class_stays(docs_of, odd_rows):
