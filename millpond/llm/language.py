@@ -22,18 +22,28 @@ SIZES = (2, 3)
 TRAIN_ROWS = 2000  # rows of each language that are counted, on average
 LANGUAGES = 400  # more languages than this are refused: the model has an array for each
 SMOOTH = 0.5
-STEPS = 10
+STEPS, STILL = 200, 1e-3  # EM goes on until no proportion moves by more, at most so many steps
+HELD = 16 << 20  # likelihoods of words by language that a task holds; beyond, they are worked out again each step
+WORDS_AT_ONCE = 50_000
 
 
 def grams(text: str):
     """Buckets of the n-grams of each letter run with its borders, and the number of the run each belongs to."""
-    import re
+    return word_grams(letter_runs(text))
 
+
+def letter_runs(text: str) -> list[str]:
+    import regex
+
+    return regex.findall(r"\p{L}+", text.lower())
+
+
+def word_grams(words: list[str]):
+    """Buckets of the n-grams of words, the number of the word each belongs to, and how many words there are."""
     import numpy as np
 
     from millpond.llm.ngrams import codes, hashed
 
-    words = re.findall(r"[^\W\d_]+", text.lower())
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64), 0
     # Each letter run stands between two borders of its own, so no n-gram crosses from one run into the next.
@@ -42,13 +52,12 @@ def grams(text: str):
     buckets, owners = [], []
     for n in SIZES:
         found = hashed(letters, n, BITS)
-        first, last = run[: len(found)], run[n - 1 :]
-        # The border that opens a run is counted with the run before it, the one that closes it with its own.
+        # No n-gram crosses from one run into the next, and the border that opens a run has its number.
         inside = np.ones(len(found), bool)
         for i in range(n - 1):
             inside &= ~((letters[i : len(found) + i] == 32) & (letters[i + 1 : len(found) + i + 1] == 32))
         buckets.append(found[inside])
-        owners.append(np.minimum(np.where(letters[: len(found)] == 32, last, first), len(words) - 1)[inside])
+        owners.append(run[: len(found)][inside])
     return np.concatenate(buckets), np.concatenate(owners), len(words)
 
 
@@ -86,24 +95,36 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS):
     return names, table.astype(np.float32)
 
 
+def scaled(likelihood):
+    """Likelihoods from their logarithms, the largest of each column 1."""
+    import numpy as np
+
+    return np.exp(np.maximum(likelihood - likelihood.max(axis=0), -60))
+
+
 def mixture(likelihood):
-    """Proportions of the rows (languages) that best explain the columns (words) of log-likelihoods, as EM finds them.
+    """``mixture_of`` a matrix of log-likelihoods, languages by words."""
+    return mixture_of(lambda: [scaled(likelihood)], *likelihood.shape)
+
 
-    Languages outside the penalised set get 0.
+def mixture_of(blocks, k: int, n: int):
+    """Proportions of k languages that best explain n words, as EM finds them; 0 outside the penalised set.
+
+    ``blocks()`` gives the scaled likelihoods, languages by words, of some words at a time.
     """
     import numpy as np
 
-    k, n = likelihood.shape
-    scaled = np.exp(np.maximum(likelihood - likelihood.max(axis=0), -60))
     chosen = list(range(k))
 
     def em(rows: list[int]):
-        part = scaled[rows]
         mix = np.full(len(rows), 1 / len(rows))
         for _ in range(STEPS if len(rows) > 1 else 0):
             # Expected share of each word, then the mean over words.
-            mix = mix * (part @ (1 / np.maximum(mix @ part, 1e-300))) / n
-        return mix, np.log(np.maximum(mix @ part, 1e-300)).sum()
+            new = mix * sum(part[rows] @ (1 / np.maximum(mix @ part[rows], 1e-300)) for part in blocks()) / n
+            moved, mix = np.abs(new - mix).max(), new
+            if moved <= STILL:
+                break
+        return mix, sum(np.log(np.maximum(mix @ part[rows], 1e-300)).sum() for part in blocks())
 
     mix, fit = em(chosen)
     while len(chosen) > 1:
@@ -117,6 +138,25 @@ def mixture(likelihood):
     return out
 
 
+def judged(words: list[str], table):
+    """``blocks`` for ``mixture_of``: the likelihoods of the words of one text, some words at a time.
+
+    They are kept as long as they take bounded memory, whatever the length of the text and the number of languages.
+    """
+    import numpy as np
+
+    def blocks():
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            bucket, owner, n = word_grams(words[at : at + WORDS_AT_ONCE])
+            # The n-grams of the several sizes overlap, so their sum tells each letter that many times.
+            yield scaled(np.stack([np.bincount(owner, row[bucket], n) for row in table]) / len(SIZES))
+
+    if len(words) * len(table) > HELD:
+        return blocks
+    held = list(blocks())
+    return lambda: held
+
+
 def identify(docs: DataFrame, train: DataFrame | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score and the languages found, largest first, of every row.
 
@@ -127,7 +167,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, rows: int = TRAIN_
     import numpy as np
 
     names, table = learn(docs if train is None else train, rows)
-    shared = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(table.T)))
+    shared = docs.sparkSession.sparkContext.broadcast((names, table))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -136,14 +176,11 @@ def identify(docs: DataFrame, train: DataFrame | None = None, rows: int = TRAIN_
         for part in slices(batches, "text"):
             best, score, found = [], [], []
             for text in part.column("text").to_pylist():
-                bucket, owner, n = grams(text or "")
-                if not n or not names:
+                words = letter_runs(text or "")
+                if not words or not names:
                     best.append("und"), score.append(0.0), found.append([])
                     continue
-                each = table[bucket]
-                # The n-grams of the several sizes overlap, so their sum tells each letter that many times.
-                likelihood = np.stack([np.bincount(owner, each[:, k], n) for k in range(len(names))]) / len(SIZES)
-                mix = mixture(likelihood)
+                mix = mixture_of(judged(words, table), len(names), len(words))
                 order = [k for k in np.lexsort((np.arange(len(names)), -mix)) if mix[k] > 0]
                 best.append(names[order[0]]), score.append(float(min(1.0, mix[order[0]]))), found.append([names[k] for k in order])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(best), pa.array(score, pa.float64()), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "held_out", "lang_pred", "score", "languages"])
