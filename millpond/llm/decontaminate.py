@@ -27,6 +27,7 @@ WINDOW = 100
 STEP = 50
 EDITS = 0.08  # edits for each character of a window
 BAND = 16  # width of a band of diagonals, before the overlap of k; no window has more edits than that
+HITS = 2_000_000  # places where a text and a window share a q-gram, counted at once
 BLOCK = 20_000  # windows of a block: their q-grams make some 50 MB of a broadcast
 
 
@@ -107,9 +108,11 @@ class Index:
             for i, t in enumerate(texts):
                 if f" {w} " in f" {t} ":
                     found[i].setdefault(item, [0, 0])[0] += 1
-        # One array of all texts, a line feed between them: no window holds one.
-        letters = codes("\n".join(texts) + "\n")
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        # One array of all texts. No window holds a line feed, and there are more of them between texts than any budget, so
+        # no region reaches from one text into the next.
+        apart = "\n" * (BAND + 1)
+        letters = codes(apart.join(texts) + apart)
+        ends = np.cumsum([len(t) + len(apart) for t in texts]) - 1
         h = self.grams(letters)
         at = np.flatnonzero(self.maybe[h >> np.uint64(44)])
         if not len(at) or not len(self.hashes):
@@ -118,12 +121,7 @@ class Index:
         same = self.hashes[i] == h[at]
         at, i = at[same], i[same]
         n = self.past[i] - self.first[i]
-        hit = np.repeat(self.first[i] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        window, diagonal = self.window[hit], np.repeat(at, n) - self.offset[hit] + WINDOW
-        band = diagonal // BAND
-        twice = diagonal - band * BAND <= self.edits[window]
-        key = np.concatenate((window * (len(letters) + WINDOW) + band, (window * (len(letters) + WINDOW) + band - 1)[twice]))
-        key, count = np.unique(key, return_counts=True)
+        key, count = self.counted(at, i, n, len(letters) + WINDOW)
         window, band = np.divmod(key, len(letters) + WINDOW)
         enough = count >= self.least[window]
         window, band = window[enough], band[enough]
@@ -139,12 +137,33 @@ class Index:
                 best[0] = len(best[0]) if isinstance(best[0], set) else best[0]
         return found
 
+    def counted(self, at, gram, n, span: int):
+        """(window * span + band, hits) of all places ``at`` whose q-gram, number ``gram``, has n places in windows.
+
+        In repetitive texts every place meets every place of the same q-gram, so hits are made some at a time.
+        """
+        import numpy as np
+
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        cuts = np.searchsorted(np.cumsum(n), np.arange(HITS, int(n.sum()) + HITS, HITS)) + 1
+        for a, b in zip([0, *cuts.tolist()], cuts.tolist()):
+            own, some = n[a:b], gram[a:b]
+            if not len(own):
+                continue
+            hit = np.repeat(self.first[some] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            window, diagonal = self.window[hit], np.repeat(at[a:b], own) - self.offset[hit] + WINDOW
+            band = diagonal // BAND
+            twice = diagonal - band * BAND <= self.edits[window]
+            key, count = np.unique(np.concatenate((window * span + band, (window * span + band - 1)[twice])), return_counts=True)
+            keys, where = np.unique(np.concatenate((keys, key)), return_inverse=True)
+            counts = np.bincount(where, np.concatenate((counts, count)), len(keys)).astype(np.int64)
+        return keys, counts
+
     def verify(self, letters, window, diagonal, chunk: int = 4096):
         """(window, a place in the region, edits) of the candidates whose best alignment in the band is within budget.
 
         Column c of the table is the diagonal c - k off the band's first; a row is a character of the window. The
-        alignment starts and ends anywhere in the text. A line feed equals nothing, so none reaches into the next text
-        cheaper than by leaving characters out.
+        alignment starts and ends anywhere in the text.
         """
         import numpy as np
 
@@ -217,7 +236,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with the columns of ``docs``."""
+    """The rows of ``docs`` that hold no window of the benchmark, with the columns of ``docs``; null and empty texts hold
+    none and stay."""
     for shared in blocks(benchmark):
 
         def run(batches: Iterator, shared=shared) -> Iterator:

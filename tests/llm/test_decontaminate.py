@@ -69,6 +69,41 @@ def test_odd_rows(spark, docs_of, odd_rows):
     assert D.leaks(docs_of([]), benchmark).collect() == []
 
 
+def test_a_long_repetitive_text_takes_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    item = D.plain("ha " * 160)
+    last = len(item) - D.WINDOW
+    rows = [(1, s, item[s : s + D.WINDOW]) for s in sorted({*range(0, last, D.STEP), last})]
+    index = D.Index(rows)
+    few = index.find(["ha " * 600, "hu " * 600])
+    monkeypatch.setattr(D, "HITS", 1000)
+    assert index.find(["ha " * 600, "hu " * 600]) == few and few[0][1][0] == len(rows) and few[1] == {}
+    monkeypatch.undo()
+    tracemalloc.start()
+    found = index.find(["ha " * 60_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][1][0] == len(rows) and peak < 700 << 20
+
+
+def test_a_region_stays_in_its_text():
+    window = "abcdefghij" * 10
+    index = D.Index([(1, 0, window)])
+    assert index.find([window[:-1], "j of the next text"]) == [{1: [1, 1]}, {}]
+    assert index.find(["text before a", window[1:]]) == [{}, {1: [1, 1]}]
+
+
+def test_columns_of_the_documents_may_clash(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    docs = docs_of([(1, "seven wizards quietly mix potent boxes"), (2, "nothing")], extra=True).withColumns({c: F.lit("x") for c in ["item_id", "n_windows", "edits", "window", "start"]})
+    benchmark = spark.createDataFrame([(1, "seven wizards quietly mix potent boxes", "x")], "item_id long, text string, doc_id string")
+    assert [tuple(r) for r in D.leaks(docs, benchmark).collect()] == [(1, 1, 1, 0)]
+    left = D.clean(docs, benchmark)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+
+
 def test_a_quote_of_the_stated_length_is_found_wherever_it_starts():
     rng = random.Random(9)
     item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(433))
