@@ -26,6 +26,7 @@ from millpond.llm.common import slices
 
 TOKENIZER_BYTES = 64 << 20  # a larger tokenizer file is refused instead of broadcast
 CACHED_WORDS = 500_000  # different words of a text a task remembers, and pre-tokens; a full cache is emptied
+CACHED_CHARS = 64  # longer ones are not remembered, so a full cache has some 200 MB at most
 # White space by Unicode, and the four separators that only str.split() takes for white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -54,8 +55,6 @@ class WordBpe(dict):
         self.last = [self.ids[c + self.end] for c in byte_symbols()]
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
         out: list[int] = []
         # Added tokens are found in the raw text; what lies between is normalised piece by piece.
         for piece in self.specials.split(chunk) if self.specials and self.mark in chunk else [chunk]:
@@ -66,16 +65,22 @@ class WordBpe(dict):
                 plain = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
                 for word in self.words.findall(plain.lower()):
                     out += self._word(word)
-        self[chunk] = found = tuple(out)
+        found = tuple(out)
+        if len(chunk) <= CACHED_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[chunk] = found
         return found
 
     def _word(self, word: str) -> tuple[int, ...]:
         found = self.merged.get(word)
         if found is None:
-            if len(self.merged) >= CACHED_WORDS:
-                self.merged.clear()
             raw = word.encode()
-            found = self.merged[word] = tuple(merge([*(self.first[b] for b in raw[:-1]), self.last[raw[-1]]], self.ranks))
+            found = tuple(merge([*(self.first[b] for b in raw[:-1]), self.last[raw[-1]]], self.ranks))
+            if len(word) <= CACHED_CHARS:
+                if len(self.merged) >= CACHED_WORDS:
+                    self.merged.clear()
+                self.merged[word] = found
         return found
 
     def forget(self) -> None:
@@ -159,6 +164,9 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_
     shared = _shared(df, tokenizer)
     names = [ids] + ([decoded] if decoded else [])
     kept = [f for f in df.schema.fields if f.name not in names]
+    own = "__text"  # the text under a name of no other column
+    while own in df.columns:
+        own += "_"
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else []))
 
     def run(batches: Iterator) -> Iterator:
@@ -167,18 +175,20 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_
 
         bpe = _bpe(shared.value)
         gc.disable()  # millions of small tuples and no cycles: collecting finds nothing
-        for part in slices(batches, "__text"):
-            found = [bpe.encode(t) if t else [] for t in part.column("__text").to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
-            columns = [part.column(f.name) for f in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            if decoded:
-                columns.append(pa.array([bpe.decode(x) for x in found], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        bpe.forget()
-        gc.enable()
-
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias("__text"))
+        try:
+            for part in slices(batches, own):
+                found = [bpe.encode(t) if t else [] for t in part.column(own).to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
+                columns = [part.column(f.name) for f in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(x) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        finally:
+            bpe.forget()
+            gc.enable()
+
+    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).alias(own))
     return source.mapInArrow(run, schema)
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -58,3 +59,15 @@ def test_general_interface_keeps_columns_and_decodes(docs_of):
     assert {"th", "source", "token_ids"} <= set(coded.columns)
     back = bpe.decode(coded.select("doc_id", "token_ids"), PATH).orderBy("doc_id").collect()
     assert [r.decoded for r in back] == ["hello</w> world</w>", ""]
+
+
+def test_caches_hold_no_long_words_and_columns_may_clash(docs_of):
+    from pyspark.sql import functions as F
+
+    spec = bpe.WordBpe(json.loads(open(PATH, encoding="utf-8").read()))
+    for i in range(200):
+        spec.encode("日本語" * 200 + chr(0x4E00 + i))
+    assert not spec and not spec.merged
+    docs = docs_of([(1, "one two")], extra=True).withColumns({"__text": F.lit("x"), "__text_": F.lit("y")})
+    row = bpe.encode(docs, PATH).first()
+    assert row["__text"] == "x" and row["__text_"] == "y" and len(row.token_ids) == 2
