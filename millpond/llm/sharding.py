@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over several metadata dimensions, in DataFrame functions only.
 
-Each dimension is cut at its quantiles into 2^bits cells, the cell numbers give an index on a Hilbert curve, rows are
-sorted by it and the order is cut into runs of equal length. Files of one run then span little of every dimension, so
+Each dimension is cut at its quantiles, numbers as numbers and texts as whole texts, into 2^bits cells, the cell numbers
+give an index on a Hilbert curve, rows are sorted by it and the order is cut into runs of equal length. Files of one run then span little of every dimension, so
 their minima and maxima prune on any of them.
 
 Texts are read once, into a stored table of ids, sizes and checksums. That is dealt by ranges of (curve index, checksum,
@@ -11,9 +11,10 @@ its range and the counts of the ranges before it. Only the cut points and one co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millpond.llm.common import stored, text_or_empty
 
@@ -22,18 +23,33 @@ BITS = 4
 ACCURACY = 10_000
 
 
-def order_code(column: Column) -> Column:
-    """A number that sorts as the first seven bytes of a text do; null sorts as the empty text."""
-    first = F.rpad(F.hex(F.substring(F.encode(F.coalesce(column.cast("string"), F.lit("")), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(first, 16, 10).cast("long")
-
-
 def cut_points(df: DataFrame, dims: list[str], bits: int) -> dict[str, list]:
     """The 2^bits - 1 inner quantiles of each dimension. A frequent value repeats, so values get cells by their share."""
     cells = 1 << bits
     at = [i / cells for i in range(1, cells)]
-    row = df.agg(*[F.percentile_approx(d, at, ACCURACY).alias(d) for d in dims]).first()
-    return {d: sorted(row[d] or []) for d in dims}
+    texts = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
+    numbers = [d for d in dims if d not in texts]
+    row = df.agg(*[F.percentile_approx(d, at, ACCURACY).alias(d) for d in numbers]).first() if numbers else {}
+    return {d: text_quantiles(df, d, cells) if d in texts else sorted(row[d] or []) for d in dims}
+
+
+def text_quantiles(df: DataFrame, column: str, cells: int) -> list[str]:
+    """The cells - 1 inner quantiles of a column of texts, by their whole value.
+
+    Rows are counted by value first, and the values dealt by ranges, so neither a hot value nor many different ones meet in
+    one task; a value's place follows from those before it in its range and from the counts of the ranges before.
+    """
+    counts = stored(df.groupBy(column).agg(F.count("*").alias("_n")).repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "values")
+    ranges = counts.groupBy("_part").agg(F.sum("_n").alias("_all"))
+    # One row for each range: as many as there are tasks.
+    before = ranges.select("_part", (F.sum("_all").over(W.orderBy("_part")) - F.col("_all")).alias("_before"))
+    upto = counts.join(F.broadcast(before), "_part").withColumn("_upto", F.col("_before") + F.sum("_n").over(W.partitionBy("_part").orderBy(column)))
+    total = df.count()
+    # Values that reach a further cut: fewer than there are cells.
+    cut = lambda n: F.floor(n * cells / F.lit(max(total, 1)))
+    rows = upto.select(column, cut(F.col("_upto") - F.col("_n")).alias("low"), cut(F.col("_upto")).alias("high")).where("low < high").collect()
+    reached = sorted((r.high, r[column]) for r in rows)
+    return [next(value for high, value in reached if high >= i) for i in range(1, cells)] if total else []
 
 
 def hilbert_index(df: DataFrame, dims: list[str], bits: int, name: str = "curve") -> DataFrame:
@@ -92,7 +108,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     text = text_or_empty()
     light = stored(docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        order_code(F.col("lang")).alias("_lang"), order_code(F.col("source")).alias("_source")), "shards")
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in ("lang", "source")]), "shards")
     dims = {"_lang": "_c0", "_source": "_c1", "size": "_c2"}
     cuts = cut_points(light, list(dims), bits)
     cells = light.withColumns({c: sum((F.col(d) > F.lit(v)).cast("int") for v in cuts[d]) + F.lit(0) for d, c in dims.items()})

@@ -35,8 +35,25 @@ def test_law_holds_for_odd_and_hot_rows(docs_of, odd_rows):
     assert sharding.hilbert_shards(docs_of([])).collect() == []
 
 
-def test_shards_prune(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+def test_text_quantiles_follow_the_whole_value(spark):
+    values = ["same long beginning " + v for v in ["a"] * 500 + ["b"] * 100 + [f"c{i:03d}" for i in range(200)]] + [""] * 3
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    ordered = sorted(values)
+    want = [ordered[-(-i * len(values) // 8) - 1] for i in range(1, 8)]
+    assert sharding.text_quantiles(df, "v", 8) == want and len(set(want)) == 3
+    assert sharding.text_quantiles(df.limit(0), "v", 8) == []
+
+
+def test_main_path_is_native(docs_of, odd_rows):
+    plan = sharding.hilbert_shards(docs_of(odd_rows))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("prefix", ["", "https://www.example.org/crawl/"])
+def test_shards_prune(spark, small, prefix):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("source", F.concat(F.lit(prefix), "source"))
     rows = sharding.hilbert_shards(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
     spread = lambda of: sum(len({of(r) for r in rows if r.shard == s}) for s in range(16)) / 16
     assert spread(lambda r: r.lang) < 0.75 * len({r.lang for r in rows}) and spread(lambda r: r.source) < 0.6 * len({r.source for r in rows})
