@@ -123,10 +123,10 @@ SQL: dict[str, str] = {
         l AS (SELECT r, host, sig, len_line, line FROM (
                 SELECT r, host, sig, length(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS len_line,
                        lower(regexp_replace(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
-                FROM (SELECT r, host, list_min(list_transform(words, lambda x: md5(x))) AS sig, unnest(lines) AS x FROM w))),
-        hosts AS (SELECT host, count(DISTINCT list_min(list_transform(words, lambda x: md5(x)))) AS docs FROM w GROUP BY host),
+                FROM (SELECT r, host, md5(lower(array_to_string(words, ' '))) AS sig, unnest(lines) AS x FROM w))),
+        hosts AS (SELECT host, count(DISTINCT md5(lower(array_to_string(words, ' ')))) AS docs FROM w GROUP BY host),
         often AS (SELECT host, line FROM l JOIN hosts USING (host) GROUP BY host, line, docs
-                  HAVING count(DISTINCT sig) > 20 AND 100 * count(DISTINCT sig) > 2 * docs),
+                  HAVING count(DISTINCT sig) > 20 AND (count(DISTINCT sig) > 200 OR 100 * count(DISTINCT sig) > 2 * docs)),
         lost AS (SELECT r, sum(len_line) AS total, sum(CASE WHEN o.line IS NOT NULL THEN len_line ELSE 0 END) AS gone
                  FROM l LEFT JOIN often o ON o.host = l.host AND o.line = l.line GROUP BY r),
         m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,

@@ -83,3 +83,49 @@ def test_a_line_is_frequent_at_a_small_and_at_a_hot_source(spark):
                array(named_struct('h', CASE WHEN id < 25 OR id BETWEEN 1000 AND 1249 THEN -1 WHEN id BETWEEN 2000 AND 2149 THEN -2 WHEN id BETWEEN 480 AND 499 THEN -3 ELSE id END, 'n', 400)) AS _lines
         FROM range(30000)""")
     assert {(r["_host"], r.h) for r in quality.frequent_lines(seen).collect()} == {("small", -1), ("hot", -1)}
+
+
+def plain_kept(rows):
+    """doc -> kept, document by document and line by line; rows are (doc_id, text, source)."""
+    from collections import Counter, defaultdict
+
+    space = " \t\n\x0b\f\r"
+    split = lambda text: [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    normal = lambda line: " ".join(split(line)).lower()
+    holders, hosts = defaultdict(set), defaultdict(set)
+    for _, text, host in rows:
+        whole = " ".join(split(text or "")).lower()
+        hosts[host or ""].add(whole)
+        for line in {normal(x) for x in (text or "").split("\n") if x.strip(space)}:
+            holders[host or "", line].add(whole)
+    often = {key for key, docs in holders.items() if len(docs) > 20 and (len(docs) > 200 or 100 * len(docs) > 2 * len(hosts[key[0]]))}
+    out = Counter()
+    for i, text, host in rows:
+        n_words, *_, again = measures(text)
+        lines = [x for x in (text or "").split("\n") if x.strip(space)]
+        lost = sum(len(x.strip(space)) for x in lines if (host or "", normal(x)) in often)
+        total = sum(len(x.strip(space)) for x in lines)
+        out[i, n_words >= 50 and 100 * again <= 50 * n_words and 100 * lost <= 70 * total] += 1
+    return out
+
+
+def test_verdicts_equal_a_plain_version(spark):
+    from collections import Counter
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    menus = [[prose(rng.choice([10, 30, 60])) for _ in range(4)] for _ in range(6)]
+    rows = []
+    for i in range(3000):
+        host = rng.choice(["hot", "hot", "a", "b", None, ""])  # two thirds of the rows at few hosts
+        held = [x if rng.random() < 0.5 else x.upper() + " " for x in rng.choice(menus) if rng.random() < 0.8] if rng.random() < 0.3 else []
+        rows.append((i, "\n".join(rng.sample(held + [prose(rng.choice([5, 20, 60]))], len(held) + 1)), host))
+    rows += [(5000 + i, rows[7][1], "a") for i in range(40)] + [(9000, None, "a"), (None, "", None), rows[3], rows[3]]
+    for i in range(260):  # frequent by number, not by share
+        rows.append((6000 + i, f"{menus[0][0]} same\n{prose(3)}", "big"))
+    rows += [(20_000 + i, prose(55), "big") for i in range(14_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = Counter((r.doc_id, r.kept) for r in quality.judge(docs).select("doc_id", "kept").collect())
+    want = plain_kept(rows)
+    assert got == want and 1000 < sum(n for (_, kept), n in want.items() if not kept) and any(6000 <= (i or 0) < 6260 and not kept for i, kept in want)
