@@ -16,18 +16,23 @@ NUMERIC_SHARE = 0.8
 
 
 def pie_slices(df: DataFrame, key: str, value: str, seq: str, slices: int = PIE_SLICES) -> DataFrame:
-    """Largest values as slices, all others summed as "Other". ``seq`` numbers the rows from 0.
+    """Largest values as slices, all others summed as "Other". ``seq`` numbers the rows from 0; it may repeat or be NULL.
 
-    The top part is a distributed top-k. The rest is one aggregate with the top rows (fewer than
-    ``slices``) broadcast out; a rest of a single row keeps its own name.
+    The top part is a distributed top-k. The rest is one aggregate beside the top rows (fewer than
+    ``slices``, broadcast), less as many rows as the top took of equal ones; a rest of a single row keeps its own name.
     """
     rows = df.select(
         F.col(seq).alias("_seq"), label_or_item(key, seq).alias("name"), number_or_zero(value).alias("value")
     )
-    top = rows.orderBy(F.col("value").desc(), "_seq").limit(slices - 1)
-    rest = rows.join(F.broadcast(top.select("_seq")), "_seq", "left_anti").agg(
-        F.count("*").alias("_n"), F.min("name").alias("_name"), F.sum("value").alias("value")
+    top = rows.orderBy(F.col("value").desc(), "_seq", "name").limit(slices - 1)
+    taken = top.groupBy(F.struct("_seq", "name", "value").alias("_top")).agg(F.count("*").alias("_taken"))
+    same = [F.col(c).eqNullSafe(F.col(f"_top.{c}")) for c in ("_seq", "name", "value")]
+    groups = rows.join(F.broadcast(taken), same, "left").groupBy("_top", "_taken").agg(
+        F.count("*").alias("_n"), F.min("name").alias("name"), F.sum("value").alias("value")
     )
+    left = F.col("_n") - F.coalesce("_taken", F.lit(0))
+    rest = groups.select(left.alias("_n"), "name", F.when(F.col("_taken").isNull(), F.col("value")).otherwise(left * F.col("_top.value")).alias("value"))
+    rest = rest.filter("_n > 0").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.min("name").alias("_name"), F.sum("value").alias("value"))
     other = rest.filter("_n > 0").select(
         F.when(F.col("_n") == 1, F.col("_name")).otherwise("Other").alias("name"), "value"
     )

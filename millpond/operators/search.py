@@ -55,14 +55,18 @@ def ranked_search(
 
 
 def search_packages(
-    docs: DataFrame, query: str, packages: list[str], package: str, name: str, description: str, id_col: str
+    docs: DataFrame, query: str, packages: list[str], package: str, name: str, description: str, id_col: str,
+    limit: int = TOP_RESULTS,
 ) -> DataFrame:
-    """Matches over several packages, one per (package, name), the first ten, with the number found."""
+    """Matches over several packages, one per (package, name), the first ``limit``, with the number found.
+
+    The number is a subquery over the same exchange as the page.
+    """
     found = first_per_key(
         matching(docs, query, name, description, **{package: packages}), [package, name], [F.col(id_col)]
     ).select(name, description, package)
     total = found.agg(F.count("*")).scalar()
-    return found.orderBy(package, name).limit(TOP_RESULTS).withColumn("total_found", total)
+    return found.orderBy(package, name).limit(limit).withColumn("total_found", total)
 
 
 def term_index(docs: DataFrame, id_col: str, name: str, description: str, buckets: int = 64) -> DataFrame:

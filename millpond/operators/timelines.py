@@ -75,6 +75,11 @@ def as_of_join(
     one without a key or a time finds nothing.
     """
     right = right.dropna(subset=[*by, ts])
+    # Rows that can find nothing go round the windows, where they would all be one group.
+    known = F.forall(F.array(*[F.col(c).isNotNull() for c in [*by, ts]]), lambda x: x)
+    types = {f.name: f.dataType for f in right.schema.fields}
+    lost = left.filter(~known).select(*left.columns, *[F.lit(None).cast(types[c]).alias(n) for c, n in [(ts, f"as_of_{ts}"), *((v, v) for v in values)]])
+    left = left.filter(known)
     payload = F.struct(F.col(ts), *[F.col(v) for v in values])
     left_columns = left.columns
     rows = left.select(F.lit(1).alias("_side"), *left_columns, F.lit(None).alias("_right")).unionByName(
@@ -92,9 +97,52 @@ def as_of_join(
         .join(carried, [*by, "_slice"], "left")
         .withColumn("_found", F.coalesce("_local", "_carried"))
     )
-    return found.select(
+    found = found.select(
         *left_columns, F.col(f"_found.{ts}").alias(f"as_of_{ts}"), *[F.col(f"_found.{v}").alias(v) for v in values]
     )
+    return found.unionAll(lost)
+
+
+# Cells of interval joins: the finest is one minute, each level is eight times as wide, the last one has no bound.
+CELL_MS, CELL_FACTOR, CELL_LEVELS = 60_000, 8, 12
+
+
+def _celled(df: DataFrame, by: list[str], start: str, end: str, side: str) -> DataFrame:
+    """One row for each cell an interval lies in, at the finest level where it lies in at most two, and all coarser ones."""
+    width = lambda level: F.lit(CELL_MS) * F.pow(F.lit(CELL_FACTOR), level).cast("long")
+    length = F.col(end) - F.col(start)
+    own = F.lit(CELL_LEVELS)
+    for level in reversed(range(CELL_LEVELS)):
+        own = F.when(length <= CELL_MS * CELL_FACTOR**level, level).otherwise(own)
+    at = lambda ms, level: F.floor(F.col(ms) / width(level)).cast("long")
+    cells = F.transform(
+        F.sequence(F.col("_own"), F.lit(CELL_LEVELS)),
+        lambda level: F.when(level == CELL_LEVELS, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(at(start, level), at(end, level))))
+    valid = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
+    rows = valid.withColumn("_own", own).select(
+        *[F.col(k).alias(f"_k{n}") for n, k in enumerate(by)], F.struct(*df.columns).alias(f"_{side}"),
+        F.col(start).alias(f"_{side}_start"), F.col(end).alias(f"_{side}_end"), F.col("_own").alias(f"_{side}_level"),
+        F.posexplode(cells).alias("_step", "_cells"))
+    return rows.withColumn("_level", F.col(f"_{side}_level") + F.col("_step")).withColumn("_cell", F.explode("_cells")).drop("_step", "_cells")
+
+
+def overlaps(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """Pairs of intervals (milliseconds, both ends inclusive) of one key that have a moment in common: ``left``, ``right``.
+
+    Both sides are dealt to time cells and joined on key and cell. An interval lies in at most two cells of each level from
+    the first that is as wide as it is long; two intervals meet at the wider one's level, in the cell where the later start
+    lies. So a pair is found once, and what a task gets of a busy key is bounded by time. Intervals without a bound, or that
+    end before they start, have no partner.
+    """
+    a, b = _celled(left, by, start, end, "left"), _celled(right, by, start, end, "right")
+    keys = [*[f"_k{n}" for n in range(len(by))], "_level", "_cell"]
+    met = a.join(b, keys).filter(
+        (F.col("_level") == F.greatest("_left_level", "_right_level"))
+        & (F.col("_left_start") <= F.col("_right_end")) & (F.col("_right_start") <= F.col("_left_end")))
+    later = F.greatest("_left_start", "_right_start")
+    width = F.lit(CELL_MS) * F.pow(F.lit(CELL_FACTOR), F.col("_level")).cast("long")
+    first = (F.col("_level") == CELL_LEVELS) | (F.col("_cell") == F.floor(later / width).cast("long"))
+    return met.filter(first).select(F.col("_left").alias("left"), F.col("_right").alias("right"))
 
 
 def counts_before(

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from millpond.functions.dates import in_range
 from millpond.functions.numbers import numeric_share
 from millpond.functions.text import words
-from millpond.operators import catalogs, timelines
+from millpond.operators import catalogs, sketches, timelines
 from millpond.plans import plan, read_parquet
+from millpond.session import new_folder
 
 AS_OF = datetime(2001, 8, 1)
 REVENUE = "l_extendedprice * (1 - l_discount)"
@@ -144,6 +145,41 @@ def approximate_measures(spark, sf):
         F.expr("approx_top_k(user_id, 3)").alias("busiest"))
 
 
+@plan(
+    "kept_sketches", "A14",
+    """SELECT event_type, month, count(*) AS rows, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near,
+         true AS p95_near, true AS busiest_near
+       FROM (SELECT *, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month FROM events) GROUP BY 1, 2""",
+)
+def kept_sketches(spark, sf):
+    """Monthly figures from daily sketches that were stored day by day, each with whether it lies in its stated bound."""
+    events = read_parquet(spark, sf, "events")
+    path = new_folder(spark, "sketches")
+    half = F.expr("timestampadd(DAY, 15, date_trunc('month', ts))").cast("timestamp_ntz")
+    # A first load, a second one that brings new days, and a repeat that finds nothing new.
+    sketches.refresh(events.where(F.col("ts") < half), "ts", ["event_type"], "user_id", "value", path)
+    sketches.refresh(events, "ts", ["event_type"], "user_id", "value", path)
+    sketches.refresh(events, "ts", ["event_type"], "user_id", "value", path)
+    month = F.date_trunc("month", "day").cast("timestamp_ntz").alias("month")
+    figures = sketches.merged(sketches.stored_days(spark, path), ["event_type", month])
+    rows = events.withColumn("month", F.date_trunc("month", "ts").cast("timestamp_ntz"))
+    exact = rows.groupBy("event_type", "month").agg(F.countDistinct("user_id").alias("exact_users"))
+    busy = rows.groupBy("event_type", "month", "user_id").agg(F.count("*").alias("n")).groupBy("event_type", "month").agg(F.max("n").alias("most"))
+    ranks = rows.join(figures.select("event_type", "month", "median", "p95"), ["event_type", "month"]).groupBy("event_type", "month").agg(
+        F.count("value").alias("n"), *[F.sum((F.col("value") < F.col(q)).cast("long")).alias(f"{q}_below") for q in ("median", "p95")],
+        *[F.sum((F.col("value") <= F.col(q)).cast("long")).alias(f"{q}_upto") for q in ("median", "p95")])
+    joined = figures.join(exact, ["event_type", "month"]).join(ranks, ["event_type", "month"]).join(busy, ["event_type", "month"])
+
+    def near(q: str, share: float):
+        slack = F.col("n") * sketches.RANK_ERROR + 1
+        return ((F.col(f"{q}_below") <= F.col("n") * share + slack) & (F.col(f"{q}_upto") >= F.col("n") * share - slack)).alias(f"{q}_near")
+
+    return joined.select(
+        "event_type", "month", "rows", F.col("exact_users").alias("users"),
+        (F.abs(F.col("users") - F.col("exact_users")) <= sketches.DISTINCT_ERROR * F.col("exact_users") + 1).alias("users_near"),
+        near("median", 0.5), near("p95", 0.95), (F.col("busiest")[0]["count"] >= F.col("most") - F.col("rows") / sketches.TRACKED * 4).alias("busiest_near"))
+
+
 @plan(
     "net_worth_over_year", "W6",
     """SELECT * FROM (SELECT o_orderpriority, period, round(amount, 2) AS amount,

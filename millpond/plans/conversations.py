@@ -96,14 +96,15 @@ def assembled_in_parts(spark, sf):
 
 
 @plan(
-    "long_session_message", "Z4",
-    """SELECT conv_id % 3 AS session, string_agg(text, '' ORDER BY conv_id * 1000 + turn) AS text, count(*) AS pieces
-       FROM conversations GROUP BY 1""",
+    "long_session_parts", "Z4",
+    """SELECT conv_id % 3 AS session, (conv_id * 1000 + turn) // 4096 AS part,
+         string_agg(text, '' ORDER BY conv_id * 1000 + turn) AS text, count(*) AS pieces
+       FROM conversations GROUP BY 1, 2""",
 )
-def long_session_message(spark, sf):
-    """Three sessions with as many sequence numbers as the table has conversations, joined in many parts."""
+def long_session_parts(spark, sf):
+    """Three sessions with as many sequence numbers as the table has conversations, as ordered parts of bounded size."""
     said = _said(spark, sf).select((F.col("conv_id") % 3).alias("session"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text")
-    return conversations.assemble(said, "session", "seq", "text")
+    return conversations.assemble(said, "session", "seq", "text", parts=True)
 
 
 def chunk_log(df):

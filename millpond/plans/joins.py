@@ -231,3 +231,26 @@ def statements_matched_to_queries(spark, sf):
 def first_message_per_role(spark, sf):
     messages = read_parquet(spark, sf, "conversations").select("conv_id", "role", "turn", "text")
     return keyed.first_per_key(messages, ["conv_id", "role"], [F.col("turn")])
+
+
+@plan(
+    "sessions_during_outages", "J12",
+    """WITH s AS (
+         SELECT event_type, user_id, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 AS end_ms
+         FROM (SELECT *, date_trunc('day', ts) AS day FROM events) GROUP BY event_type, user_id, day),
+       o AS (SELECT event_type, event_id, epoch_us(ts) // 1000 - 600000 AS start_ms,
+               epoch_us(ts) // 1000 + CAST(CASE WHEN event_id % 7 = 0 THEN 86400000 WHEN event_id % 3 = 0 THEN 7200000 ELSE 5000 END AS BIGINT) AS end_ms
+             FROM events WHERE value > 190)
+       SELECT o.event_type, o.event_id, count(*) AS spans, CAST(sum(least(s.end_ms, o.end_ms) - greatest(s.start_ms, o.start_ms)) AS BIGINT) AS shared_ms
+       FROM s JOIN o ON s.event_type = o.event_type AND s.start_ms <= o.end_ms AND o.start_ms <= s.end_ms GROUP BY 1, 2""",
+)
+def sessions_during_outages(spark, sf):
+    """Days of activity of users that overlap outages of seconds, hours or a day, of the same type of event."""
+    events = read_parquet(spark, sf, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    active = events.groupBy("event_type", "user_id", F.date_trunc("day", "ts").alias("day")).agg(F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"))
+    lasting = F.when(F.col("event_id") % 7 == 0, 86_400_000).when(F.col("event_id") % 3 == 0, 7_200_000).otherwise(5_000)
+    outages = events.where("value > 190").select("event_type", "event_id", (ms - 600_000).alias("start_ms"), (ms + lasting).alias("end_ms"))
+    met = timelines.overlaps(active.drop("day"), outages, ["event_type"], "start_ms", "end_ms")
+    shared = F.least("left.end_ms", "right.end_ms") - F.greatest("left.start_ms", "right.start_ms")
+    return met.groupBy(F.col("right.event_type").alias("event_type"), F.col("right.event_id").alias("event_id")).agg(F.count("*").alias("spans"), F.sum(shared).alias("shared_ms"))

@@ -149,8 +149,11 @@ def declared_columns_only(spark, sf):
 )
 def evolved_part_table(spark, sf):
     # p_size gets another type, two columns are new, and undeclared ones stay.
-    part = read_parquet(spark, sf, "part")
-    return keyed.project_declared(part, naming.evolved_schema(part.schema, PART_SCHEMA))
+    part, folder = read_parquet(spark, sf, "part"), new_folder(spark, "part")
+    table = KeyedTable(spark, f"demo_{folder.rsplit('-', 1)[1]}.part", folder, ["p_partkey"], buckets=4).create(part.schema)
+    table.upsert(part)
+    table.evolve(PART_SCHEMA)
+    return table.read()
 
 
 @plan(

@@ -25,22 +25,30 @@ def _resolve(spec: dict, node: dict) -> dict:
     return node
 
 
-def merged(spec: dict, node: dict) -> dict:
-    """The node with references followed and all members of ``allOf`` joined, base columns included."""
+def _members(spec: dict, node: dict) -> list[dict]:
+    """The nodes whose columns make up a node: itself without ``allOf``, else those of its members, then its own part."""
     node = _resolve(spec, node)
     if "allOf" not in node:
-        return node
-    out = {"type": "object", "properties": {}, "required": []}
-    if node.get("description"):
-        out["description"] = node["description"]
-    members = [*node["allOf"], {"properties": node.get("properties", {}), "required": node.get("required", [])}]
-    for member in members:
-        part = merged(spec, member)
-        out["properties"].update(part.get("properties", {}))
-        out["required"] = list(dict.fromkeys([*out["required"], *part.get("required", [])]))
-        if part.get("description") and "description" not in out:
-            out["description"] = part["description"]
-    return out
+        return [node]
+    return [leaf for member in node["allOf"] for leaf in _members(spec, member)] + [{k: v for k, v in node.items() if k != "allOf"}]
+
+
+def merged(spec: dict, node: dict) -> dict:
+    """The node with references followed and all members of ``allOf`` joined, base columns included.
+
+    A later member's column replaces an earlier one. The description is that of the node, else of its first member that
+    has one.
+    """
+    parts = _members(spec, node)
+    if len(parts) == 1:
+        return parts[0]
+    told = [p["description"] for p in (parts[-1], *parts[:-1]) if p.get("description")]
+    return {
+        "type": "object",
+        "properties": {name: column for p in parts for name, column in p.get("properties", {}).items()},
+        "required": list(dict.fromkeys(name for p in parts for name in p.get("required", []))),
+        **({"description": told[0]} if told else {}),
+    }
 
 
 def find_schema(spec: dict, name: str) -> dict | None:

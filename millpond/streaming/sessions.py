@@ -10,11 +10,17 @@ from millpond.operators.tables import KeyedTable
 from millpond.operators.timelines import IDLE_MS, epoch_ms
 
 
+LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
 def closed_sessions(stream: DataFrame, by: list[str], ts: str, late_by: str, idle_ms: int = IDLE_MS) -> DataFrame:
     """Sessions that can get no more rows: idle for at least ``idle_ms``, and the watermark has passed.
 
-    A session window also joins rows exactly its gap apart, hence the millisecond less on cut times.
+    A session window also joins rows exactly its gap apart, hence the millisecond less on cut times. Rows of a busy key
+    have to be joined inside each task before they are shuffled; a session that does not say so is an error.
     """
+    if stream.sparkSession.conf.get(LOCAL_MERGE) != "true":
+        raise ValueError(f"set {LOCAL_MERGE} to true, as build_session does")
     cut = F.timestamp_millis(epoch_ms(ts))
     events = stream.select(*by, cut.alias("_ts")).withWatermark("_ts", late_by)
     return (
