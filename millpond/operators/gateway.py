@@ -189,25 +189,41 @@ class QueryProxy:
         return self._registry.run(self._project, name)
 
 
+def _source_sizes(plan) -> tuple[int, ...]:
+    """Bytes of each source a plan reads: files that came or went change them. A keyed table's plan names its versions."""
+    leaves = plan.collectLeaves()
+    return tuple(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 class ResultCache:
-    """The first rows of results, kept by statement text: at most ``size`` of them, the longest unused goes first.
+    """The first rows of results, kept by what a statement means and what its tables hold.
 
-    Only what a caller is shown is kept, never a whole result. Call ``clear`` after a load.
+    Statements whose plans compare as equal share an entry, however they are spelt. A load makes an entry stale by itself:
+    the plan of a keyed table names the versions it reads, and of other sources the size of their files is compared. At most
+    ``size`` entries are kept, the longest unused goes first. Only what a caller is shown is kept, never a whole result.
     """
 
     def __init__(self, spark: SparkSession, size: int = 100, rows: int = SHOWN_ROWS):
         self.spark, self.size, self.rows = spark, size, rows
-        self._kept: OrderedDict[str, DataFrame] = OrderedDict()
+        self._kept: OrderedDict[int, tuple] = OrderedDict()
+        self._next = 0
 
     def run(self, text: str) -> DataFrame:
-        if text not in self._kept:
-            self._kept[text] = preview(run_sql(self.spark, text), self.rows).persist(StorageLevel.MEMORY_AND_DISK)
-            while len(self._kept) > self.size:
-                self._kept.popitem(last=False)[1].unpersist()
-        self._kept.move_to_end(text)
-        return self._kept[text]
+        df = run_sql(self.spark, text)
+        plan = df._jdf.queryExecution().analyzed()
+        sizes = _source_sizes(plan)
+        for number, (known, known_sizes, names, shown) in self._kept.items():
+            if sizes == known_sizes and names == df.columns and known.semanticHash() == plan.semanticHash() and known.sameResult(plan):
+                self._kept.move_to_end(number)
+                return shown
+        shown = preview(df, self.rows).persist(StorageLevel.MEMORY_AND_DISK)
+        self._kept[self._next] = (plan, sizes, df.columns, shown)
+        self._next += 1
+        while len(self._kept) > self.size:
+            self._kept.popitem(last=False)[1][-1].unpersist()
+        return shown
 
     def clear(self) -> None:
-        for df in self._kept.values():
-            df.unpersist()
+        for *_, shown in self._kept.values():
+            shown.unpersist()
         self._kept.clear()

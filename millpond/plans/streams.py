@@ -83,6 +83,35 @@ def streamed_load_log(spark, sf):
     return log.read()
 
 
+def _into_tables(spark, sf):
+    """The events of three types, each in a table of its own, from one stream; and the log of all tags."""
+    events = read_parquet(spark, sf, "events")
+    made = {name: _table(spark, name, ["event_id"], events.schema) for name in ("signup", "purchase", "view")}
+    log, folder = _table(spark, "tag_log", ["run", "batch", "tag"], loads.TAG_LOG)
+    tables = {name: table for name, (table, _) in made.items()}
+    _finish(loads.upsert_many(_stream(spark, sf, "events"), "event_type", tables, f"{folder}/batches", f"{folder}/checkpoint", seq={n: ["ts"] for n in tables}, log=log, run="events"))
+    return tables, log
+
+
+@plan(
+    "streamed_into_tables", "K15 S17 Z1",
+    "SELECT event_type AS loaded_into, event_id, user_id, value FROM events WHERE event_type IN ('signup', 'purchase', 'view')",
+)
+def streamed_into_tables(spark, sf):
+    tables, _ = _into_tables(spark, sf)
+    parts = [t.read().select(F.lit(name).alias("loaded_into"), "event_id", "user_id", "value") for name, t in tables.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@plan(
+    "streamed_tag_log", "K15 S17",
+    "SELECT event_type AS tag, count(*) AS rows, event_type IN ('signup', 'purchase', 'view') AS declared FROM events GROUP BY 1",
+)
+def streamed_tag_log(spark, sf):
+    _, log = _into_tables(spark, sf)
+    return log.read().groupBy("tag", "declared").agg(F.sum("rows").alias("rows"))
+
+
 @plan(
     "streamed_without_repeats", "Z8",
     "SELECT event_id, user_id, ts FROM events",

@@ -7,11 +7,13 @@ from pyspark.sql import types as T
 
 from millpond.functions.dates import clean_timestamp
 from millpond.functions.numbers import exact_number
-from millpond.operators import catalogs, keyed, naming
+from millpond.model import Connector, Resource
+from millpond.operators import catalogs, keyed, naming, typed
 from millpond.operators.tables import KeyedTable
 from millpond.plans import plan, read_parquet
 from millpond.session import new_folder
 from millpond.sources import feeds
+from millpond.sources.connectors import ConnectorLoader
 
 DELTA_SQL = """
   SELECT c_custkey, c_name, c_nationkey, c_acctbal + 100 AS c_acctbal, c_mktsegment, 1 AS seq
@@ -127,6 +129,56 @@ def exact_numbers(spark, sf):
     )
 
 
+ORDER_SCHEMA = (
+    T.StructType().add("o_orderkey", "long").add("o_custkey", "long").add("o_totalprice", "decimal(20,2)")
+    .add("o_orderdate", "timestamp_ntz", True, {"comment": "when it was placed"}).add("o_note", "string")
+)
+
+
+def _written_orders(spark, sf):
+    """Orders as text, some with junk in them."""
+    orders = read_parquet(spark, sf, "orders")
+    return typed.as_text(orders.select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey").cast("string")).otherwise("none").alias("o_custkey"),
+        F.round("o_totalprice", 2).cast("decimal(20,2)").alias("o_totalprice"),
+        F.when(F.col("o_orderpriority") == "2-HIGH", "10000-01-01").when(F.col("o_orderpriority") == "3-MEDIUM", "soon")
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("o_orderdate"),
+        F.col("o_orderstatus").alias("undeclared")).withColumn("o_orderkey", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderkey"))))
+
+
+_WRITTEN = """(SELECT *, o_orderkey % 13 = 0 AS keyless, o_orderkey % 11 = 0 AS bad FROM orders)"""
+
+
+@plan(
+    "typed_load", "K3 K5 K7 K8 K9 K13",
+    f"""SELECT o_orderkey, o_custkey, CAST(round(o_totalprice, 2) AS DECIMAL(20,2)) AS o_totalprice,
+         CASE WHEN o_orderpriority NOT IN ('2-HIGH', '3-MEDIUM') THEN CAST(o_orderdate AS TIMESTAMP) END AS o_orderdate,
+         CAST(NULL AS VARCHAR) AS o_note FROM {_WRITTEN} WHERE NOT keyless AND NOT bad""",
+)
+def typed_load(spark, sf):
+    """Orders written as text, typed by a declared schema and loaded; bad dates are NULL, other bad rows stay out."""
+    folder = new_folder(spark, "typed")
+    shop = Connector(f"typed.{folder.rsplit('-', 1)[1]}", "Shop", "Orders as text", (Resource("orders", ("o_orderkey",)),))
+    loader = ConnectorLoader(spark, shop, folder, buckets=4)
+    loaded = loader.load(shop.resources[0], _written_orders(spark, sf), datetime(2024, 1, 1), schema=ORDER_SCHEMA)
+    return spark.table(loaded.table)
+
+
+@plan(
+    "typed_load_counts", "K3 K5",
+    f"""SELECT count(*) FILTER (NOT keyless AND NOT bad) AS accepted, count(*) FILTER (keyless OR bad) AS rejected,
+         count(*) FILTER (o_orderpriority IN ('2-HIGH', '3-MEDIUM')) AS bad_dates,
+         count(*) FILTER (bad) AS bad_values, count(*) FILTER (keyless AND NOT bad) AS null_keys FROM {_WRITTEN}""",
+)
+def typed_load_counts(spark, sf):
+    done = typed.split(_written_orders(spark, sf), ORDER_SCHEMA, ["o_orderkey"])
+    why = lambda start: F.coalesce(F.sum(F.col("reject_reason").startswith(start).cast("long")), F.lit(0))
+    return done.rejects.agg(
+        F.lit(done.accepted).cast("long").alias("accepted"), F.lit(done.rejected).cast("long").alias("rejected"),
+        F.lit(done.bad_dates).cast("long").alias("bad_dates"), why("bad value").alias("bad_values"), why("null key").alias("null_keys"))
+
+
 PART_SCHEMA = (
     T.StructType().add("p_partkey", "long").add("p_name", "string").add("p_size", "long").add("p_weight", "double")
     .add("p_note", "string")

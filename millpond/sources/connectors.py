@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from millpond.functions.text import schema_name, table_name
 from millpond.model import Connector, Resource
+from millpond.operators import typed
 from millpond.operators.keyed import find_key
 from millpond.operators.naming import rename_reserved, safe_name
 from millpond.operators.status import high_water_mark
@@ -35,6 +37,8 @@ class Loaded:
     table: str
     rows: int
     high_water_mark: datetime | None
+    rejected: int = 0
+    bad_dates: int = 0
 
 
 class ConnectorLoader:
@@ -67,7 +71,7 @@ class ConnectorLoader:
     def load(
         self, resource: Resource, source: DataFrame, as_of: datetime, seq: list[str] | None = None,
         op: str | None = None, overlap: timedelta = timedelta(0), look_back: timedelta | None = None,
-        allow_drop: bool = False,
+        allow_drop: bool = False, schema: T.StructType | None = None,
     ) -> Loaded:
         """Bring one resource up to date.
 
@@ -76,6 +80,10 @@ class ConnectorLoader:
         The data is committed first, then the position. A load that dies in between is done again and changes
         nothing. The position is the newest time seen in the data, so the clocks of source and cluster need
         not agree. Freshness of a table moves only when rows were written.
+
+        With a declared ``schema``, as the API specs give it, values are typed and judged before they are merged: bad dates
+        are NULL, rows with other bad values or no key go to the folder of rejects, all are counted, and the comments of
+        the schema reach the table.
         """
         table = self.table(resource, source.columns)
         name = table.name.split(".")[1]
@@ -88,6 +96,12 @@ class ConnectorLoader:
         else:
             delta = source
 
+        judged = None
+        if schema is not None:
+            also = [f for f in source.schema.fields if f.name in {op, *(seq or [])} and f.name not in schema.fieldNames()]
+            judged = typed.split(delta, T.StructType([*schema.fields, *also]), find_key(source.columns, resource.key), f"{self.location}/judged/{name}/load={uuid.uuid4().hex}")
+            delta = judged.rows
+            source = delta.limit(0).select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata or {}) for f in schema.fields], *[f.name for f in also])
         declared = rename_reserved(source.drop(*[c for c in (op,) if c]))
         if table.exists():
             table.evolve(declared.schema, allow_drop)
@@ -106,7 +120,15 @@ class ConnectorLoader:
             self.sync_state.upsert(self._row(SYNC_STATE, name, mark, as_of))
             if done.rows:
                 self.table_status.upsert(self._row(TABLE_STATUS, name, as_of, done.rows))
-        return Loaded(table.name, done.rows, mark)
+        if judged is None:
+            return Loaded(table.name, done.rows, mark)
+        return Loaded(table.name, done.rows, mark, judged.rejected, judged.bad_dates)
+
+    def rejects(self, resource: Resource, schema: T.StructType) -> DataFrame:
+        """Rows of all loads of a resource that were rejected, with the reason."""
+        kept = T.StructType([*schema.fields, T.StructField(typed.REASON, T.StringType()), T.StructField("_refused", T.BooleanType())])
+        found = self.spark.read.schema(kept).parquet(f"{self.location}/judged/{table_name(resource.name)}")
+        return found.where("_refused").drop("_refused", "load")
 
     def _row(self, schema: T.StructType, name: str, *values) -> DataFrame:
         return self.spark.createDataFrame([(self.connector.id, name, *values)], schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -49,6 +50,39 @@ def upsert_stream(
     )
 
 
+def upsert_many(
+    stream: DataFrame, tag: str, tables: dict[str, KeyedTable], path: str, checkpoint: str,
+    seq: dict[str, list[str]] | None = None, op: str | None = None, log: KeyedTable | None = None, run: str = "run",
+):
+    """Load one stream of several resources into a table each, and stop when all that is there is read.
+
+    A batch is read once and written partitioned by its tag; each declared resource is merged from its partition. A table
+    takes a batch together with the batch's number, so a repeat after a crash skips the tables that had it. ``log`` gets the
+    rows of every tag, also of those no table is declared for; it is written last.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark, folder = batch.sparkSession, f"{path}/batch={batch_id}"
+        batch.withColumn("_tag", F.coalesce(F.col(tag).cast("string"), F.lit(""))).write.mode("overwrite").partitionBy("_tag").parquet(folder)
+        schema = T.StructType([*batch.schema.fields, T.StructField("_tag", T.StringType())])
+        rows = spark.read.schema(schema).parquet(folder)
+        for name, table in tables.items():
+            own = rows.where(F.col("_tag") == name).drop("_tag")
+            table.upsert(own, seq=(seq or {}).get(name), op=op, label=f"batch-{batch_id}", batch=(run, batch_id))
+        if log is not None:
+            counts = rows.groupBy(F.col("_tag").alias("tag")).agg(F.count("*").alias("rows"))
+            counts = counts.select(F.lit(run).alias("run"), F.lit(batch_id).cast("long").alias("batch"), "tag", "rows", F.col("tag").isin(*tables).alias("declared"))
+            log.upsert(counts)
+
+    return (
+        stream.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+TAG_LOG = T.StructType().add("run", "string").add("batch", "long").add("tag", "string").add("rows", "long").add("declared", "boolean")
 LOG_SCHEMA = T.StructType().add("run", "string").add("batch", "long").add("rows_written", "long")
 
 
