@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,20 +80,36 @@ def term_index(docs: DataFrame, id_col: str, name: str, description: str, bucket
     both = F.concat(*[F.coalesce(tagged(c, n), F.array().cast("array<struct<term:string,n:int,d:int>>")) for c, n in ((name, 1), (description, 0))])
     found = docs.select(id_col, F.explode(both).alias("w")).select(id_col, "w.*").filter("term <> ''")
     counts = found.groupBy("term", id_col).agg(F.sum("n").alias("name_count"), F.sum("d").alias("description_count"))
-    return counts.withColumn("term_bucket", bucket_of(["term"], buckets)).withColumn("buckets", F.lit(buckets))
+    own = bucket_of(["term"], buckets)
+    return counts.withColumn("term_bucket", own.alias("term_bucket", metadata={"buckets": buckets})).withColumn("buckets", F.lit(buckets))
 
 
 def write_term_index(index: DataFrame, path: str) -> None:
     """A frequent word fills its bucket with many documents; rebalance splits such a bucket into more files.
 
-    Files are sorted by word, so a lookup skips row groups. The number of buckets stands beside the index.
+    Files are sorted by word, so a lookup skips row groups. The number of buckets stands beside the index and is written
+    last: an index without it is not finished.
     """
-    count = index.agg((F.max("buckets")).alias("buckets")) if "buckets" in index.columns else None
-    if count is None:
+    metadata = index.schema["term_bucket"].metadata or {} if "term_bucket" in index.columns else {}
+    if "buckets" not in metadata or "buckets" not in index.columns:
         raise ValueError("the index does not say how many buckets it has")
-    count.write.mode("overwrite").parquet(f"{path.rstrip('/')}_buckets")
-    index = index.drop("buckets")
-    index.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(path)
+    rows = index.drop("buckets")
+    rows.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(path)
+    index.sparkSession.createDataFrame([(metadata["buckets"],)], "buckets int").write.mode("overwrite").parquet(f"{path.rstrip('/')}_buckets")
+
+
+def stored_term_index(docs: DataFrame, id_col: str, name: str, description: str, root: str, buckets: int = 64) -> str:
+    """Path of the index of ``docs`` below ``root``; built only if the files of ``docs`` have none yet.
+
+    The path is named after the files, their size and what is indexed, so new data gets a new index.
+    """
+    spark, plan = docs.sparkSession, docs._jdf.queryExecution().optimizedPlan()
+    made_of = [*sorted(docs.inputFiles()), str(plan.stats().sizeInBytes()), plan.canonicalized().toString(), id_col, name, description, str(buckets)]
+    path = f"{root.rstrip('/')}/terms-{hashlib.sha256('|'.join(made_of).encode()).hexdigest()[:24]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}_buckets/_SUCCESS")
+    if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
+        write_term_index(term_index(docs, id_col, name, description, buckets), path)
+    return path
 
 
 def search_index(index: DataFrame, query: str, id_col: str) -> DataFrame:

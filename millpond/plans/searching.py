@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millpond.operators import search
 from millpond.plans import plan, read_parquet
-from millpond.session import new_folder
+from millpond.session import shared_folder
 
 QUERY = "License THE worthless"
 TERMS = ("license", "the", "worthless")
@@ -92,8 +92,7 @@ def term_index(spark, sf):
 @plan("indexed_search", "X4 X1", f"SELECT doc_id, round(score, 6) AS score FROM ({_scored(TERMS)})")
 def indexed_search(spark, sf):
     """Scores from a stored index equal those of a search over the texts."""
-    path = new_folder(spark, "terms")
-    search.write_term_index(search.term_index(_docs(spark, sf), "doc_id", "name", "text", buckets=8), path)
+    path = search.stored_term_index(_docs(spark, sf), "doc_id", "name", "text", f"{shared_folder(spark)}/indexes", buckets=8)
     found = search.search_index(search.read_term_index(spark, path, QUERY), QUERY, "doc_id")
     return found.select("doc_id", F.round("score", 6).alias("score"))
 

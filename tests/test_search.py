@@ -103,3 +103,21 @@ def test_nearest_matches_numpy(spark, small):
     by_hash = search.nearest_by_hash(vectors, "vec_id", "embedding", list(q), 5).collect()
     assert all(abs(r.similarity - cos[r.vec_id]) < 1e-6 for r in by_hash)
     assert max(by_hash, key=lambda r: r.similarity).vec_id == want[0]
+
+
+def test_an_index_is_built_once_for_the_same_files(spark, components, tmp_path, monkeypatch):
+    path, built = str(tmp_path / "docs"), []
+    components.write.parquet(path)
+    make = search.write_term_index
+    monkeypatch.setattr(search, "write_term_index", lambda index, path: (built.append(path), make(index, path)))
+    stored = lambda: search.stored_term_index(spark.read.parquet(path), "id", "name", "description", str(tmp_path / "indexes"), buckets=2)
+    first = stored()
+    assert stored() == first and built == [first]
+    components.limit(1).write.mode("append").parquet(path)
+    assert stored() != first and len(built) == 2
+
+
+def test_words_are_counted_inside_their_row(spark):
+    docs = spark.createDataFrame([(1, "a b a", "b  c, B!"), (1, "a", None), (2, None, ""), (3, "", "z z z")], "id long, n string, d string")
+    got = {(r.term, r.id): (r.name_count, r.description_count) for r in search.term_index(docs, "id", "n", "d", 4).collect()}
+    assert got == {("a", 1): (3, 0), ("b", 1): (1, 2), ("c", 1): (0, 1), ("z", 3): (0, 3)}
