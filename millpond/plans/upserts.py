@@ -310,3 +310,24 @@ def change_feed_applied(spark, sf):
     changes = feeds.change_rows(pages, "page", "page_no", item)
     empty = changes.select("account_id", "transaction_id", "amount").limit(0)
     return keyed.merge_by_key(empty, changes, ["account_id"], ["change_seq", "change_pos"], op="op")
+
+
+@plan(
+    "accounts_of_feed", "S13",
+    """SELECT CAST(c_custkey AS VARCHAR) AS account_id, c_name AS name, 'depository' AS kind, lower(c_mktsegment) AS subtype,
+         CAST(c_custkey % 10000 AS VARCHAR) AS mask, 'USD' AS currency,
+         CASE WHEN c_custkey % 3 <> 0 THEN CAST(round(c_acctbal, 2) AS DECIMAL(38,10)) END AS available,
+         CAST(round(c_acctbal, 2) AS DECIMAL(38,10)) + CASE WHEN c_nationkey < 5 THEN 10 ELSE 0 END AS current,
+         CAST(NULL AS DECIMAL(38,10)) AS credit_limit FROM customer""",
+)
+def accounts_of_feed(spark, sf):
+    """Accounts listed once by all customers, and a second time, with a new balance, by those of five nations."""
+    balance = F.round("c_acctbal", 2).cast("decimal(20,2)")
+    each = read_parquet(spark, sf, "customer").select("*", F.explode(F.when(F.col("c_nationkey") < 5, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("seq"))
+    account = F.struct(
+        F.col("c_custkey").cast("string").alias("account_id"), F.col("c_name").alias("name"), F.lit("depository").alias("type"), F.lower("c_mktsegment").alias("subtype"),
+        (F.col("c_custkey") % 10000).cast("string").alias("mask"),
+        F.struct(F.when(F.col("c_custkey") % 3 != 0, balance).alias("available"), (balance + F.col("seq") * 10).alias("current"), F.lit("USD").alias("iso_currency_code")).alias("balances"))
+    # A page has at most 50 accounts.
+    pages = each.groupBy("seq", F.floor(F.col("c_custkey") / 50).alias("page_no")).agg(F.to_json(F.struct(F.collect_list(account).alias("accounts"))).alias("page"))
+    return feeds.account_rows(pages, "page", "seq")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millpond.functions.dates import clean_timestamp, epoch_ms_to_datetime, parse_datetime
-from millpond.operators.keyed import REMOVED
+from millpond.functions.numbers import exact_number
+from millpond.operators.keyed import REMOVED, latest_per_key, with_key
 from millpond.operators.status import LOOK_BACK, moment
 
 CALENDAR_ITEM = (
@@ -25,6 +26,10 @@ ACTIVITY_ITEM = (
     "id string, kind string, etag string, "
     "snippet struct<title: string, publishedAt: string, type: string, channelId: string>"
 )
+ACCOUNT_ITEM = (
+    "account_id string, name string, official_name string, type string, subtype string, mask string, "
+    "balances struct<available: string, current: string, limit: string, iso_currency_code: string>"
+)
 # The largest page each API gives.
 CALENDAR_PAGE, MAIL_PAGE, ACTIVITY_PAGE = 2500, 100, 50
 CANCELLED = "cancelled"
@@ -98,6 +103,20 @@ def channel_activities(items: DataFrame, as_of: datetime, since: datetime | None
     ).filter(F.col("_published") > moment(since or as_of - LOOK_BACK)).drop("_published")
 
 
+def account_rows(pages: DataFrame, page: str, seq: str) -> DataFrame:
+    """Accounts of a transaction feed, one row each: the page with the largest ``seq`` that lists an account decides.
+
+    Balances are exact decimals. An account without an id is left out.
+    """
+    schema = f"accounts array<struct<{_struct(ACCOUNT_ITEM)}>>"
+    listed = pages.select(F.col(seq).alias("_seq"), F.explode(F.from_json(page, schema)["accounts"]).alias("a"))
+    rows = listed.select(
+        F.col("a.account_id").alias("account_id"), F.coalesce("a.official_name", "a.name").alias("name"), F.col("a.type").alias("kind"), "a.subtype", "a.mask",
+        F.col("a.balances.iso_currency_code").alias("currency"), exact_number("a.balances.available").alias("available"),
+        exact_number("a.balances.current").alias("current"), exact_number("a.balances.limit").alias("credit_limit"), "_seq")
+    return latest_per_key(with_key(rows, ["account_id"]), ["account_id"], ["_seq"]).drop("_seq")
+
+
 def change_rows(pages: DataFrame, page: str, seq: str, item: str) -> DataFrame:
     """A change feed page (added, modified, removed) as rows ``(change_seq, change_pos, op, ...)`` for a keyed merge.
 

@@ -207,3 +207,16 @@ def test_job_state(spark):
     assert {r.connector: r.rows_written for r in status.run_totals(jobs, "connector", "rows").collect()} == {"c": 250, "d": 7}
     pulses = spark.createDataFrame([(True, None), (True, t(1)), (True, t(0)), (True, t(-1)), (False, None)], "enabled boolean, next_run timestamp_ntz")
     assert pulses.filter(status.due("enabled", "next_run", t(0))).count() == 3
+
+
+def test_accounts_of_a_transaction_feed(spark):
+    from decimal import Decimal
+
+    pages = [
+        (0, '{"accounts": [{"account_id": "a", "name": "Old", "type": "depository", "subtype": "checking", "mask": "01", "balances": {"available": 1.5, "current": 100.10, "iso_currency_code": "USD"}}, {"name": "no id"}]}'),
+        (1, '{"accounts": [{"account_id": "a", "name": "New", "official_name": "Official", "balances": {"current": 7, "limit": 50}}, {"account_id": "b", "balances": null}]}'),
+        (2, '{"accounts": []}'), (3, "{broken"), (4, None),
+    ]
+    rows = {r.account_id: r for r in feeds.account_rows(spark.createDataFrame(pages, "seq int, page string"), "page", "seq").collect()}
+    assert set(rows) == {"a", "b"} and rows["a"].name == "Official" and rows["a"].subtype is None
+    assert rows["a"].current == Decimal(7) and rows["a"].credit_limit == Decimal(50) and rows["a"].available is None and rows["b"].current is None
