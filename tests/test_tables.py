@@ -315,3 +315,17 @@ def test_rows_with_maps_inside_structs_are_loaded(spark, keyed_table):
     t = keyed_table(schema, ["id"])
     t.upsert(spark.createDataFrame([(1, ({"a": 1}, [({"b": 2},)]))], schema))
     assert t.read().count() == 1
+
+
+def test_empty_change_sets_of_all_kinds(spark, keyed_table):
+    t = keyed_table("id long, v string, u int", ["id"])
+    none = spark.createDataFrame([], "id long, v string, u int, op string")
+    for how in ({}, {"seq": ["u"]}, {"seq": ["u"], "op": "op"}, {"batch": ("r", 1)}):
+        assert t.upsert(none, **how).rows == 0
+    t.upsert(changes(spark, (1, "a", 1, None)).drop("op"), seq=["u"])
+    assert t.upsert(none.where("id > 0"), seq=["u"], op="op").rows == 0
+    t.compact(), t.evolve(T.StructType.fromDDL("id long, v string, u long"))
+    assert t.read().count() == 1
+    empty = keyed_table("id long, v int", ["id"], name="empty")
+    empty.compact(), empty.evolve(T.StructType.fromDDL("id long, v string"))
+    assert empty.read().count() == 0 and empty.vacuum(0) is not None
