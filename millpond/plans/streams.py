@@ -39,6 +39,8 @@ def _table(spark, label, keys, schema):
 )
 def streamed_sessions(spark, sf):
     """Sessions the watermark, ten minutes behind the newest event, has closed."""
+    # A query brings the setting along, as it does the time zone; callers of the operator choose for themselves.
+    spark.conf.set(sessions.LOCAL_MERGE, "true")
     return _run_to_files(spark, sessions.closed_sessions(_stream(spark, sf, "events"), ["user_id"], "ts", "10 minutes"), "sessions")
 
 
