@@ -12,8 +12,12 @@ from millpond.streaming import loads, sessions
 
 
 def _stream(spark, sf, name):
+    """A table as a stream, whether it is one file or a folder of files of any name.
+
+    The braces make the path a pattern: a stream takes a path without one for a folder.
+    """
     schema = read_parquet(spark, sf, name).schema
-    return loads.file_stream(spark, sf, schema, glob=f"{name}.parquet")
+    return loads.file_stream(spark, f"{sf}/{{{name}}}.parquet", schema, glob="*")
 
 
 def _finish(query):
