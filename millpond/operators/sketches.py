@@ -46,7 +46,10 @@ def refresh(rows: DataFrame, ts: str, by: list[str], item: str, value: str, path
 
 
 def merged(days: DataFrame, by: list, busiest: int = 3) -> DataFrame:
-    """Figures of any grouping of stored days: rows, users, median, p95 and the ``busiest`` items with their counts."""
+    """Figures of any grouping of stored days: rows, users, median, p95 and the ``busiest`` items with their counts.
+
+    Only items that are surely frequent are listed: where many have nearly the same count there may be none.
+    """
     held = days.groupBy(*by).agg(
         F.sum("rows").alias("rows"), F.hll_union_agg("items").alias("_items"), F.kll_merge_agg_double("quantiles").alias("_quantiles"),
         F.expr(f"approx_top_k_combine(frequent, {TRACKED})").alias("_frequent"))

@@ -177,7 +177,9 @@ def kept_sketches(spark, sf):
     return joined.select(
         "event_type", "month", "rows", F.col("exact_users").alias("users"),
         (F.abs(F.col("users") - F.col("exact_users")) <= sketches.DISTINCT_ERROR * F.col("exact_users") + 1).alias("users_near"),
-        near("median", 0.5), near("p95", 0.95), (F.col("busiest")[0]["count"] >= F.col("most") - F.col("rows") / sketches.TRACKED * 4).alias("busiest_near"))
+        near("median", 0.5), near("p95", 0.95),
+        # Where no item is surely frequent none is listed; that is near if the busiest one is below the bound.
+        (F.coalesce(F.get("busiest", F.lit(0))["count"], F.lit(0)) >= F.col("most") - F.col("rows") / sketches.TRACKED * 4).alias("busiest_near"))
 
 
 @plan(
