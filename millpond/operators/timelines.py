@@ -126,14 +126,19 @@ def _celled(df: DataFrame, by: list[str], start: str, end: str, side: str) -> Da
     return rows.withColumn("_level", F.col(f"_{side}_level") + F.col("_step")).withColumn("_cell", F.explode("_cells")).drop("_step", "_cells")
 
 
-def overlaps(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str, totals: bool = False) -> DataFrame:
     """Pairs of intervals (milliseconds, both ends inclusive) of one key that have a moment in common: ``left``, ``right``.
 
     Both sides are dealt to time cells and joined on key and cell. An interval lies in at most two cells of each level from
     the first that is as wide as it is long; two intervals meet at the wider one's level, in the cell where the later start
     lies. So a pair is found once, and what a task gets of a busy key is bounded by time. Intervals without a bound, or that
     end before they start, have no partner.
+
+    With ``totals`` the pairs are added up and not made: each ``right`` row that has a partner, the number of its
+    partners (``pairs``), and the milliseconds it shares with them (``shared_ms``).
     """
+    if totals:
+        return _overlap_totals(left, right, by, start, end)
     a, b = _celled(left, by, start, end, "left"), _celled(right, by, start, end, "right")
     keys = [*[f"_k{n}" for n in range(len(by))], "_level", "_cell"]
     met = a.join(b, keys).filter(
@@ -145,6 +150,65 @@ def overlaps(left: DataFrame, right: DataFrame, by: list[str], start: str, end:
     return met.filter(first).select(F.col("_left").alias("left"), F.col("_right").alias("right"))
 
 
+def _overlap_totals(
+    left: DataFrame, right: DataFrame, by: list[str], start: str, end: str, slice_ms: int = CELL_MS
+) -> DataFrame:
+    """Sums over all pairs of an interval join, from running sums along time.
+
+    Partners of a right interval are the left ones that start up to its end, less those that end before its start. The time
+    shared is the area below the number of open left intervals, between both ends. At a time t that area is t times the
+    open ones, less the sum of their starts, plus that of the ends gone by. Starts and ends are counted per millisecond, and
+    the sums are kept per (key, time slice) and carried over. What is carried is decimal: times multiplied by rows are too
+    large for a long.
+    """
+    keys = [f"_k{n}" for n in range(len(by))]
+    bounds = lambda df: df.filter(F.col(start) <= F.col(end)).dropna(subset=by).select(
+        *[F.col(k).alias(n) for n, k in zip(keys, by)], F.col(start).cast("long").alias("_start"), F.col(end).cast("long").alias("_end"))
+    none, big = F.lit(0).cast("long"), "decimal(38,0)"
+    # An ask at a start is put before the ends of its millisecond, which still meet it, and one at an end behind the starts.
+    counted = bounds(left).select(*keys, F.explode(F.array(
+        F.struct(F.col("_start").alias("_at"), F.lit(1).cast("long").alias("_n")),
+        F.struct(F.col("_end").alias("_at"), F.lit(-1).cast("long").alias("_n")),
+    )).alias("p")).groupBy(*keys, F.col("p._at").alias("_at")).agg(
+        F.sum(F.greatest("p._n", none)).alias("_opened"), F.sum(F.greatest(-F.col("p._n"), none)).alias("_closed"))
+    asked = bounds(right).distinct()
+    points = (
+        asked.select(*keys, "_start", "_end", F.explode(F.array(
+            F.struct(F.col("_start").alias("_at"), F.lit(0).alias("_order")), F.struct(F.col("_end").alias("_at"), F.lit(2).alias("_order")),
+        )).alias("p")).select(*keys, "p.*", none.alias("_opened"), none.alias("_closed"), "_start", "_end")
+        .unionByName(counted.withColumn("_order", F.lit(1)), allowMissingColumns=True)
+        .withColumn("_in", F.pmod("_at", F.lit(slice_ms)))
+        .withColumn("_slice", F.col("_at") - F.col("_in"))
+        # Times inside a slice are small numbers, so their sums stay longs.
+        .withColumn("_moved", (F.col("_opened") - F.col("_closed")) * F.col("_in"))
+    )
+    in_slice = W.partitionBy(*keys, "_slice").orderBy("_at", "_order").rowsBetween(W.unboundedPreceding, 0)
+    over_slices = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast(big)
+    per_slice = points.groupBy(*keys, "_slice").agg(F.sum("_opened").alias("_opened"), F.sum("_closed").alias("_closed"), F.sum("_moved").alias("_moved"))
+    carried = per_slice.withColumn(
+        "_times", (F.col("_slice").cast("decimal(19,0)") * (F.col("_opened") - F.col("_closed")).cast("decimal(18,0)")).cast(big) + F.col("_moved").cast("decimal(19,0)")
+    ).select(
+        *keys, "_slice", F.coalesce(F.sum("_opened").over(over_slices), none).alias("_opened_before"),
+        F.coalesce(F.sum("_closed").over(over_slices), none).alias("_closed_before"),
+        F.coalesce(F.sum(F.col("_times").cast("decimal(28,0)")).over(over_slices), zero).alias("_times_before"))
+    summed = points.select(
+        *keys, "_slice", "_at", "_in", "_order", "_start", "_end",
+        *[F.sum(c).over(in_slice).alias(c) for c in ("_opened", "_closed", "_moved")]).filter("_order <> 1")
+    found = summed.join(carried, [*keys, "_slice"])
+    open_before = (F.col("_opened_before") - F.col("_closed_before")).cast("decimal(18,0)")
+    area = (
+        (F.col("_at").cast("decimal(19,0)") * open_before).cast(big) - F.col("_times_before").cast(big)
+        + (F.col("_in") * (F.col("_opened") - F.col("_closed")) - F.col("_moved")).cast(big))
+    at_end = F.col("_order") == 2
+    answers = found.groupBy(*keys, "_start", "_end").agg(
+        F.sum(F.when(at_end, F.col("_opened_before") + F.col("_opened")).otherwise(-F.col("_closed_before") - F.col("_closed"))).alias("pairs"),
+        (F.max(F.when(at_end, area)) - F.max(F.when(~at_end, area))).cast("long").alias("shared_ms"),
+    ).filter("pairs > 0")
+    rows = right.select(F.struct(*right.columns).alias("right"), *[F.col(k).alias(n) for n, k in zip(keys, by)], F.col(start).cast("long").alias("_start"), F.col(end).cast("long").alias("_end"))
+    return rows.join(answers, [*keys, "_start", "_end"]).select("right", "pairs", "shared_ms")
+
+
 def counts_before(
     df: DataFrame, by: list[str], ts: str, is_counted: Column, is_asking: Column, within_seconds: int,
     slice_seconds: int = 60,

@@ -251,6 +251,5 @@ def sessions_during_outages(spark, sf):
     active = events.groupBy("event_type", "user_id", F.date_trunc("day", "ts").alias("day")).agg(F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"))
     lasting = F.when(F.col("event_id") % 7 == 0, 86_400_000).when(F.col("event_id") % 3 == 0, 7_200_000).otherwise(5_000)
     outages = events.where("value > 190").select("event_type", "event_id", (ms - 600_000).alias("start_ms"), (ms + lasting).alias("end_ms"))
-    met = timelines.overlaps(active.drop("day"), outages, ["event_type"], "start_ms", "end_ms")
-    shared = F.least("left.end_ms", "right.end_ms") - F.greatest("left.start_ms", "right.start_ms")
-    return met.groupBy(F.col("right.event_type").alias("event_type"), F.col("right.event_id").alias("event_id")).agg(F.count("*").alias("spans"), F.sum(shared).alias("shared_ms"))
+    met = timelines.overlaps(active.drop("day"), outages, ["event_type"], "start_ms", "end_ms", totals=True)
+    return met.groupBy(F.col("right.event_type").alias("event_type"), F.col("right.event_id").alias("event_id")).agg(F.sum("pairs").alias("spans"), F.sum("shared_ms").alias("shared_ms"))
