@@ -76,9 +76,9 @@ def term_index(docs: DataFrame, id_col: str, name: str, description: str, bucket
 
     All words of a document's field are exploded in one task, so they are counted there before the shuffle.
     """
-    tagged = lambda column, n: F.transform(words(column), lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(1 - n).alias("d")))
-    both = F.concat(*[F.coalesce(tagged(c, n), F.array().cast("array<struct<term:string,n:int,d:int>>")) for c, n in ((name, 1), (description, 0))])
-    found = docs.select(id_col, F.explode(both).alias("w")).select(id_col, "w.*").filter("term <> ''")
+    # One array of words for each field, unpacked by two generators: words are not put into structs one by one first.
+    fields = F.array(*[F.struct(F.lit(n).alias("n"), words(c).alias("terms")) for c, n in ((name, 1), (description, 0))])
+    found = docs.select(id_col, F.explode(fields).alias("f")).select(id_col, "f.n", (1 - F.col("f.n")).alias("d"), F.explode("f.terms").alias("term")).filter("term <> ''")
     counts = found.groupBy("term", id_col).agg(F.sum("n").alias("name_count"), F.sum("d").alias("description_count"))
     own = bucket_of(["term"], buckets)
     return counts.withColumn("term_bucket", own.alias("term_bucket", metadata={"buckets": buckets})).withColumn("buckets", F.lit(buckets))
