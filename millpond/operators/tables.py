@@ -21,7 +21,7 @@ from millpond.functions.columns import bucket_of
 from millpond.operators.keyed import REMOVED, latest_per_key, one_per_key, project_declared, row_hash, with_key
 from millpond.operators.naming import evolved_schema, schema_change
 
-BUCKET, VERSION, GONE, TIE = "_bucket", "_version", "_removed", "_tie"
+BUCKET, VERSION, GONE, TIE, LATE = "_bucket", "_version", "_removed", "_tie", "_late"
 FILES = "__files"  # between the name of a table and the number of its files table
 OWN = (BUCKET, VERSION, GONE, TIE)
 FOLD_AT = 8  # change sets beside the base before they are folded
@@ -147,14 +147,20 @@ class KeyedTable:
 
     # Writing
 
-    def _write(self, rows: DataFrame, version: str, buckets: int) -> tuple[str, int, list[int]]:
-        """Rows sorted by key in a folder of their own: the folder, the number of rows, the buckets with rows."""
+    def _write(self, rows: DataFrame, version: str, buckets: int) -> tuple[str, int, list[int], int]:
+        """Rows sorted by key in a folder of their own: the folder, the number of rows, the buckets with rows, and all rows.
+
+        Rows marked as late lie in a folder beside these; only the last number counts them.
+        """
         path = f"{self.location}/data/{version}"
         seen = Observation()
-        placed = rows.withColumn(BUCKET, bucket_of(self.keys, buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *self.keys)
-        placed.observe(seen, F.count("*").alias("rows")).write.partitionBy(BUCKET).parquet(path)
-        found = sorted(int(s.getPath().getName().split("=")[1]) for s in self._list(path) if "=" in s.getPath().getName())
-        return path, int(seen.get["rows"]), found
+        split = [LATE, BUCKET] if LATE in rows.columns else [BUCKET]
+        placed = rows.withColumn(BUCKET, bucket_of(self.keys, buckets)).hint("rebalance", *split).sortWithinPartitions(*split, *self.keys)
+        counted = F.count_if(~F.col(LATE)) if LATE in rows.columns else F.count("*")
+        placed.observe(seen, counted.alias("rows"), F.count("*").alias("all")).write.partitionBy(*split).parquet(path)
+        at = f"{path}/{LATE}=false" if LATE in rows.columns else path
+        found = sorted(int(s.getPath().getName().split("=")[1]) for s in self._list(at) if "=" in s.getPath().getName())
+        return at, int(seen.get["rows"]), found, int(seen.get["all"])
 
     def _list(self, path: str) -> list:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -200,38 +206,41 @@ class KeyedTable:
         changes = project_declared(changes.withColumn(GONE, gone), T.StructType([*target.fields, T.StructField(GONE, T.BooleanType())]))
         changes = changes.withColumn(TIE, F.bitwise_not(row_hash(changes.drop(GONE))) if seq else F.lit(None).cast("long"))
 
+        if seq and state.versions:
+            # Rows are judged on their way to the files, in the tasks that made them unique.
+            changes = self._against_stored(changes, state, seq)
         version = self._version(state, label)
-        path, rows, touched = self._write(changes, version, state.buckets)
-        staged = self.spark.read.schema(T.StructType([*changes.schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
-        merged = Merged(touched, rows, staged.select(*[F.col(f"`{c}`") for c in state.schema.fieldNames()]))
+        path, rows, touched, everything = self._write(changes, version, state.buckets)
+        staged = self.spark.read.schema(T.StructType([*changes.schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(f"{self.location}/data/{version}")
+        written = sorted(self._buckets_of(version)) if LATE in changes.columns else touched
+        merged = Merged(written, everything, staged.select(*[F.col(f"`{c}`") for c in state.schema.fieldNames()]))
         if not rows:
             if batch:
                 self._commit(replace(state, done=done))
             return merged
-        if seq and state.versions:
-            judged = self._against_stored(staged, state, seq, touched)
-            if not judged.where("NOT _wins").isEmpty():
-                # Late rows are left out; the change set is written once more without them.
-                version = self._version(state, label)
-                path, rows, touched = self._write(judged.where("_wins").select(*changes.columns), version, state.buckets)
         self._add(state.files, version, path, touched)
-        self._commit(replace(state, versions=[*state.versions, (version, rows)] if rows else state.versions, done=done))
+        self._commit(replace(state, versions=[*state.versions, (version, rows)], done=done))
         if len(state.versions) >= FOLD_AT:
             self.fold()
         return merged
 
-    def _against_stored(self, staged: DataFrame, state: State, seq: list[str], touched: list[int]) -> DataFrame:
-        """Change rows with ``_wins``: whether the stored row, or the mark of a removal, is not newer.
+    def _buckets_of(self, version: str) -> set[int]:
+        """The buckets of a change set, those of its late rows too."""
+        folders = [s.getPath() for s in self._list(f"{self.location}/data/{version}") if s.getPath().getName().startswith(LATE)]
+        return {int(s.getPath().getName().split("=")[1]) for f in folders for s in self._list(f.toString())}
+
+    def _against_stored(self, changes: DataFrame, state: State, seq: list[str]) -> DataFrame:
+        """Change rows with ``_late``: whether the stored row, or the mark of a removal, is newer.
 
-        Only keys, sequence and content hash of the touched buckets are read.
+        Of what is stored only keys, sequence and content hash are read.
         """
-        old = self._rows(state, [*dict.fromkeys([*self.keys, *seq]), GONE, TIE, BUCKET]).where(F.col(BUCKET).isin(touched))
+        old = self._rows(state, [*dict.fromkeys([*self.keys, *seq]), GONE, TIE])
         order = F.struct(*[F.col(f"`{c}`") for c in seq])
-        old = old.select(*self.keys, BUCKET, F.struct(order.alias("seq"), F.col(GONE).alias("gone"), F.col(TIE).alias("tie")).alias("_old"))
-        new = staged.join(old, [BUCKET, *self.keys], "left")
+        old = old.select(*self.keys, F.struct(order.alias("seq"), F.col(GONE).alias("gone"), F.col(TIE).alias("tie")).alias("_old"))
+        new = changes.join(old, self.keys, "left").select(*changes.columns, "_old")
         leaves = F.col(GONE) & (order >= F.col("_old.seq"))
         stays = F.when(F.col("_old.gone"), order > F.col("_old.seq")).otherwise(F.struct(order.alias("seq"), F.col(TIE).alias("tie")) >= F.struct("_old.seq", "_old.tie"))
-        return new.withColumn("_wins", F.col("_old").isNull() | F.coalesce(leaves | stays, F.lit(False))).drop("_old")
+        return new.withColumn(LATE, F.col("_old").isNotNull() & ~F.coalesce(leaves | stays, F.lit(False))).drop("_old")
 
     # Folding
 
@@ -252,7 +261,7 @@ class KeyedTable:
         rows = self.spark.table(state.files).where(F.col(VERSION).isin(folded))
         rows = latest_per_key(rows, self.keys, [VERSION]).drop(VERSION, BUCKET)
         version = self._version(state, "fold")
-        path, count, touched = self._write(rows, version, state.buckets)
+        path, count, touched, _ = self._write(rows, version, state.buckets)
         self._add(state.files, version, path, touched)
         self._commit(replace(state, versions=[*state.versions[: 1 + first], (version, count)]))
 
@@ -268,12 +277,13 @@ class KeyedTable:
         marked = F.col(GONE) & F.col(TIE).isNotNull() & ~F.coalesce(F.expr(forget), F.lit(False)) if forget else F.col(GONE) & F.col(TIE).isNotNull()
         live = {v for v, _ in state.versions}
         fs = lambda s: s.getPath().getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        size = sum(fs(s).getContentSummary(s.getPath()).getLength() for s in self._list(f"{self.location}/data") if s.getPath().getName() in live)
+        folders = [s for v in live for s in self._list(f"{self.location}/data/{v}") if s.getPath().getName() != f"{LATE}=true"]
+        size = sum(fs(s).getContentSummary(s.getPath()).getLength() for s in folders)
         wanted = buckets or state.buckets
         while not buckets and wanted * BUCKET_BYTES < size:
             wanted *= 2
         version = self._version(state, "base")
-        path, count, touched = self._write(rows.where(~F.col(GONE) | marked), version, wanted)
+        path, count, touched, _ = self._write(rows.where(~F.col(GONE) | marked), version, wanted)
         self._add(state.files, version, path, touched)
         self._commit(replace(state, versions=[(version, count)] if count else [], buckets=wanted))
 
@@ -309,7 +319,7 @@ class KeyedTable:
         own = [T.StructField(GONE, T.BooleanType()), T.StructField(TIE, T.LongType())]
         rows = self._rows(state, [*state.schema.fieldNames(), *[f.name for f in self._hidden(state)], GONE, TIE])
         files, version = self._new_files(target, hidden), self._version(state, "evolve")
-        path, count, touched = self._write(project_declared(rows, T.StructType([*target.fields, *hidden, *own])), version, state.buckets)
+        path, count, touched, _ = self._write(project_declared(rows, T.StructType([*target.fields, *hidden, *own])), version, state.buckets)
         self._add(files, version, path, touched)
         self._commit(replace(state, schema=target, files=files, versions=[(version, count)] if count else []))
 
